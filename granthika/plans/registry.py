@@ -1,6 +1,7 @@
 """All queries of the core, with their SQL."""
 
-from granthika.plans import problem_queries
+from granthika.plans import corpus_queries, problem_queries, retrieval_queries
 
-QUERIES = {**problem_queries.QUERIES}
-SQL = {**problem_queries.SQL}
+_MODULES = (corpus_queries, retrieval_queries, problem_queries)
+QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
