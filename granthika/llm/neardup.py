@@ -14,16 +14,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from granthika.llm.lines import DROPPED
 from granthika.session import cut
 
-M64 = np.uint64(0xFFFFFFFFFFFFFFFF)
-
-
 def word_runs(text: Column, width: int) -> Column:
     """Distinct 64-bit hashes of the runs of ``width`` consecutive words, letter case ignored.
 
@@ -76,73 +74,80 @@ def superminhash(values: np.ndarray, offsets: np.ndarray, size: int) -> np.ndarr
     return sig.reshape(sets, size)
 
 
-def _bands(batch_runs: pa.Array, bands: int, rows: int) -> np.ndarray:
-    """Band keys of each set in an Arrow list array: sets x bands, 64 bits each."""
-    flat = batch_runs.flatten().to_numpy(zero_copy_only=False).view(np.int64).astype(np.uint64)
-    lengths = np.diff(batch_runs.offsets.to_numpy())
-    keys = np.empty((len(batch_runs), bands), np.int64)
-    # sets in blocks of bounded size, so that the permutations fit in memory
-    ends = np.concatenate([[0], np.cumsum(lengths)])
+#: scope of texts that are compared with the whole of their table
+WIDE = -1
+SIGNED = StructType([StructField("tbl", StringType()), StructField("scope", LongType()), StructField("key", LongType()), StructField("bare", LongType()), StructField("cls", LongType()), StructField("n", IntegerType()), StructField("bands", ArrayType(LongType()))])
+
+
+def shape_for(similarity: float, wide: bool) -> tuple[int, int]:
+    """Bands and rows: a pair right at ``similarity`` is missed once in 200 times, above it ever less.
+
+    Within a small scope short bands do; over a whole table they would bring up every pair of texts
+    that share some phrases, so bands are longer there and there are more of them.
+    """
+    rows = (4 if similarity < 0.7 else 8) if wide else 2
+    return int(np.ceil(np.log(0.005) / np.log(1 - similarity**rows))), rows
+
+
+def band_keys(values: np.ndarray, offsets: np.ndarray, scopes: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """64-bit keys of every set's bands: sets x bands; band number and scope are mixed in."""
+    keys = np.empty((len(offsets) - 1, bands), np.uint64)
     i = 0
-    while i < len(lengths):
-        j = max(i + 1, int(np.searchsorted(ends, ends[i] + (1 << 16), "right")) - 1)
-        sig = superminhash(flat[ends[i] : ends[j]], ends[i : j + 1] - ends[i], bands * rows)
-        h = sig.view(np.uint64).reshape(j - i, bands, rows)
-        key = np.full((j - i, bands), np.uint64(0x243F6A8885A308D3))
+    while i < len(keys):  # blocks of bounded size, so that the permutations fit in memory
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + (1 << 16), "right")) - 1)
+        h = superminhash(values[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], bands * rows).view(np.uint64).reshape(j - i, bands, rows)
+        key = np.broadcast_to(_mix(scopes[i:j, None] + np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)), (j - i, bands)).copy()
         for r in range(rows):
             key = _mix(key * np.uint64(0x100000001B3) ^ h[:, :, r])
-        keys[i:j] = (key ^ _mix(np.arange(1, bands + 1, dtype=np.uint64))).view(np.int64)
+        keys[i:j] = key
         i = j
     return keys
 
 
-BANDED = StructType([StructField("cls", BinaryType()), StructField("scope", LongType()), StructField("n", IntegerType()), StructField("bands", ArrayType(LongType()))])
-
+def signed(texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """``tbl, scope, key, bare, cls, n, bands`` of every text with a word, in one pass.
 
-def banded(classes: DataFrame, bands: int, rows: int) -> DataFrame:
-    """``cls, scope, n, bands`` of every class (``cls, scope, runs``): its band keys, its number of runs."""
+    ``cls`` is a 64-bit hash of the scope and the set of runs, the same for equal sets, ``n`` their
+    number. The runs are made inside the JVM, the signatures from whole Arrow batches of them.
+    """
+    shapes = {wide: shape_for(similarity, wide) for wide in (True, False)}
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            runs = b.column("runs")
-            if isinstance(runs, pa.ChunkedArray):
-                runs = runs.combine_chunks()
-            keys = _bands(runs, bands, rows)
-            n = np.diff(runs.offsets.to_numpy()).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(n) * bands + 1, bands, dtype=np.int32)), pa.array(keys.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([b.column("cls"), b.column("scope"), pa.array(n), lists], names=["cls", "scope", "n", "bands"])
-
-    return classes.select("cls", "scope", "runs").mapInArrow(sign, BANDED)
-
-
-def shape_for(similarity: float) -> tuple[int, int]:
-    """Bands and rows such that a pair right at ``similarity`` is missed less than once in 500 times."""
-    rows = 2 if similarity < 0.7 else 4
-    return int(np.ceil(np.log(0.002) / np.log(1 - similarity**rows))), rows
-
-
-def similar_classes(classes: DataFrame, similarity: float, bands: int | None = None, rows: int | None = None) -> DataFrame:
-    """Pairs of classes of one scope whose sets of runs reach ``similarity``: ``cls_a, cls_b, scope, jaccard``.
-
-    ``classes`` has ``cls`` (unique), ``scope`` and ``runs``; a class with no runs has no partner.
-    Candidates share a band; a pair is taken up in the first band that it shares only, so that no
-    distinct is needed, and only if the sizes of the sets allow the similarity. Each candidate is
-    verified on the whole sets. No bucket is capped.
+        for batch in batches:
+            for wide, (bands, rows) in shapes.items():
+                b = batch.filter(pc.equal(pc.equal(batch.column("scope"), WIDE), wide))
+                if not b.num_rows:
+                    continue
+                runs = b.column("runs")
+                values = runs.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                n = pc.list_value_length(runs).to_numpy(zero_copy_only=False).astype(np.int64)
+                offsets = np.concatenate([[0], np.cumsum(n)])
+                scopes = _mix(b.column("scope").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+                cls = _mix(np.add.reduceat(_mix(values), offsets[:-1]) ^ scopes ^ n.astype(np.uint64))
+                keys = band_keys(values, offsets, scopes, bands, rows)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(n) * bands + 1, bands, dtype=np.int32)), pa.array(keys.reshape(-1).view(np.int64)))
+                columns = [b.column("tbl"), b.column("scope"), b.column("key"), b.column("bare"), pa.array(cls.view(np.int64)), pa.array(n.astype(np.int32)), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=SIGNED.fieldNames())
+
+    with_runs = texts.select("tbl", "scope", "key", "bare", word_runs(F.col("text"), width).alias("runs")).where(F.size("runs") > 0)
+    return with_runs.mapInArrow(sign, SIGNED)
+
+
+def similar_classes(members: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Pairs of classes whose sets of runs reach ``similarity``: ``cls_a, cls_b, jaccard``, cls_a < cls_b.
+
+    Candidates share a band and have sets of sizes that allow the similarity; no bucket is capped.
+    Each is verified on the whole sets, which are made again for candidate classes only.
     """
-    if bands is None or rows is None:
-        bands, rows = shape_for(similarity)
-    signed = cut(banded(classes.where(F.size("runs") > 0), bands, rows))
-    band = signed.select("cls", "scope", "n", "bands", F.posexplode("bands").alias("no", "key"))
-    # a band key that only one class has can be dropped before the join
-    a, b = (band.select("scope", "no", "key", F.col("cls").alias(f"cls_{s}"), F.col("n").alias(f"n_{s}"), F.col("bands").alias(f"b_{s}")) for s in "ab")
-    first = F.aggregate(F.zip_with("b_a", "b_b", lambda x, y: x == y), F.struct(F.lit(0).alias("i"), F.lit(-1).alias("at")), lambda s, same: F.struct((s["i"] + 1).alias("i"), F.when((s["at"] < 0) & same, s["i"]).otherwise(s["at"]).alias("at")))["at"]
-    candidates = (
-        a.join(b, ["scope", "no", "key"])
-        .where((F.col("cls_a") < F.col("cls_b")) & (F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b")))
-        .where(first == F.col("no"))
-        .select("scope", "cls_a", "cls_b")
+    classes = members.groupBy("cls").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
+    band = classes.select("cls", "n", F.explode("bands").alias("band"))
+    a, b = (band.select("band", F.col("cls").alias(f"cls_{s}"), F.col("n").alias(f"n_{s}")) for s in "ab")
+    candidates = cut(
+        a.join(b, "band").where((F.col("cls_a") < F.col("cls_b")) & (F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b"))).select("cls_a", "cls_b").distinct()
     )
-    sets = classes.select("cls", "runs")
+    asked = candidates.select(F.col("cls_a").alias("cls")).unionByName(candidates.select(F.col("cls_b").alias("cls"))).distinct()
+    which = members.join(asked, "cls", "left_semi").groupBy("cls").agg(F.min(F.struct("tbl", "key")).alias("m")).select("cls", "m.tbl", "m.key")
+    sets = texts.select("tbl", "key", "text").join(which, ["tbl", "key"]).dropDuplicates(["cls"]).select("cls", word_runs(F.col("text"), width).alias("runs"))
     common = F.size(F.array_intersect("r_a", "r_b"))
     return (
         candidates.join(sets.select(F.col("cls").alias("cls_a"), F.col("runs").alias("r_a")), "cls_a")
@@ -150,36 +155,21 @@ def similar_classes(classes: DataFrame, similarity: float, bands: int | None = N
         .withColumn("_c", common)
         .withColumn("jaccard", F.col("_c") / (F.size("r_a") + F.size("r_b") - F.col("_c")))
         .where(F.col("jaccard") >= similarity)
-        .select("scope", "cls_a", "cls_b", "jaccard")
-    )
-
-
-def classify(texts: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
-    """Members and classes of ``texts`` (``tbl, scope, key, text, bare``).
-
-    A class is a set of runs within one scope. Members are ``tbl, scope, key, bare, cls``, classes
-    ``cls, scope, runs``. Texts without words, null ones among them, are in no class.
-    """
-    members = cut(
-        texts.withColumn("runs", F.array_sort(word_runs(F.col("text"), width)))
-        .where(F.size("runs") > 0)
-        .withColumn("cls", F.unhex(F.md5(F.concat_ws(",", F.col("scope").cast("string"), F.array_join(F.transform("runs", lambda r: r.cast("string")), ",")))))
-        .select("tbl", "scope", "key", "bare", "cls", "runs")
+        .select("cls_a", "cls_b", "jaccard")
     )
-    classes = members.groupBy("cls", "scope").agg(F.first("runs").alias("runs"))
-    return members.select("tbl", "scope", "key", "bare", "cls"), classes
 
 
 def near_pairs(texts: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """Every pair of near-duplicate texts that are not equal when bare: ``tbl, key_a, key_b``.
 
-    ``texts`` has ``tbl, scope, key, text, bare``; only texts of one scope are paired. Links are found
-    between classes and then written out for their members; two different texts of one class (runs
-    alike, yet not equal when bare) are linked too.
+    ``texts`` has ``tbl, scope, key, text, bare`` (``scope`` -1: compared with the whole table, else only
+    with texts of the same scope; ``bare``: a 64-bit hash of the bare text). Links are found between
+    classes and then written out for their members; different texts of one class are linked too.
+    Texts without a word, null ones among them, have no partner; of a row repeated as a whole the
+    copies are equal when bare and so no pair.
     """
-    members, classes = classify(texts, width)
-    classes = cut(classes)
-    links = similar_classes(classes, similarity).select("cls_a", "cls_b")
+    members = cut(signed(texts, width, similarity))
+    links = similar_classes(members, texts, width, similarity).select("cls_a", "cls_b")
     # links between forms (a class and a bare text): copies of one form are never paired with each other
     forms = members.select("tbl", "cls", "bare").distinct()
     f = lambda s: forms.select("tbl", F.col("cls").alias(f"cls_{s}"), F.col("bare").alias(f"bare_{s}"))
@@ -201,9 +191,9 @@ def _forest(edges: DataFrame) -> DataFrame:
     """A spanning forest of each partition's edges, by union-find: fewer edges, the same components."""
 
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parent: dict[bytes, bytes] = {}
+        parent: dict[int, int] = {}
 
-        def find(x: bytes) -> bytes:
+        def find(x: int) -> int:
             root = x
             while (p := parent.get(root, root)) != root:
                 root = p
@@ -211,10 +201,10 @@ def _forest(edges: DataFrame) -> DataFrame:
                 parent[x], x = root, p
             return root
 
-        kept: list[tuple[bytes, bytes]] = []
+        kept: list[tuple[int, int]] = []
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in kept], pa.binary()), pa.array([k[1] for k in kept], pa.binary())], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in kept], pa.int64()), pa.array([k[1] for k in kept], pa.int64())], names=["a", "b"])
 
         for batch in batches:
             for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
@@ -227,11 +217,11 @@ def _forest(edges: DataFrame) -> DataFrame:
                 parent, kept = {}, []
         yield out()
 
-    return edges.select("a", "b").mapInArrow(unite, "a binary, b binary")
+    return edges.select("a", "b").mapInArrow(unite, "a bigint, b bigint")
 
 
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """Connected components of ``edges`` (``a``, ``b`` binary): ``node, root``, root the least member.
+    """Connected components of ``edges`` (``a``, ``b`` integers): ``node, root``, root the least member.
 
     Union-find within partitions first; then large-star and small-star rounds, which each halve the
     depth, until nothing changes. Every round is written to the checkpoint folder. Nothing but the
@@ -264,9 +254,8 @@ def near_groups(texts: DataFrame, width: int = 5, similarity: float = 0.8) -> Da
     ``group_key`` is the least key of the text's group of near-duplicates, its own if it has none;
     ``links`` counts the other classes that its class is linked to. Texts without words are alone.
     """
-    members, classes = classify(texts, width)
-    classes = cut(classes)
-    links = cut(similar_classes(classes, similarity).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")))
+    members = cut(signed(texts, width, similarity))
+    links = cut(similar_classes(members, texts, width, similarity).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")))
     roots = components(links)
     degree = links.select(F.col("a").alias("cls")).unionByName(links.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count(F.lit(1)).alias("links"))
     per = members.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")).join(degree, "cls", "left")

@@ -32,7 +32,7 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 def _near_texts(spark: SparkSession, sf: str) -> DataFrame:
     own = passages(table(spark, sf, "source_rows")).select(F.lit("source_rows").alias("tbl"), F.lit(-1).cast("bigint").alias("scope"), F.col("pkey").alias("key"), "text")
     inside = response_passages(table(spark, sf, "responses")).select(F.lit("responses").alias("tbl"), F.col("query_id").alias("scope"), F.col("okey").alias("key"), "text")
-    return own.unionByName(inside).withColumn("bare", F.unhex(F.md5(bare(F.col("text")))))
+    return own.unionByName(inside).withColumn("bare", F.xxhash64(bare(F.col("text"))))
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
