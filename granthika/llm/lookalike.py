@@ -119,37 +119,37 @@ def reach(root: dict, token: str, most: int = 0) -> list[tuple[int, str]]:
     word = parts("".join(c for i, c in enumerate(token) if i not in gone))
     out: list[tuple[int, str]] = []
 
-    def walk(node: dict, row: list[int], before: str) -> None:
+    # depth first by a stack of our own: a text without spaces is one very long token
+    if not most:  # with nothing to spend there is one live state: the next character has to agree
+        stack = [(root, 0, "")]
+        while stack:
+            node, at, before = stack.pop()
+            if at == len(word):
+                out.extend((0, s) for s in node.get("", ()))
+            for c, child in node.items():
+                if not c:
+                    continue
+                if c in IGNORED or (c in JOINERS and before not in VIRAMAS):
+                    stack.append((child, at, before))
+                elif at < len(word) and substitution(word[at], c) == 0:
+                    stack.append((child, at + 1, c))
+        return out
+    stack = [(root, list(range(len(word) + 1)), "")]
+    while stack:
+        node, row, before = stack.pop()
         if row[-1] <= most:
             out.extend((row[-1], s) for s in node.get("", ()))
         for c, child in node.items():
             if not c:
                 continue
             if c in IGNORED or (c in JOINERS and before not in VIRAMAS):
-                walk(child, row, before)
+                stack.append((child, row, before))
                 continue
             new = [row[0] + 1]
             for k, w in enumerate(word, 1):
                 new.append(min(row[k - 1] + substitution(w, c), row[k] + 1, new[k - 1] + 1))
             if min(new) <= most:
-                walk(child, new, c)
-
-    def walk_free(node: dict, at: int, before: str) -> None:
-        # with nothing to spend there is one live state: the next character has to agree
-        if at == len(word):
-            out.extend((0, s) for s in node.get("", ()))
-        for c, child in node.items():
-            if not c:
-                continue
-            if c in IGNORED or (c in JOINERS and before not in VIRAMAS):
-                walk_free(child, at, before)
-            elif at < len(word) and substitution(word[at], c) == 0:
-                walk_free(child, at + 1, c)
-
-    if most:
-        walk(root, list(range(len(word) + 1)), "")
-    else:
-        walk_free(root, 0, "")
+                stack.append((child, new, c))
     return out
 
 
