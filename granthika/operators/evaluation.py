@@ -37,11 +37,14 @@ def recall_mrr(queries: DataFrame, ranked: DataFrame, relevant: DataFrame, cuts:
 def separation(hits: DataFrame) -> DataFrame:
     """``query_id, top1, margin``: the best score and its distance to the mean of the others.
 
-    ``hits`` has ``query_id, score, rank``; a query with one hit has a null margin.
+    ``hits`` has ``query_id, score, rank``; scores count in millionths, so that sums are exact in any
+    order. A query with one hit has a null margin; hits without a score are left out.
     """
-    per = hits.where("score is not null").groupBy("query_id").agg(F.max_by("score", F.struct((-F.col("rank")).alias("r"), "score")).alias("top1"), F.sum("score").alias("s"), F.count(F.lit(1)).alias("n"))
-    rest = (F.col("s") - F.col("top1")) / (F.col("n") - 1)
-    return per.select("query_id", F.round("top1", 6).alias("top1"), F.when(F.col("n") > 1, F.round(F.col("top1") - rest, 6)).alias("margin"))
+    micro = F.round(F.col("score") * 1_000_000).cast("bigint")
+    per = hits.where("score is not null").withColumn("m", micro).groupBy("query_id").agg(F.max_by("m", F.struct((-F.col("rank")).alias("r"), "m")).alias("top"), F.sum("m").alias("s"), F.count(F.lit(1)).alias("n"))
+    others = F.col("n") - 1
+    over = F.col("top") * others - (F.col("s") - F.col("top"))
+    return per.select("query_id", (F.col("top") / 1e6).alias("top1"), F.when(others > 0, over.cast("double") / (others * 1_000_000).cast("double")).alias("margin"))
 
 
 def stage_times(responses: DataFrame) -> DataFrame:
