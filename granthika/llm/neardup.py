@@ -76,7 +76,7 @@ def superminhash(values: np.ndarray, offsets: np.ndarray, size: int) -> np.ndarr
 
 #: scope of texts that are compared with the whole of their table
 WIDE = -1
-SIGNED = StructType([StructField("tbl", StringType()), StructField("scope", LongType()), StructField("key", LongType()), StructField("bare", LongType()), StructField("cls", LongType()), StructField("n", IntegerType()), StructField("bands", ArrayType(LongType()))])
+SIGNED = StructType([StructField("tbl", StringType()), StructField("scope", LongType()), StructField("key", LongType()), StructField("bare", LongType()), StructField("cls", LongType()), StructField("n", IntegerType()), StructField("bands", ArrayType(LongType())), StructField("s1", LongType()), StructField("s2", LongType())])
 
 
 def shape_for(similarity: float, wide: bool) -> tuple[int, int]:
@@ -89,9 +89,21 @@ def shape_for(similarity: float, wide: bool) -> tuple[int, int]:
     return int(np.ceil(np.log(0.005) / np.log(1 - similarity**rows))), rows
 
 
-def band_keys(values: np.ndarray, offsets: np.ndarray, scopes: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """64-bit keys of every set's bands: sets x bands; band number and scope are mixed in."""
+SKETCH = 128
+
+
+def most_differing(similarity: float) -> int:
+    """Sketch bits in which two sets may differ that reach ``similarity``: four deviations above the mean."""
+    q = (1 - similarity) / 2
+    return int(np.ceil(SKETCH * q + 4 * np.sqrt(SKETCH * q * (1 - q))))
+
+
+def band_keys(values: np.ndarray, offsets: np.ndarray, scopes: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray | None]:
+    """64-bit keys of every set's bands (sets x bands; band number and scope are mixed in), and a sketch
+    of 128 bits, one of each signature position, where the signature is that long."""
     keys = np.empty((len(offsets) - 1, bands), np.uint64)
+    sketch = np.empty((len(keys), 2), np.uint64) if bands * rows >= SKETCH else None
+    place = np.uint64(1) << np.arange(64, dtype=np.uint64)
     i = 0
     while i < len(keys):  # blocks of bounded size, so that the permutations fit in memory
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + (1 << 16), "right")) - 1)
@@ -100,12 +112,15 @@ def band_keys(values: np.ndarray, offsets: np.ndarray, scopes: np.ndarray, bands
         for r in range(rows):
             key = _mix(key * np.uint64(0x100000001B3) ^ h[:, :, r])
         keys[i:j] = key
+        if sketch is not None:
+            bits = _mix(h.reshape(j - i, -1)[:, :SKETCH]) & np.uint64(1)
+            sketch[i:j] = (bits.reshape(j - i, 2, 64) * place).sum(axis=2, dtype=np.uint64)
         i = j
-    return keys
+    return keys, sketch
 
 
 def signed(texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """``tbl, scope, key, bare, cls, n, bands`` of every text with a word, in one pass.
+    """``tbl, scope, key, bare, cls, n, bands, s1, s2`` of every text with a word, in one pass.
 
     ``cls`` is a 64-bit hash of the scope and the set of runs, the same for equal sets, ``n`` their
     number. The runs are made inside the JVM, the signatures from whole Arrow batches of them.
@@ -124,9 +139,10 @@ def signed(texts: DataFrame, width: int, similarity: float) -> DataFrame:
                 offsets = np.concatenate([[0], np.cumsum(n)])
                 scopes = _mix(b.column("scope").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
                 cls = _mix(np.add.reduceat(_mix(values), offsets[:-1]) ^ scopes ^ n.astype(np.uint64))
-                keys = band_keys(values, offsets, scopes, bands, rows)
+                keys, sketch = band_keys(values, offsets, scopes, bands, rows)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(n) * bands + 1, bands, dtype=np.int32)), pa.array(keys.reshape(-1).view(np.int64)))
                 columns = [b.column("tbl"), b.column("scope"), b.column("key"), b.column("bare"), pa.array(cls.view(np.int64)), pa.array(n.astype(np.int32)), lists]
+                columns += [pa.nulls(len(n), pa.int64()) if sketch is None else pa.array(sketch[:, k].copy().view(np.int64)) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays(columns, names=SIGNED.fieldNames())
 
     with_runs = texts.select("tbl", "scope", "key", "bare", word_runs(F.col("text"), width).alias("runs")).where(F.size("runs") > 0)
@@ -142,9 +158,12 @@ def similar_classes(members: DataFrame, texts: DataFrame, width: int, similarity
     classes = members.groupBy("cls").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
     band = classes.select("cls", "n", F.explode("bands").alias("band"))
     a, b = (band.select("band", F.col("cls").alias(f"cls_{s}"), F.col("n").alias(f"n_{s}")) for s in "ab")
-    candidates = cut(
-        a.join(b, "band").where((F.col("cls_a") < F.col("cls_b")) & (F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b"))).select("cls_a", "cls_b").distinct()
-    )
+    found = a.join(b, "band").where((F.col("cls_a") < F.col("cls_b")) & (F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b"))).select("cls_a", "cls_b").distinct()
+    # before whole sets are fetched: a glance at the sketches, which drops most pairs far below
+    sketch = lambda s: members.where("s1 is not null").select(F.col("cls").alias(f"cls_{s}"), F.col("s1").alias(f"s1_{s}"), F.col("s2").alias(f"s2_{s}")).distinct()
+    differing = F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b"))) + F.bit_count(F.col("s2_a").bitwiseXOR(F.col("s2_b")))
+    near = found.join(sketch("a"), "cls_a", "left").join(sketch("b"), "cls_b", "left")
+    candidates = cut(near.where(F.coalesce(differing <= most_differing(similarity), F.lit(True))).select("cls_a", "cls_b"))
     asked = candidates.select(F.col("cls_a").alias("cls")).unionByName(candidates.select(F.col("cls_b").alias("cls"))).distinct()
     which = members.join(asked, "cls", "left_semi").groupBy("cls").agg(F.min(F.struct("tbl", "key")).alias("m")).select("cls", "m.tbl", "m.key")
     sets = texts.select("tbl", "key", "text").join(which, ["tbl", "key"]).dropDuplicates(["cls"]).select("cls", word_runs(F.col("text"), width).alias("runs"))
