@@ -22,9 +22,11 @@ from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StringType,
 
 #: encodings that text is commonly mistaken for; the bytes that the Windows ones leave undefined
 #: count as the control characters of the same number
-CODECS = ("latin-1", "cp1252", "cp1251", "cp1250", "mac_roman", "cp437", "cp850", "cp866", "koi8-r", "iso8859-2")
+CODECS = ("latin-1", "cp1252", "cp1251", "cp1250", "mac_roman", "cp437", "cp850", "cp866", "koi8-r", "iso8859-2", "cp1256")
 STEP_COST = 1.0
-#: so many sequences of letters alone must be found before letters are taken for bytes
+#: so many sequences must be found in these alphabets, and so many with a sign among the letters,
+#: before words are taken for bytes
+ALPHABETS = ("cp1251", "cp866", "koi8-r", "cp1256")
 LEAST_OF_LETTERS = 3
 MOST_STATES = 64
 FIXED = StructType([StructField("garbled", BooleanType()), StructField("text", StringType()), StructField("steps", StringType()), StructField("cost", DoubleType()), StructField("lost", IntegerType())])
@@ -72,7 +74,9 @@ def _plausible(c: str) -> bool:
     return any(o in BYTES[k] for k in ("cp1252", "mac_roman", "cp437", "cp1251"))
 
 
-PAIR = re.compile("|".join(p.pattern for c, p in SEQUENCE.items() if c in ("cp1252", "latin-1", "mac_roman", "cp437", "cp1251", "cp1250", "cp866", "koi8-r")))
+#: the first two bytes of Indic and of Arabic letters, as the Western and the Arabic encoding show them
+HALF = "\u00e0[\u00a4-\u00b7]|[\u0637\u0638\u0639\u063a\u00d8-\u00db][\u00a0-\u00bf\u201a-\u2122]"
+PAIR = re.compile("|".join(p.pattern for c, p in SEQUENCE.items() if c in ("cp1252", "latin-1", "mac_roman", "cp437", "cp1251", "cp1250", "cp866", "koi8-r")) + "|" + HALF)
 #: letters of an alphabet right beside those of an Indic or Arabic script
 MIXED = re.compile("[\u0600-\u06ff\u0900-\u0dff][\u00c0-\u02af\u0370-\u052f]|[\u00c0-\u02af\u0370-\u052f][\u0600-\u06ff\u0900-\u0dff]")
 CONTROL = re.compile("[\x80-\x84\x86-\x9f]")
@@ -87,10 +91,10 @@ def cost(text: str) -> float:
 def undo(text: str, codec: str) -> tuple[str, int]:
     """``text`` with every run of characters that are a character's UTF-8 bytes in ``codec`` decoded,
     and how many were. A few sequences made of letters alone are words, and stay."""
-    to_byte, n, letters = BYTES[codec], 0, True
+    to_byte, n, signs = BYTES[codec], 0, 0
 
     def back(m: re.Match) -> str:
-        nonlocal n, letters
+        nonlocal n, signs
         try:
             c = bytes(to_byte[ord(x)] for x in m[0]).decode("utf-8")
         except (UnicodeDecodeError, KeyError):
@@ -98,11 +102,12 @@ def undo(text: str, codec: str) -> tuple[str, int]:
         if not _plausible(c):
             return m[0]
         n += 1
-        letters &= m[0].isalpha()
+        signs += not m[0].isalpha()
         return c
 
     out = SEQUENCE[codec].sub(back, text)
-    return (text, 0) if letters and n < LEAST_OF_LETTERS else (out, n)
+    enough = signs >= (LEAST_OF_LETTERS if codec in ALPHABETS else 1) or (n >= LEAST_OF_LETTERS and codec != "cp1256")
+    return (out, n) if enough else (text, 0)
 
 
 def _neighbours(text: str) -> Iterator[tuple[str, str]]:
@@ -147,9 +152,11 @@ def suspects() -> str:
     """A Java pattern that every garbled text matches: two neighbours that could be lead and further
     byte of a sequence, a control or lost character, or a character reference."""
     esc = lambda cs: "".join(f"\\x{{{ord(c):x}}}" for c in sorted(set(cs)))
-    lead = esc(t[b] for t in TABLES.values() for b in range(0xC2, 0xF5))
-    more = esc(t[b] for t in TABLES.values() for b in range(0x80, 0xC0))
-    return rf"[{lead}][{more}]|[\x{{80}}-\x{{84}}\x{{86}}-\x{{9f}}\x{{fffd}}]|&#?[A-Za-z0-9]{{2,31}};"
+    tables = [t for c, t in TABLES.items() if c != "cp1256"]
+    lead = esc(t[b] for t in tables for b in range(0xC2, 0xF5))
+    more = esc(t[b] for t in TABLES.values() for b in range(0x80, 0xC0) if not "\u0600" <= t[b] < "\u0780")
+    arabic = esc(t for b in range(0x80, 0xC0) if "\u0600" <= (t := TABLES["cp1256"][b]) < "\u0780")
+    return rf"[{lead}][{more}]|[\x{{e0}}\x{{e2}}][{arabic}]|[\x{{637}}-\x{{63a}}][\x{{a0}}-\x{{bf}}\x{{201a}}-\x{{2122}}]|[\x{{80}}-\x{{84}}\x{{86}}-\x{{9f}}\x{{fffd}}]|&#?[A-Za-z0-9]{{2,31}};"
 
 
 @F.pandas_udf(FIXED)
