@@ -81,8 +81,8 @@ RUN = re.compile(f"[{_STERM}{_ATERM}|…]+")
 UNIT_ENDS = {tuple(w.rsplit(".", 1)) for w in _forms(UNITS)}
 KEPT = _forms(SHORT) | _forms(INITIALS) | set(LATIN_SHORT) | {w.lower() for w in LATIN_SHORT if len(w) > 2 and w not in ("Col", "Fig", "Sec", "Vol")}
 FIRST_PARTS, LAST_PARTS = {a for a, _ in UNIT_ENDS}, {b for _, b in UNIT_ENDS}
-#: the word, with inner full stops, right before a full stop
-WORD = regex.compile(r"(?V1)[\p{L}\p{M}.]+$")
+OPENING = "\"'“”‘’«»()[]{}<>*_-–—,;:₹$/"
+DIGITS = "0123456789०१२३४५६७८९০১২৩৪৫৬৭৮৯۰۱۲۳۴۵۶۷۸۹"
 UNIT_BEHIND = re.compile(rf"\s?(?:{'|'.join(sorted(map(re.escape, LAST_PARTS), key=len, reverse=True))})\.")
 _longest = lambda words: "|".join(sorted(map(re.escape, words), key=len, reverse=True))
 UNSPACED_END = regex.compile(
@@ -90,22 +90,24 @@ UNSPACED_END = regex.compile(
 )
 
 
-def _short_form(text: str, i: int, spaced: bool) -> bool:
-    """Whether the full stop at ``i`` belongs to a short form, an initial or a part of a unit."""
+def _short_form(text: str, begin: int, i: int, spaced: bool) -> bool:
+    """Whether the full stop at ``i`` belongs to a short form, an initial or a part of a unit; the sentence begins at ``begin``."""
     if not spaced:
         if UNSPACED_END.search(text, max(0, i - 16), i):
             return True
-    m = WORD.search(text, max(0, i - 24), i)
-    if m is None:
+    token = text[max(begin, i - 24) : i].rsplit(None, 1)
+    if not token or text[i - 1].isspace():
         return False
-    word = m[0]
-    head, _, last = word.rpartition(".")
+    head, _, last = token[-1].rpartition(".")
+    last = last.lstrip(OPENING)
     if last in KEPT or (len(last) == 1 and LATIN_LETTER.match(last)):
         return True
     if last in FIRST_PARTS and UNIT_BEHIND.match(text, i + 1):
         return True
     if last in LAST_PARTS:
-        before = head.rpartition(".")[2] or (WORD.search(text, max(0, m.start() - 12), m.start() - 1) or [""])[0].strip(".")
+        before = head.rpartition(".")[2].lstrip(OPENING + DIGITS)
+        if not before and len(token) == 2:
+            before = token[0].rsplit(None, 1)[-1].strip(".").lstrip(OPENING + DIGITS)
         return (before, last) in UNIT_ENDS
     return False
 
@@ -123,7 +125,6 @@ END_MARK = re.compile(rf"[{_STERM}|]|\.(?!\.)")
 DASH = re.compile(r"[\-–—]\s")
 LIST_NUMBER = regex.compile(r"(?V1)[\s\p{Ps}\p{Pi}\"'\u200b\u2060\ufeff\u00ad]*\p{Nd}{1,3}[.)]?$")
 WORDY = regex.compile(r"(?V1)[\p{L}\p{N}]")
-LATIN_LOWER = regex.compile(r"(?V1)[\p{Ll}&&\p{Latin}]")
 LATIN_UPPER = regex.compile(r"(?V1)[\p{Lu}&&\p{Latin}]")
 LATIN_LETTER = regex.compile(r"(?V1)[\p{Latin}\p{Greek}\p{Cyrillic}]")
 
@@ -144,13 +145,35 @@ UNSEEN = re.compile(r"[\u00ad\u200b-\u200f\u2060\ufeff]")
 WIDE = regex.compile(r"[\uff01-\uff5e]")
 #: Indic letter A followed by the sign AA, which is drawn as the letter AA
 SPLIT_AA = {chr(0x905 + o) + chr(0x93E + o): chr(0x906 + o) for o in range(0, 0x480, 0x80)}
+#: letters of Indic and Arabic blocks that composition takes apart or puts together
+_NOT_NFC = "".join(c for c in map(chr, range(0x600, 0xE00)) if unicodedata.normalize("NFC", c) != c)
+UNUSUAL = re.compile(f"[\u00ad\u200b-\u200f\u2060\ufeff\uff01-\uff5e{_NOT_NFC}]")
+PAIRS_OF_BLOCK: dict[int, list[str]] = {}
+
+
+def _block(c: str) -> int:
+    """The block of an Indic letter; 0 for the Arabic script."""
+    return ord(c[0]) >> 7 if ord(c[0]) >= 0x900 else 0
+
+
+for _c in map(chr, range(0x600, 0xE00)):
+    _d = unicodedata.normalize("NFD", _c)
+    if len(_d) == 2 and unicodedata.normalize("NFC", _c) == _c:
+        PAIRS_OF_BLOCK.setdefault(_block(_c), []).append(_d)
+for _p in SPLIT_AA:
+    PAIRS_OF_BLOCK.setdefault(_block(_p), []).append(_p)
+SCRIPT = re.compile("[\u0620-\u06d3\u0900-\u0963\u0971-\u0dff]")
 CLUSTER = regex.compile(r"\P{M}\p{M}*|\p{M}+")
 
 
 def plain(text: str) -> tuple[str, list[int] | None]:
     """``text`` with unseen signs dropped and letters in their composed form, and each one's offset."""
-    if text.isascii() or not (UNSEEN.search(text) or WIDE.search(text) or any(p in text for p in SPLIT_AA) or not unicodedata.is_normalized("NFC", text)):
+    if text.isascii():
         return text, None
+    if not UNUSUAL.search(text):
+        m = SCRIPT.search(text)
+        if m is None or not any(p in text for p in PAIRS_OF_BLOCK.get(_block(m[0]), ())):
+            return text, None
     out: list[str] = []
     offsets: list[int] = []
     kept = [i for i, c in enumerate(text) if not UNSEEN.match(c)]
@@ -192,7 +215,6 @@ def spans(text: str | None) -> list[tuple[int, int]]:
 def _spans(text: str) -> list[tuple[int, int]]:
     spaced = any(c.isspace() for c in text.strip()) or len(text) < 40
     cuts, begin, n = [], 0, len(text)
-    latin_lower_only = LATIN_UPPER.search(text) is None
     pos = 0
     while (m := RUN.search(text, pos)) is not None:
         i, j = m.span()
@@ -208,12 +230,18 @@ def _spans(text: str) -> list[tuple[int, int]]:
             before, after = text[i - 1 : i], text[i + 1 : i + 2]
             if before.isdigit() and (after.isdigit() or LIST_NUMBER.fullmatch(text, begin, i) and after):
                 continue
-            if _short_form(text, i, spaced):
+            if _short_form(text, begin, i, spaced):
                 continue
-            if LATIN_LETTER.match(before) and LATIN_LETTER.match(after) and not (LATIN_LOWER.match(before) and LATIN_UPPER.match(after)):
+            if after.isalpha() and before.isalpha() and LATIN_LETTER.match(before) and LATIN_LETTER.match(after) and not (before.islower() and after.isupper()):
                 continue
         elif "|" in run and LATIN_LETTER.match(text[:i].rstrip()[-1:] or " "):
             continue
+        if text[j : j + 1] == " " and "॥" not in run and not QUOTE.search(text, begin, j):
+            c = text[j + 1 : j + 2]
+            if c.isalpha() and not c.islower():  # the usual case: a space and a letter, no quotation
+                cuts.append(j)
+                begin = j
+                continue
         while k := MORE.match(text, j):
             j = k.end()
         if "॥" in run and (k := VERSE.match(text, j)):
@@ -244,9 +272,9 @@ def _spans(text: str) -> list[tuple[int, int]]:
             continue
         if quoted and WORDY.search(text, begin, at) and not LIST_NUMBER.fullmatch(text, begin, at):
             # the quotation stands inside the sentence: a question or exclamation lets it go on
-            if any(x in run for x in "?!؟") and not LATIN_UPPER.match(c):
+            if any(x in run for x in "?!؟") and not c.isupper():
                 continue
-        if LATIN_LOWER.match(c) and not latin_lower_only and (dot or quoted) and LATIN_LETTER.search(text, max(begin, i - 3), i):
+        if c.islower() and (dot or quoted) and LATIN_LETTER.search(text, max(begin, i - 3), i) and LATIN_UPPER.search(text):
             continue
         cuts.append(j)
         begin = pos = j
@@ -257,7 +285,7 @@ def _spans(text: str) -> list[tuple[int, int]]:
         if lead == len(piece):
             continue
         span = (a + lead, a + len(piece.rstrip()))
-        if out and not WORDY.search(text, *span):
+        if out and span[1] - span[0] < 12 and not WORDY.search(text, *span):
             out[-1] = (out[-1][0], span[1])
         else:
             out.append(span)
