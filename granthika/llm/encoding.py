@@ -70,7 +70,9 @@ def _plausible(c: str) -> bool:
         return True
     if 0x370 <= o < 0x530 or 0x1E00 <= o < 0x2000:
         return unicodedata.category(c)[0] == "L"
-    # a stage of text garbled twice: signs that the bytes of UTF-8 become
+    if 0x80 <= o < 0xA0:  # a stage of text garbled twice; the cost sees to it that none is left
+        return True
+    # the same: signs that the bytes of UTF-8 become
     return any(o in BYTES[k] for k in ("cp1252", "mac_roman", "cp437", "cp1251"))
 
 

@@ -4,8 +4,7 @@ A text is cut at its spaces into tokens. Almost every token is plain: it holds n
 look like another. The others are matched against the vocabulary of the stored texts: a trie of
 spellings is traversed with a weighted edit automaton in which look-alike letters and signs that
 are not seen cost nothing and everything else costs more than is allowed. The canonical spelling
-is the plain one among those reached, else the most frequent; a token that reaches none is
-normalized by table.
+is the plain one among those reached; a token that reaches none is normalized by table.
 """
 
 from __future__ import annotations
@@ -72,11 +71,14 @@ def _visible_joiner(text: str, i: int) -> bool:
 def fold(token: str) -> str:
     """The table's form of a token: unseen signs dropped, wide and look-alike characters replaced by
     the ordinary ones, spaces made one kind, letters composed. Folding twice changes nothing more."""
-    if any(j in token for j in JOINERS):
-        token = "".join(c for i, c in enumerate(token) if c not in JOINERS or _visible_joiner(token, i))
-    token = unicodedata.normalize("NFC", token.translate(TABLE))
-    token = SPLIT.sub(lambda m: SPLIT_VOWELS[m[0]], token)
-    return unicodedata.normalize("NFC", token.translate(TABLE))
+    while True:
+        before = token
+        if any(j in token for j in JOINERS):
+            token = "".join(c for i, c in enumerate(token) if c not in JOINERS or _visible_joiner(token, i))
+        token = unicodedata.normalize("NFC", token.translate(TABLE))
+        token = unicodedata.normalize("NFC", SPLIT.sub(lambda m: SPLIT_VOWELS[m[0]], token))
+        if token == before:  # a sign that fell away may have brought others together
+            return token
 
 
 ODD = re.compile("[" + "".join(map(re.escape, sorted(set(ONE) | set(IGNORED) | set(JOINERS)))) + "]")
@@ -166,10 +168,10 @@ def folded(tokens: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def choose(found: list[tuple[int, str]], counts: dict[str, int], table_form: str) -> str:
-    """The canonical spelling among those reached: plain before others, then frequent, then least."""
-    if not found:
-        return table_form
-    return min(found, key=lambda x: (x[0], fold(x[1]) != x[1], -counts[x[1]], x[1]))[1]
+    """The canonical spelling among those reached: of the plain ones the cheapest, then the most frequent,
+    then the least. Where none is plain, or nothing was reached, the table's form stands."""
+    plain = [x for x in found if fold(x[1]) == x[1]]
+    return min(plain, key=lambda x: (x[0], -counts[x[1]], x[1]))[1] if plain else table_form
 
 
 def _match(key: tuple, odd: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
