@@ -8,6 +8,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from granthika.llm.lines import bare
 from granthika.operators.skew import hot_keys, salt
+from granthika.session import cut
 
 SALTS = 64
 PAYLOAD = StructType([StructField(c, StringType()) for c in ("query_id", "doc_id", "text", "score", "rank", "_bad")])
@@ -54,7 +55,7 @@ def collapse(records: DataFrame, most_hot: int = 1000, least_hot: int = 10_000)
     twice. Hot keys, which are found exactly by partial counts merged in a shuffle, are aggregated in
     two levels over a salt, all others in one.
     """
-    records = records.where(F.col("key").isNotNull()).select("tbl", "key", "rec")
+    records = cut(records.where(F.col("key").isNotNull()).select("tbl", "key", "rec"))
     counts = records.groupBy("tbl", "key").agg(F.count(F.lit(1)).alias("n"))
     two, one = _groups(records, counts, hot_keys(counts, most=most_hot, least=least_hot))
     return two.unionByName(one).select("tbl", "keep_key", "copies")
@@ -66,7 +67,7 @@ def copies(records: DataFrame, most_hot: int = 1000, least_hot: int = 10_000) ->
     Same input and cases as ``collapse``. The records of hot keys meet their representative through
     a broadcast (at most ``most_hot`` rows); the others within a window over their own small group.
     """
-    records = records.where(F.col("key").isNotNull()).select("tbl", "key", "rec")
+    records = cut(records.where(F.col("key").isNotNull()).select("tbl", "key", "rec"))
     counts = records.groupBy("tbl", "key").agg(F.count(F.lit(1)).alias("n"), F.min("rec").alias("low"))
     hot = hot_keys(counts, most=most_hot, least=least_hot)
     two, _ = _groups(records, counts, hot)
