@@ -104,7 +104,8 @@ def undo(text: str, codec: str) -> tuple[str, int]:
         if not _plausible(c):
             return m[0]
         n += 1
-        signs += not m[0].isalpha()
+        # letters with two signs right behind them are no word
+        signs += LEAST_OF_LETTERS if len(m[0]) > 2 and not any(x.isalpha() for x in m[0][1:]) else not m[0].isalpha()
         return c
 
     out = SEQUENCE[codec].sub(back, text)

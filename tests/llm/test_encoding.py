@@ -36,6 +36,7 @@ def test_twice_and_in_part():
     assert repair(garble(garble(ENGLISH, "latin-1"), "cp1252"))[1] == ENGLISH
     part = HINDI + " " + garble(HINDI, "mac_roman") + " “café”"
     assert repair(part)[:2] == (True, HINDI + " " + HINDI + " “café”")
+    assert repair("टिकट в‚№1,252 है")[:2] == (True, "टिकट ₹1,252 है")
     assert repair("a &amp; b &#2325;")[1] == "a & b क"
 
 
