@@ -112,3 +112,21 @@ def consistency(hits: DataFrame, store: DataFrame) -> DataFrame:
     named = hits.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     have = store.select("doc_id").distinct().withColumn("have", F.lit(True))
     return named.join(have, "doc_id", "left").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("refs"), F.count(F.lit(1)).alias("ids"), F.count_if(F.col("have").isNull()).alias("ids_without_text"))
+
+
+def with_default(df: DataFrame, dimension: DataFrame, key: str, value: str, default: str) -> DataFrame:
+    """``df`` with ``value`` looked up in ``dimension`` (``key, value``; one row per key), else ``default``.
+
+    Spark broadcasts the dimension where its size is below the broadcast threshold, and shuffles beyond.
+    """
+    return df.join(dimension.select(key, value), key, "left").withColumn(value, F.coalesce(value, F.lit(default)))
+
+
+def latest(df: DataFrame, key: str, order: list[str], *values: str) -> DataFrame:
+    """``key`` and of its last row (by ``order``) the ``values``: an aggregate, so a hot key is combined early."""
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*values), F.struct(*order)).alias("_l")).select(key, *[F.col(f"_l.{v}").alias(v) for v in values])
+
+
+def sample_by_hash(df: DataFrame, text: str, n: int) -> DataFrame:
+    """``n`` rows in the order of a hash of ``text``: random in effect, the same on every run."""
+    return df.where(F.col(text).isNotNull()).orderBy(F.sha2(F.col(text), 256), text).limit(n)

@@ -66,6 +66,23 @@ def word_stats(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").groupBy(F.coalesce("source", F.lit("none")).alias("source")).agg(F.count(F.lit(1)).alias("docs"), F.sum(n).alias("n_words"), F.max(n).alias("most_words"))
 
 
+def latest_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Of every client the last request."""
+    return corpus.latest(table(spark, sf, "requests"), "client_id", ["received_at", "query_id"], "query_id", "k")
+
+
+def query_sample(spark: SparkSession, sf: str) -> DataFrame:
+    """200 answer-key questions in hash order."""
+    return corpus.sample_by_hash(table(spark, sf, "qrels").select("qrel_id", "q"), "q", 200)
+
+
+def languages_named(spark: SparkSession, sf: str) -> DataFrame:
+    """Passages per language with a name from a dimension, unknown ones under a default."""
+    names = spark.createDataFrame([("hi", "Hindi"), ("bn", "Bengali"), ("ta", "Tamil"), ("ur", "Urdu")], "lang string, name string")
+    store = table(spark, sf, "passage_store").select(F.col("l").alias("lang"))
+    return corpus.with_default(store, names, "lang", "name", "other").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _texts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "passage_store").select(F.col("doc_id").alias("owner"), F.col("l").alias("lang"), F.col("t").alias("text"))
 
@@ -172,6 +189,9 @@ SQL = {
     "store_consistency": "with named as (select doc_id, count(*) as n from search_hits where doc_id is not null group by 1) select cast(coalesce(sum(n), 0) as bigint) as refs, count(*) as ids, count(*) filter (doc_id not in (select doc_id from passage_store)) as ids_without_text from named",
     "store_by_language": "select coalesce(l, 'unk') as lang, count(*) as n, max(length(t)) as longest from passage_store group by 1",
     "word_stats": rf"select coalesce(source, 'none') as source, count(*) as docs, cast(sum(coalesce(len({WORDS.replace('@', 'text')}), 0)) as bigint) as n_words, max(coalesce(len({WORDS.replace('@', 'text')}), 0)) as most_words from documents group by 1",
+    "latest_requests": "select client_id, r.query_id, r.k from (select client_id, max({'a': received_at, 'query_id': query_id, 'k': k}) as r from requests where client_id is not null group by 1)",
+    "query_sample": "select qrel_id, q from qrels where q is not null order by sha256(q), q limit 200",
+    "languages_named": "select case l when 'hi' then 'Hindi' when 'bn' then 'Bengali' when 'ta' then 'Tamil' when 'ur' then 'Urdu' else 'other' end as name, count(*) as n from passage_store group by 1",
     "chunk_passage": "select doc_id as owner, 'passage' as strategy, 0 as pos, 1 as n_parts, t as text from passage_store",
     "chunk_sentence_window": f"with {TEXTS}, {SENTENCES} select owner, 'sentence_window' as strategy, pos, n_parts, text, window_text from windows",
     "chunk_sliding_window": f"with {TEXTS}, {SLIDING} select owner, 'sliding_window' as strategy, pos, n_parts, text from sliding",
@@ -182,5 +202,5 @@ SQL = {
 }
 QUERIES = {
     f: globals()[f]
-    for f in "extracted_passages extracted_english passage_dedup passages_not_stored dedup_stats qrels_build row_boundary_limit slice_corpus hits_with_text store_consistency store_by_language word_stats chunk_passage chunk_sentence_window chunk_sliding_window chunk_semantic chunk_metadata_aware chunk_stats".split()
+    for f in "extracted_passages extracted_english passage_dedup passages_not_stored dedup_stats qrels_build row_boundary_limit slice_corpus hits_with_text store_consistency store_by_language word_stats latest_requests query_sample languages_named chunk_passage chunk_sentence_window chunk_sliding_window chunk_semantic chunk_metadata_aware chunk_stats".split()
 }

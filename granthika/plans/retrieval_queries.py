@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from granthika.functions.text import tokens
 from granthika.functions.vectors import hashed_encoder, int8, norm, sign_bits
-from granthika.operators import corpus, dense, evaluation, lexical
+from granthika.operators import chunking, corpus, dense, evaluation, lexical
 from granthika.sources.tables import table
 
 
@@ -114,6 +114,29 @@ def hybrid_topk(spark: SparkSession, sf: str) -> DataFrame:
     return lexical.fuse([near, lexical.bm25(q, d, 20).select("query_id", "doc_id", "rank")], 10).select("query_id", "doc_id", "rank")
 
 
+def chunking_leaderboard(spark: SparkSession, sf: str) -> DataFrame:
+    """Each chunking strategy searched with hashed vectors: chunks per passage, recall and rank of the answer key.
+
+    The 80 best chunks per question, of each passage its best, the 20 best passages.
+    """
+    q = table(spark, sf, "qrels").where("qrel_id % 20 = 0")
+    relevant = q.select(F.col("qrel_id").alias("query_id"), F.explode("rel").alias("doc_id")).where("doc_id is not null")
+    encoder = hashed_encoder()
+    qv = q.select(F.col("qrel_id").alias("vec_id"), encoder(tokens(F.col("q"))).alias("embedding"))
+    texts = table(spark, sf, "passage_store").select(F.col("doc_id").alias("owner"), F.col("l").alias("lang"), F.col("t").alias("text"))
+    n_passages = texts.agg(F.count(F.lit(1)).alias("n_passages"))
+    out = None
+    for strategy in chunking.STRATEGIES:
+        c = chunking.chunks(texts, strategy).withColumn("vec_id", F.xxhash64("owner", "pos"))
+        hits = dense.top_k(qv, c.select("vec_id", encoder(tokens(F.col("text"))).alias("embedding")), 80, exclude_self=False)
+        owned = hits.join(c.select(F.col("vec_id").alias("hit_id"), "owner"), "hit_id")
+        best = evaluation.best_per_owner(owned).withColumnRenamed("owner", "doc_id")
+        scores = evaluation.recall_mrr(qv.select(F.col("vec_id").alias("query_id")), best, relevant)
+        row = scores.join(c.agg(F.count(F.lit(1)).alias("n_chunks"))).join(n_passages).withColumn("strategy", F.lit(strategy)).withColumn("chunks_per_passage", F.round(F.col("n_chunks") / F.col("n_passages"), 2))
+        out = row if out is None else out.unionByName(row)
+    return out.orderBy(F.desc("recall_at_10"), "strategy")
+
+
 # ---- SQL ---------------------------------------------------------------------------------------
 def _topk_sql(score: str, k: int, name: str = "hits") -> str:
     return f"""{name}_all as (select q.vec_id as query_id, c.vec_id as hit_id, {score} as score from embeddings q join embeddings c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0),
@@ -166,5 +189,5 @@ SQL = {
 }
 QUERIES = {
     f: globals()[f]
-    for f in "dense_topk vector_norms index_stats quantize_int8 quantize_bits int8_topk hamming_topk two_tier_topk relevance_gate self_retrieval owner_dedup_topk recall_mrr term_stats bm25_topk bm25_recall rrf_fusion hybrid_topk".split()
+    for f in "dense_topk vector_norms index_stats quantize_int8 quantize_bits int8_topk hamming_topk two_tier_topk relevance_gate self_retrieval owner_dedup_topk recall_mrr term_stats bm25_topk bm25_recall rrf_fusion hybrid_topk chunking_leaderboard".split()
 }

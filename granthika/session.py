@@ -26,11 +26,13 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared checkpoint folder, with its lineage cut.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where none is set
-    (tests on one machine) a folder of our own is taken.
+    The folder is the one that the session names in ``spark.checkpoint.dir``, which all executors share,
+    so a lost executor loses nothing; only where none is named (tests on one machine) and none was set
+    on the context a folder of our own is taken.
     """
-    sc = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = sc.getConf().get("spark.checkpoint.dir")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="granthika-"))
     return df.checkpoint(eager=True)
