@@ -31,10 +31,11 @@ def rates(sized: DataFrame, targets: DataFrame, total_tokens: float | None = Non
     have = sized.where("source is not null").groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_tokens").alias("tokens"))
     r = t.join(have, "source", "left").fillna(0, ["docs", "tokens"])
     can = (F.col("tokens") > 0) & (F.col("target_share") > 0) & (F.col("max_repeats") > 0)
-    limits = r.where(can).agg(F.sum("target_share").alias("_reachable"), F.min(F.col("max_repeats") * F.col("tokens") / F.col("target_share")).alias("_per_share"))
-    total = F.lit(float(total_tokens)) if total_tokens is not None else F.col("_per_share") * F.col("_reachable")
-    rate = total * F.col("target_share") / F.col("_reachable") / F.col("tokens")
-    return r.join(F.broadcast(limits), F.lit(True), "left").select("source", "target_share", "max_repeats", "docs", "tokens", F.when(can, F.least(rate, F.col("max_repeats").cast("double"))).otherwise(0.0).alias("rate"))
+    reachable = r.where(can).agg(F.sum("target_share").alias("s")).scalar()
+    per_share = r.where(can).agg(F.min(F.col("max_repeats") * F.col("tokens") / F.col("target_share")).alias("t")).scalar()
+    total = F.lit(float(total_tokens)) if total_tokens is not None else per_share * reachable
+    rate = total * F.col("target_share") / reachable / F.col("tokens")
+    return r.select("source", "target_share", "max_repeats", "docs", "tokens", F.when(can, F.least(rate, F.col("max_repeats").cast("double"))).otherwise(0.0).alias("rate"))
 
 
 def mixture(documents: DataFrame, targets: DataFrame, total_tokens: float | None = None, seed: int = 42, tokenizer: str = TOKENIZER) -> DataFrame:
