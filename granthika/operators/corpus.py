@@ -60,9 +60,9 @@ def answer_key(passages: DataFrame) -> DataFrame:
 def counts(passages: DataFrame) -> DataFrame:
     """One row: ``n_rows, raw, unique, dropped, dedup_ratio``; an empty table counts zero of each."""
     per_text = passages.groupBy(content_id(F.col("text")).alias("doc_id")).agg(F.count(F.lit(1)).alias("n"))
+    n_rows = passages.select("row_id").distinct().agg(F.count(F.lit(1)).alias("n_rows")).scalar()
     texts = per_text.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("raw"), F.count(F.lit(1)).alias("unique"))
-    rows = passages.select("row_id").distinct().agg(F.count(F.lit(1)).alias("n_rows"))
-    return rows.join(texts).select("n_rows", "raw", "unique", (F.col("raw") - F.col("unique")).alias("dropped"), (1 - F.col("unique") / F.greatest("raw", F.lit(1))).alias("dedup_ratio"))
+    return texts.select(n_rows.alias("n_rows"), "raw", "unique", (F.col("raw") - F.col("unique")).alias("dropped"), (1 - F.col("unique") / F.greatest("raw", F.lit(1))).alias("dedup_ratio"))
 
 
 def running(df: DataFrame, key: str, value: str, out: str, width: int = RANGE_ROWS) -> DataFrame:

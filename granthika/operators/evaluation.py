@@ -57,8 +57,8 @@ def bucketed(responses: DataFrame, cold: int) -> DataFrame:
 
     The boundary is one row found by a top-k, not a window over all rows.
     """
-    edge = responses.select("query_id").orderBy("query_id").limit(cold).agg(F.max("query_id").alias("_edge"))
-    return responses.join(F.broadcast(edge)).withColumn("bucket", F.when(F.col("query_id") <= F.col("_edge"), "cold").otherwise("warm")).drop("_edge")
+    edge = responses.select("query_id").orderBy("query_id").limit(cold).agg(F.max("query_id").alias("edge")).scalar()
+    return responses.withColumn("bucket", F.when(F.col("query_id") <= edge, "cold").otherwise("warm"))
 
 
 def latency_report(responses: DataFrame, cold: int = 20) -> DataFrame:

@@ -40,14 +40,15 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, k1: float = K1, b: fl
     """
     post = postings(docs)
     stats = corpus_stats(docs)
+    n_docs, avgdl = stats.select("n_docs").scalar(), stats.select("avgdl").scalar()
     q = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
     # only terms that some query has
     wanted = q.select("term").distinct()
     used = post.join(wanted, "term", "left_semi")
     salted = used.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = q.join(term_stats(used), "term").join(F.broadcast(stats)).select("query_id", "term", (F.col("qf") * idf).alias("w"), "avgdl", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    part = F.col("w") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighted = q.join(term_stats(used), "term").select("query_id", "term", (F.col("qf") * idf).alias("w"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    part = F.col("w") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
     scored = weighted.join(salted, ["term", "_salt"]).groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 9).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return scored.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k).select("query_id", "doc_id", "score", "rank")

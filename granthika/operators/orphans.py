@@ -71,12 +71,16 @@ def orphans(references: DataFrame, parents: DataFrame, buckets: int = BUCKETS, m
     # keys that no record refers to need no code
     codes = cut(dictionary(used.select("key"), buckets))
     coded = used.join(codes, "key")
-    periods = used.select("period").distinct().withColumn("_from", F.to_timestamp("period", "yyyy-MM").cast("timestamp_ntz")).withColumn("_to", F.expr("_from + interval 1 month"))
-    # the periods through which a parent exists as a whole; there are as many periods as months
+    # the months through which a parent exists as a whole, between the first and the last with a reference
+    month = lambda which: F.to_date(F.concat(used.agg(which("period").alias("p")).scalar(), F.lit("-01")))
+    begin = F.when(F.col("stored_at") <= F.trunc("stored_at", "month").cast("timestamp_ntz"), F.trunc("stored_at", "month")).otherwise(F.add_months(F.trunc("stored_at", "month"), 1))
+    first, last = F.greatest(begin, month(F.min)), F.least(F.add_months(F.trunc("deleted_at", "month"), -1), month(F.max))
     through = (
         own.join(codes, "key")
-        .join(F.broadcast(periods), F.expr("(stored_at is null or stored_at <= _from) and (deleted_at is null or deleted_at >= _to)"))
-        .select("period", "code")
+        .select("code", first.alias("_first"), last.alias("_last"))
+        .where("_first <= _last")
+        .select("code", F.explode(F.expr("sequence(_first, _last, interval 1 month)")).alias("_month"))
+        .select("code", F.date_format("_month", "yyyy-MM").alias("period"))
     )
     left = decode(and_not(bitmap(coded, "tbl", "period"), bitmap(through, "period"), "period"), "tbl", "period")
     suspects = left.join(coded, ["tbl", "period", "code"]).select("tbl", "period", "key", "n")

@@ -13,8 +13,8 @@ def hot_keys(counts: DataFrame, n: str = "n", most: int = 1000, least: int = 10_
     ``most`` of all rows and at least ``least`` rows; so there are never more than ``most`` hot keys,
     which is the bound under which they may be broadcast. An empty table has no hot key.
     """
-    total = counts.agg(F.coalesce(F.sum(n), F.lit(0)).alias("_total"))
-    return counts.join(F.broadcast(total), F.col(n) >= F.greatest(F.lit(least), F.ceil(F.col("_total") / most)), "inner").drop("_total")
+    total = counts.agg(F.coalesce(F.sum(n), F.lit(0)).alias("total")).scalar()
+    return counts.where(F.col(n) >= F.greatest(F.lit(least), F.ceil(total / most)))
 
 
 def salt(of: Column, parts: int) -> Column:

@@ -29,7 +29,7 @@ def quantize_int8(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def quantize_bits(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "embeddings").select("vec_id", F.array_join(F.transform(sign_bits(F.col("embedding")), lambda x: F.conv(x.cast("string"), 10, -2)), ",").alias("bits"))
+    return table(spark, sf, "embeddings").select("vec_id", F.array_join(F.transform(sign_bits(F.col("embedding")), lambda x: F.lpad(F.bin(x), 64, "0")), ",").alias("bits"))
 
 
 def _rounded(hits: DataFrame, digits: int = 6) -> DataFrame:
@@ -124,7 +124,7 @@ def chunking_leaderboard(spark: SparkSession, sf: str) -> DataFrame:
     encoder = hashed_encoder()
     qv = q.select(F.col("qrel_id").alias("vec_id"), encoder(tokens(F.col("q"))).alias("embedding"))
     texts = table(spark, sf, "passage_store").select(F.col("doc_id").alias("owner"), F.col("l").alias("lang"), F.col("t").alias("text"))
-    n_passages = texts.agg(F.count(F.lit(1)).alias("n_passages"))
+    n_passages = texts.agg(F.count(F.lit(1)).alias("n_passages")).scalar()
     out = None
     for strategy in chunking.STRATEGIES:
         c = chunking.chunks(texts, strategy).withColumn("vec_id", F.xxhash64("owner", "pos"))
@@ -132,7 +132,8 @@ def chunking_leaderboard(spark: SparkSession, sf: str) -> DataFrame:
         owned = hits.join(c.select(F.col("vec_id").alias("hit_id"), "owner"), "hit_id")
         best = evaluation.best_per_owner(owned).withColumnRenamed("owner", "doc_id")
         scores = evaluation.recall_mrr(qv.select(F.col("vec_id").alias("query_id")), best, relevant)
-        row = scores.join(c.agg(F.count(F.lit(1)).alias("n_chunks"))).join(n_passages).withColumn("strategy", F.lit(strategy)).withColumn("chunks_per_passage", F.round(F.col("n_chunks") / F.col("n_passages"), 2))
+        n_chunks = c.agg(F.count(F.lit(1)).alias("n_chunks")).scalar()
+        row = scores.select(F.lit(strategy).alias("strategy"), "*", n_chunks.alias("n_chunks"), F.round(n_chunks / n_passages, 2).alias("chunks_per_passage"))
         out = row if out is None else out.unionByName(row)
     return out.orderBy(F.desc("recall_at_10"), "strategy")
 
@@ -171,6 +172,8 @@ SQL = {
     "vector_norms": "select vec_id, round(sqrt(list_dot_product(embedding::double[], embedding::double[])), 6) as norm from embeddings",
     "index_stats": "with n as (select len(embedding) as d, sqrt(list_dot_product(embedding::double[], embedding::double[])) as v from embeddings) select count(*) as n, max(d) as dims, round(count(*) * max(d) * 32 / 8 / 1e6, 3) as float_mb, round(count(*) * max(d) * 8 / 8 / 1e6, 3) as int8_mb, round(count(*) * max(d) * 1 / 8 / 1e6, 3) as binary_mb, round(avg(v), 6) as mean_norm, avg(v) > 0.99 and avg(v) < 1.01 as unit from n",
     "quantize_int8": f"select vec_id, array_to_string(list_transform({Q8.format('embedding')}, lambda x: cast(x as int)), ',') as q from embeddings",
+    # one word of 64 bits, the first component lowest: the vectors of the tables have 64 components
+    "quantize_bits": "select vec_id, array_to_string(list_reverse(list_transform(embedding, lambda x: case when x > 0 then '1' else '0' end)), '') as bits from embeddings",
     "dense_topk": f"with {_topk_sql(DOT, 10)} select query_id, hit_id, round(score, 6) as score, rank from hits",
     "int8_topk": f"with {_topk_sql(DOT8, 10)} select * from hits",
     "hamming_topk": f"with {_topk_sql(HAM, 10)} select * from hits",
