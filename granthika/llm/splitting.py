@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from granthika.llm.sentences import spans
-from granthika.sources.tables import strip
+from granthika.sources.tables import SPACES, not_blank, strip
 
 LIMIT, OVERLAP, LEAST, WINDOW = 800, 100, 200, 24
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -110,12 +110,13 @@ def pieces(df: DataFrame, text: str | Column, *keys: str, limit: int = LIMIT, ov
     """
     col = F.col(text) if isinstance(text, str) else text
     inner = strip(F.col("_t"))
-    lead = F.length("_t") - F.length(F.regexp_replace("_t", r"^[\s\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+", ""))
+    lead = F.length("_t") - F.length(F.ltrim("_t", F.lit(SPACES)))
     whole = F.array(F.struct(lead.cast("int").alias("start"), lead.cast("int").alias("core"), (lead + F.length(inner)).cast("int").alias("end")))
     return (
         df.select(*keys, col.alias("_t"))
-        .where(F.length(inner) > 0)
-        .withColumn("_long", F.when(F.length(inner) > limit, F.col("_t")))
+        .where(not_blank(F.col("_t")))
+        # a text of few enough characters needs no look at the white space around it
+        .withColumn("_long", F.when((F.length("_t") > limit) & (F.length(inner) > limit), F.col("_t")))
         .withColumn("_cut", piece_spans(limit, overlap, least)("_long"))
         .withColumn("_p", F.coalesce("_cut", whole))
         .select(*keys, "_t", F.size("_p").alias("n_pieces"), F.posexplode("_p").alias("piece_no", "_q"))
