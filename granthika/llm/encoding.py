@@ -12,7 +12,7 @@ import heapq
 import html
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -143,8 +143,10 @@ def repair(text: str | None, most_states: int = MOST_STATES) -> tuple[bool, str
             if (h := hash(out)) in seen:
                 continue
             seen.add(h)
-            tick += 1
-            heapq.heappush(queue, (cost(out) + STEP_COST * (len(path) + 1), tick, out, (*path, name)))
+            reached = cost(out) + STEP_COST * (len(path) + 1)
+            if reached < c:  # every step has to gain something
+                tick += 1
+                heapq.heappush(queue, (reached, tick, out, (*path, name)))
     final = best[2]
     lost = final.count("\ufffd")
     garbled = bool(best[3]) or lost > 0 or bool(CONTROL.search(text))
@@ -154,7 +156,16 @@ def repair(text: str | None, most_states: int = MOST_STATES) -> tuple[bool, str
 def suspects() -> str:
     """A Java pattern that every garbled text matches: two neighbours that could be lead and further
     byte of a sequence, a control or lost character, or a character reference."""
-    esc = lambda cs: "".join(f"\\x{{{ord(c):x}}}" for c in sorted(set(cs)))
+    def esc(chars: Iterable[str]) -> str:
+        """A class of the characters as ranges, which are much faster to test than single ones."""
+        out, codes = [], sorted({ord(c) for c in chars})
+        for k, c in enumerate(codes):
+            if k and codes[k - 1] == c - 1:
+                out[-1][1] = c
+            else:
+                out.append([c, c])
+        return "".join(f"\\x{{{lo:x}}}-\\x{{{hi:x}}}" for lo, hi in out)
+
     tables = [t for c, t in TABLES.items() if c != "cp1256"]
     lead = esc(t[b] for t in tables for b in range(0xC2, 0xF5))
     more = esc(t[b] for t in TABLES.values() for b in range(0x80, 0xC0) if not "\u0600" <= t[b] < "\u0780")
@@ -162,6 +173,10 @@ def suspects() -> str:
     return rf"[{lead}][{more}]|[\x{{e0}}\x{{e2}}][{arabic}]|[\x{{637}}-\x{{63a}}][\x{{a0}}-\x{{bf}}\x{{201a}}-\x{{2122}}]|[\x{{80}}-\x{{84}}\x{{86}}-\x{{9f}}\x{{fffd}}]|&#?[A-Za-z0-9]{{2,31}};"
 
 
+#: characters of which every suspicious text has one: signs and letters other than ASCII, Arabic, Indic
+RARE = r"[&[^\x{0}-\x{7f}\x{600}-\x{6ff}\x{900}-\x{dff}\x{20b9}]]"
+
+
 @F.pandas_udf(FIXED)
 def repaired(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for series in texts:
@@ -175,9 +190,12 @@ def restore(df: DataFrame, text: str | Column, *keys: str) -> DataFrame:
     and clean texts give no row, whatever their length; repeated rows come out repeated.
     """
     col = F.col(text) if isinstance(text, str) else text
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         df.select(*keys, col.alias("_t"))
-        .where(F.col("_t").rlike(suspects()))
+        .where(F.col("_t").rlike(RARE) & F.col("_t").rlike(suspects()))
+        # the few suspects cost much each, and garbled texts come together: deal them evenly
+        .repartition(tasks)
         .withColumn("_r", repaired("_t"))
         .where("_r.garbled")
         .select(*keys, F.col("_t").alias("garbled_text"), F.col("_r.text").alias("restored_text"), F.col("_r.steps").alias("steps"), F.col("_r.lost").alias("lost"))
