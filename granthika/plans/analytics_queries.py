@@ -159,6 +159,32 @@ SQL = {
       select count(*) as n_queries, {', '.join(f'round(avg(case when first <= {k} then 1.0 else 0.0 end), 6) as recall_at_{k}' for k in evaluation.CUTS)}, round(avg(coalesce(1.0 / first, 0.0)), 6) as mrr
       from (select distinct query_id from asked) left join f using (query_id)""",
 }
+EVENTS = f"""
+parts as (
+  select query_id, coalesce(list_position({STAGE_LIST}, e.key) - 1, 50) * 2 as place, 'stage' as type, e.key as stage, e.value as ms from (select query_id, unnest(map_entries(timings_ms)) as e from responses)
+  union all select query_id, 9, 'passages', null, null from responses where passages is not null
+  union all select query_id, 13, 'token', null, null from responses where answer is not null
+  union all select query_id, 101, 'refusal', null, null from responses where refused
+  union all select query_id, 102, 'done', null, total_ms from responses),
+event_list as (select query_id, cast(row_number() over (partition by query_id order by place, type, stage) - 1 as int) as seq, type, stage, ms from parts)
+"""
+HELD = f"""
+pieces as (
+  select query_id, pos - 1 as seq, piece from (
+    select query_id, unnest(p) as piece, generate_subscripts(p, 1) as pos
+    from (select query_id, regexp_extract_all(coalesce(answer, case when refused then '{events.SENTINEL}' end), '\\s*\\S{{1,6}}') as p from responses))),
+grown as (select *, string_agg(piece, '' order by seq) over (partition by query_id order by seq) as so_far from pieces),
+flagged as (select *, starts_with('{events.SENTINEL}', trim(so_far)) as held from grown),
+shown as (select *, coalesce(bool_and(held) over (partition by query_id order by seq rows between unbounded preceding and 1 preceding), true) as before from flagged)
+"""
+SQL |= {
+    "event_rows": f"with {EVENTS} select * from event_list",
+    "event_contract": f"""select query_id, coalesce(len(map_keys(timings_ms)), 0) + (passages is not null)::int + (answer is not null)::int + coalesce(refused, false)::int + 1 as n_events,
+      coalesce(len(list_filter(map_keys(timings_ms), lambda x: not list_contains({STAGE_LIST}, x))) = 0, true) as known, true as done_last,
+      case when refused then 'refused' when answer is not null then 'answered' when passages is not null then 'passages' else 'broken' end as ending,
+      case when refused and answer is not null then 'unverified' when refused then 'refused' else 'done' end as state from responses""",
+    "hold_back": f"with {HELD} select query_id, seq, case when before then so_far else piece end as text from shown where not held",
+}
 QUERIES = {
     f: globals()[f]
     for f in "safety_screen screen_counts answer_grounding grounding_detail answers_normalized prompt_context relevance_floor refusal_counts latency_report latency_floor_rank stage_waterfall budget_flags rolling_history event_percentiles score_separation hit_recall event_rows event_contract hold_back".split()
