@@ -303,6 +303,10 @@ def sentence_spans(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield series.map(lambda t: [{"start": a, "end": b} for a, b in spans(t)])
 
 
+# marked so that Spark does not evaluate it once more for a filter that it pushes below or infers
+sentence_spans = sentence_spans.asNondeterministic()
+
+
 def sentences(df: DataFrame, text: str | Column, *keys: str) -> DataFrame:
     """``keys`` plus ``sent_no`` (from 0), ``start_char``, ``end_char`` and ``sentence``, a row per sentence.
 
