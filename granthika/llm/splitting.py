@@ -99,7 +99,7 @@ def piece_spans(limit: int = LIMIT, overlap: int = OVERLAP, least: int = LEAST):
         for series in texts:
             yield series.map(lambda t: None if t is None else [dict(zip(("start", "core", "end"), p)) for p in cut(t, limit, overlap, least)])
 
-    return cut_all
+    return cut_all.asNondeterministic()  # else evaluated once more for inferred filters
 
 
 def pieces(df: DataFrame, text: str | Column, *keys: str, limit: int = LIMIT, overlap: int = OVERLAP, least: int = LEAST) -> DataFrame:
