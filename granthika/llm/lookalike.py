@@ -167,6 +167,10 @@ def folded(tokens: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield series.map(lambda t: None if t is None else fold(t))
 
 
+# marked so that Spark does not evaluate them once more where their columns are used
+odd, folded = odd.asNondeterministic(), folded.asNondeterministic()
+
+
 def choose(found: list[tuple[int, str]], counts: dict[str, int], table_form: str) -> str:
     """The canonical spelling among those reached: of the plain ones the cheapest, then the most frequent,
     then the least. Where none is plain, or nothing was reached, the table's form stands."""
