@@ -183,6 +183,10 @@ def repaired(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([repair(t) for t in series], columns=["garbled", "text", "steps", "cost", "lost"])
 
 
+# marked so that Spark does not search once more for the filter on the outcome
+repaired = repaired.asNondeterministic()
+
+
 def restore(df: DataFrame, text: str | Column, *keys: str) -> DataFrame:
     """The garbled rows of ``df``: ``keys, garbled_text, restored_text, steps, lost``.
 
