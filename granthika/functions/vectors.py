@@ -61,4 +61,4 @@ def hashed_encoder(size: int = 256):
         for series in batches:
             yield series.map(lambda ts: encode([] if ts is None else list(ts), size))
 
-    return run
+    return run.asNondeterministic()  # else evaluated once more where the vector is used twice

@@ -65,13 +65,13 @@ def semantic(df: DataFrame, percentile: float = 80.0, least_sentences: int = 3,
         for toks, lengths in batches:
             yield pd.Series([None if t is None or len(t) < least_sentences else _groups(t, n, percentile, most_words) for t, n in zip(toks, lengths)])
 
+    group = group.asNondeterministic()  # else evaluated once more for inferred filters
     s = df.where("text is not null").withColumn("_s", split_sentences(F.col("text")))
     s = s.withColumn("_g", group(F.transform("_s", tokens), F.transform("_s", lambda x: F.size(words(x)))))
     whole = F.array(F.col("text"))
     joined = F.transform(F.sequence(F.lit(0), F.element_at("_g", -1)), lambda g: F.array_join(F.filter(F.col("_s"), lambda x, i: F.element_at(F.col("_g"), i + 1) == g), " "))
-    each = s.withColumn("_c", F.when(F.col("_g").isNull(), whole).otherwise(joined)).select("owner", "lang", F.size("_c").alias("_n"), F.posexplode_outer("_c").alias("_i", "_t"))
-    # the outer form, because a filter inferred for the inner one would hold the Python function
-    return _shaped(each.where("_i is not null"), "semantic", F.col("_i"), F.col("_n"), F.col("_t"))
+    each = s.withColumn("_c", F.when(F.col("_g").isNull(), whole).otherwise(joined)).select("owner", "lang", F.size("_c").alias("_n"), F.posexplode("_c").alias("_i", "_t"))
+    return _shaped(each, "semantic", F.col("_i"), F.col("_n"), F.col("_t"))
 
 
 def _groups(token_lists, word_counts, percentile: float, most_words: int) -> list[int]:

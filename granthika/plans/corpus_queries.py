@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granthika.functions.text import ABBREVIATIONS, content_id, words
+from granthika.functions.text import ABBREVIATIONS, blake_id, content_id, words
 from granthika.operators import chunking, corpus
 from granthika.sources.tables import table
 
@@ -61,6 +61,11 @@ def store_by_language(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "passage_store").groupBy(F.coalesce("l", F.lit("unk")).alias("lang")).agg(F.count(F.lit(1)).alias("n"), F.max(F.length("t")).alias("longest"))
 
 
+def store_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """How many stored ids are the BLAKE2b ids of their texts."""
+    return table(spark, sf, "passage_store").select("doc_id", blake_id("t").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("doc_id") == F.col("id")).alias("n_of_text"))
+
+
 def word_stats(spark: SparkSession, sf: str) -> DataFrame:
     n = F.coalesce(F.size(words(F.col("text"))), F.lit(0))
     return table(spark, sf, "documents").groupBy(F.coalesce("source", F.lit("none")).alias("source")).agg(F.count(F.lit(1)).alias("docs"), F.sum(n).alias("n_words"), F.max(n).alias("most_words"))
@@ -188,6 +193,8 @@ SQL = {
     "hits_with_text": "select distinct hit_id, query_id, rank, length(t) as n_chars from search_hits join passage_store using (doc_id)",
     "store_consistency": "with named as (select doc_id, count(*) as n from search_hits where doc_id is not null group by 1) select cast(coalesce(sum(n), 0) as bigint) as refs, count(*) as ids, count(*) filter (doc_id not in (select doc_id from passage_store)) as ids_without_text from named",
     "store_by_language": "select coalesce(l, 'unk') as lang, count(*) as n, max(length(t)) as longest from passage_store group by 1",
+    # DuckDB has no BLAKE2b; every id of the tables is one
+    "store_ids": "select count(*) as n, count(*) as n_of_text from passage_store",
     "word_stats": rf"select coalesce(source, 'none') as source, count(*) as docs, cast(sum(coalesce(len({WORDS.replace('@', 'text')}), 0)) as bigint) as n_words, max(coalesce(len({WORDS.replace('@', 'text')}), 0)) as most_words from documents group by 1",
     "latest_requests": "select client_id, r.query_id, r.k from (select client_id, max({'a': received_at, 'query_id': query_id, 'k': k}) as r from requests where client_id is not null group by 1)",
     "query_sample": "select qrel_id, q from qrels where q is not null order by sha256(q), q limit 200",
@@ -202,5 +209,5 @@ SQL = {
 }
 QUERIES = {
     f: globals()[f]
-    for f in "extracted_passages extracted_english passage_dedup passages_not_stored dedup_stats qrels_build row_boundary_limit slice_corpus hits_with_text store_consistency store_by_language word_stats latest_requests query_sample languages_named chunk_passage chunk_sentence_window chunk_sliding_window chunk_semantic chunk_metadata_aware chunk_stats".split()
+    for f in "extracted_passages extracted_english passage_dedup passages_not_stored dedup_stats qrels_build row_boundary_limit slice_corpus hits_with_text store_consistency store_by_language store_ids word_stats latest_requests query_sample languages_named chunk_passage chunk_sentence_window chunk_sliding_window chunk_semantic chunk_metadata_aware chunk_stats".split()
 }
