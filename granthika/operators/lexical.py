@@ -40,7 +40,8 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, k1: float = K1, b: fl
     """
     post = postings(docs)
     stats = corpus_stats(docs)
-    n_docs, avgdl = stats.select("n_docs").scalar(), stats.select("avgdl").scalar()
+    whole = stats.select(F.struct("n_docs", "avgdl").alias("whole")).scalar()
+    n_docs, avgdl = whole["n_docs"], whole["avgdl"]
     q = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
     # only terms that some query has
     wanted = q.select("term").distinct()
