@@ -28,6 +28,7 @@ STEP_COST = 1.0
 #: before words are taken for bytes
 ALPHABETS = ("cp1251", "cp866", "koi8-r", "cp1256")
 LEAST_OF_LETTERS = 3
+FAR_BEHIND = 0.2
 MOST_STATES = 64
 FIXED = StructType([StructField("garbled", BooleanType()), StructField("text", StringType()), StructField("steps", StringType()), StructField("cost", DoubleType()), StructField("lost", IntegerType())])
 
@@ -78,7 +79,10 @@ def _plausible(c: str) -> bool:
 
 #: the first two bytes of Indic and of Arabic letters, as the Western and the Arabic encoding show them
 HALF = "\u00e0[\u00a4-\u00b7]|[\u0637\u0638\u0639\u063a\u00d8-\u00db][\u00a0-\u00bf\u201a-\u2122]"
-PAIR = re.compile("|".join(p.pattern for c, p in SEQUENCE.items() if c in ("cp1252", "latin-1", "mac_roman", "cp437", "cp1251", "cp1250", "cp866", "koi8-r")) + "|" + HALF)
+_COUNTED = ("cp1252", "latin-1", "mac_roman", "cp437", "cp1251", "cp1250", "cp866", "koi8-r")
+_LEADS = "".join(sorted({re.escape(TABLES[c][b]) for c in _COUNTED for b in range(0xC2, 0xF5)}))
+#: one look at the first character settles most places
+PAIR = re.compile(f"(?=[{_LEADS}\u0637\u0638\u0639\u063a])(?:" + "|".join(SEQUENCE[c].pattern for c in _COUNTED) + f"|{HALF})")
 #: letters of an alphabet right beside those of an Indic or Arabic script
 MIXED = re.compile("[\u0600-\u06ff\u0900-\u0dff][\u00c0-\u02af\u0370-\u052f]|[\u00c0-\u02af\u0370-\u052f][\u0600-\u06ff\u0900-\u0dff]")
 CONTROL = re.compile("[\x80-\x84\x86-\x9f]")
@@ -90,32 +94,45 @@ def cost(text: str) -> float:
     return sum(len(m) for m in PAIR.findall(text)) + 2.0 * len(CONTROL.findall(text)) + 2.0 * len(MIXED.findall(text)) + 2.0 * text.count("\ufffd") + 2.0 * len(REFERENCE.findall(text))
 
 
+#: what each sequence met so far stands for, "" for nothing plausible
+MEMO: dict[str, dict[str, str]] = {c: {} for c in CODECS}
+
+
+def _decoded(sequence: str, codec: str) -> str:
+    try:
+        c = bytes(BYTES[codec][ord(x)] for x in sequence).decode("utf-8")
+    except (UnicodeDecodeError, KeyError):
+        return ""
+    return c if _plausible(c) else ""
+
+
 def undo(text: str, codec: str) -> tuple[str, int]:
     """``text`` with every run of characters that are a character's UTF-8 bytes in ``codec`` decoded,
     and how many were. A few sequences made of letters alone are words, and stay."""
-    to_byte, n, signs = BYTES[codec], 0, 0
-
-    def back(m: re.Match) -> str:
-        nonlocal n, signs
-        try:
-            c = bytes(to_byte[ord(x)] for x in m[0]).decode("utf-8")
-        except (UnicodeDecodeError, KeyError):
-            return m[0]
-        if not _plausible(c):
-            return m[0]
-        n += 1
-        # letters with two signs right behind them are no word
-        signs += LEAST_OF_LETTERS if len(m[0]) > 2 and not any(x.isalpha() for x in m[0][1:]) else not m[0].isalpha()
-        return c
-
-    out = SEQUENCE[codec].sub(back, text)
+    memo, n, signs = MEMO[codec], 0, 0
+    found = SEQUENCE[codec].findall(text)
+    for sequence in found:
+        c = memo.get(sequence)
+        if c is None:
+            if len(memo) > 50_000:
+                memo.clear()
+            c = memo[sequence] = _decoded(sequence, codec)
+        if c:
+            n += 1
+            # letters with two signs right behind them are no word
+            signs += LEAST_OF_LETTERS if len(sequence) > 2 and not any(x.isalpha() for x in sequence[1:]) else not sequence.isalpha()
     enough = signs >= (LEAST_OF_LETTERS if codec in ALPHABETS else 1) or (n >= LEAST_OF_LETTERS and codec != "cp1256")
-    return (out, n) if enough else (text, 0)
+    if not enough:
+        return text, 0
+    return SEQUENCE[codec].sub(lambda m: (memo[m[0]] if m[0] in memo else _decoded(m[0], codec)) or m[0], text), n
 
 
 def _neighbours(text: str) -> Iterator[tuple[str, str]]:
+    # encodings by how many sequences they would take back; those far behind the best are not tried
+    counts = {c: len(SEQUENCE[c].findall(text)) for c in CODECS}
+    most = max(counts.values())
     for codec in CODECS:
-        if SEQUENCE[codec].search(text):
+        if counts[codec] and counts[codec] >= FAR_BEHIND * most:
             out, n = undo(text, codec)
             if n:
                 yield codec, out
