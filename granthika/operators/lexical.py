@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granthika.functions.text import tokens
+from granthika.session import cut
 
 K1, B, RRF_K = 1.5, 0.75, 60
 SALTS = 16
@@ -45,7 +46,7 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, k1: float = K1, b: fl
     q = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
     # only terms that some query has
     wanted = q.select("term").distinct()
-    used = post.join(wanted, "term", "left_semi")
+    used = cut(post.join(wanted, "term", "left_semi"))
     salted = used.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = q.join(term_stats(used), "term").select("query_id", "term", (F.col("qf") * idf).alias("w"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
