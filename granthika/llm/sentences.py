@@ -58,8 +58,8 @@ Inc Co Corp Dept Univ Jan Feb Mar Apr Jun Jul Aug Sept Sep Oct Nov Dec vs etc ap
 """.split()
 # letters written alike in Arabic-script text typed on other keyboards
 ARABIC_ALIKE = {"ک": "[کك]", "ی": "[یيى]", "ہ": "[ہه]"}
-# titles without a full stop, and "then", "that": words before an initial where nothing is spaced
-BEFORE_INITIAL = "श्री সুশ্রী শ্রী ஸ்ரீ ஷ்ரீ શ્રી ਸ਼੍ਰੀ ಶ್ರೀ ଶ୍ରୀ شری तब তব தப તબ ਤਬ ತಬ ତବ تب".split()
+# titles without a full stop, and "then", "in": words before an initial where nothing is spaced
+BEFORE_INITIAL = "में मध्ये मा তে இல் માં ਵਿਚ ಅಲ್ಲಿ ମେଂ مےں श्री সুশ্রী শ্রী ஸ்ரீ ஷ்ரீ શ્રી ਸ਼੍ਰੀ ಶ್ರೀ ଶ୍ରୀ شری तब তব தப તબ ਤਬ ತಬ ତବ تب".split()
 
 
 def _forms(words: list[str]) -> set[str]:
@@ -212,8 +212,13 @@ def spans(text: str | None) -> list[tuple[int, int]]:
     return [(a, len(text[: b].rstrip())) for a, b in zip(out, [*out[1:], len(text)])]
 
 
+def is_spaced(text: str) -> bool:
+    """Whether the words of ``text`` are parted by white space, not only its sentences."""
+    return len(text) < 40 or len(text.split()) * 14 > len(text)
+
+
 def _spans(text: str) -> list[tuple[int, int]]:
-    spaced = any(c.isspace() for c in text.strip()) or len(text) < 40
+    spaced = is_spaced(text)
     cuts, begin, n = [], 0, len(text)
     pos = 0
     while (m := RUN.search(text, pos)) is not None:
@@ -236,7 +241,7 @@ def _spans(text: str) -> list[tuple[int, int]]:
                 continue
         elif "|" in run and LATIN_LETTER.match(text[:i].rstrip()[-1:] or " "):
             continue
-        if text[j : j + 1] == " " and "॥" not in run and not QUOTE.search(text, begin, j):
+        if text[j : j + 1] == " " and "॥" not in run and "।।" not in run and not QUOTE.search(text, begin, j):
             c = text[j + 1 : j + 2]
             if c.isalpha() and not c.islower():  # the usual case: a space and a letter, no quotation
                 cuts.append(j)
@@ -244,7 +249,7 @@ def _spans(text: str) -> list[tuple[int, int]]:
                 continue
         while k := MORE.match(text, j):
             j = k.end()
-        if "॥" in run and (k := VERSE.match(text, j)):
+        if ("॥" in run or "।।" in run) and (k := VERSE.match(text, j)):
             j = k.end()
         # closing marks, each only where it closes something
         open_, at = _quotes(text, begin, i)

@@ -36,6 +36,15 @@ def test_without_spaces_between():
     assert split(t) == ["डॉ.हीरराने40.5कि.मी.सड़कसुधारी।", '"यहबड़ाहै।"', "सुश्रीआर.मोदनेकहाऔरगए।"]
 
 
+def test_spaces_between_sentences_only():
+    t = "वसमोपुरऔरलकनगरकेबीच7,87,486कि.मी.सड़कसुधारीगईऔरखुली। डॉ.ए.गोलनेमईमें12.35रु.प्रतिकिलोकाभावलिखा।\nप्रो.आर.कुमनेकहा"
+    assert split(t) == [t[: t.index(" डॉ")], t[t.index("डॉ") : t.index("\n")], t[t.index("प्रो.आर") :]]
+
+
+def test_verse_number_between_two_dandas():
+    assert split("गहराई मापी गई ।। ४५ ।। दूसरा वाक्य है।। तीसरा") == ["गहराई मापी गई ।। ४५ ।।", "दूसरा वाक्य है।।", "तीसरा"]
+
+
 def test_unseen_signs_and_split_letters():
     t = "6112 कि.\u200bमी. सड़क सुधारी। प\u200b्रो. अार. ने लिखा।"
     assert len(spans(t)) == 2 and t[spans(t)[1][0]] == "प"
