@@ -56,8 +56,6 @@ LATIN_SHORT = """
 Dr Prof Mr Mrs Ms Capt Col Gen Lt Maj Sgt St Sr Jr Rev Hon No Nos Vol Fig Eq Sec Ch pp Rs Re Ltd
 Inc Co Corp Dept Univ Jan Feb Mar Apr Jun Jul Aug Sept Sep Oct Nov Dec vs etc approx ca cf e.g i.e
 """.split()
-# letters written alike in Arabic-script text typed on other keyboards
-ARABIC_ALIKE = {"ک": "[کك]", "ی": "[یيى]", "ہ": "[ہه]"}
 # titles without a full stop, and "then", "in": words before an initial where nothing is spaced
 BEFORE_INITIAL = "में मध्ये मा তে இல் માં ਵਿਚ ಅಲ್ಲಿ ମେଂ مےں श्री সুশ্রী শ্রী ஸ்ரீ ஷ்ரீ શ્રી ਸ਼੍ਰੀ ಶ್ರೀ ଶ୍ରୀ شری तब তব தப તબ ਤਬ ತಬ ତବ تب".split()
 
