@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granthika.functions.text import content_id
-from granthika.session import cut
 from granthika.sources.tables import not_blank, strip
 
 RANGE_ROWS = 100_000

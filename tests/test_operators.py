@@ -171,7 +171,6 @@ def at(day, month=3):
 
 
 def brute(refs, own):
-    import re
     import unicodedata
 
     bare = lambda s: "".join(c for c in s.lower() if not c.isspace() and unicodedata.category(c)[0] != "P")
