@@ -100,6 +100,61 @@ def two_tier(queries: DataFrame, corpus: DataFrame, k: int = 10, depth: int = 20
     return ranked(first.join(a, "query_id").join(b, "hit_id").select("query_id", "hit_id", score.alias("score")), k)
 
 
+def two_tier_exact(queries: DataFrame, corpus: DataFrame, k: int = 10, depth: int = 200, query_block: int = QUERY_BLOCK, corpus_block: int = CORPUS_BLOCK) -> DataFrame:
+    """The ``k`` best by int8 inner product, all of them: of each block pair the ``depth`` nearest by sign bits
+    set a score to reach, and every other row is scored too unless its signs prove that it stays below.
+
+    Where signs differ a product is not positive, so the score is at most the length of the query's
+    components with equal signs times the length of the row. The fewer components stand out, the less
+    that excludes; a slice of queries that keeps most rows is scored by one matrix product.
+    """
+    nq, nc = _blocks(queries, query_block), _blocks(corpus, corpus_block)
+    deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n))
+    pick = lambda df: df.where("embedding is not null").select("vec_id", "embedding")
+    q = pick(queries).withColumn("qb", deal(nq)).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(nc - 1))))
+    c = pick(corpus).withColumn("cb", deal(nc)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+
+    def best(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        outs = [pd.DataFrame({"query_id": [], "hit_id": [], "score": []}).astype({"query_id": "int64", "hit_id": "int64", "score": "float64"})]
+        if len(left) and len(right):
+            ids, own = right["vec_id"].to_numpy(), left["vec_id"].to_numpy()
+            for at, i, j, s in _within_bound(np.stack(left["embedding"]), np.stack(right["embedding"]), own, ids, k, depth):
+                outs.append(pd.DataFrame({"query_id": own[at + i], "hit_id": ids[j], "score": s}))
+        return pd.concat(outs)
+
+    return ranked(q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(best, HITS), k)
+
+
+def _within_bound(left: np.ndarray, right: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int, depth: int):
+    """Slices ``at, i, j, score`` of the rows ``j`` that no bound keeps from the ``k`` best of query ``at + i``."""
+    a, b = _int8(left), _int8(right)
+    # a component that rounds to zero adds nothing, whatever its sign
+    up, down = (b > 0).astype(np.float64), (b < 0).astype(np.float64)
+    length = np.sqrt((b * b).sum(axis=1))
+    signs = _signs(right).T
+    m = min(max(k, depth), len(ids))
+    for at in range(0, len(own), 64):
+        x = a[at : at + 64]
+        itself = own[at : at + 64, None] == ids[None, :]
+        agree = _signs(left[at : at + 64]) @ signs
+        agree[itself] = -np.inf
+        near = np.argpartition(-agree, m - 1, axis=1)[:, :m]
+        seed = np.einsum("qd,qnd->qn", x, b[near])
+        seed[np.take_along_axis(itself, near, 1)] = -np.inf
+        reached = -np.partition(-seed, min(k, m) - 1, axis=1)[:, min(k, m) - 1]
+        bound = np.sqrt(np.where(x > 0, x * x, 0.0) @ up.T + np.where(x < 0, x * x, 0.0) @ down.T) * length
+        keep = (bound >= reached[:, None] - 1e-6) & ~itself
+        if keep.mean() > 0.2:
+            s = x @ b.T
+            i, j = np.nonzero(keep & (s >= reached[:, None]))
+            yield at, i, j, s[i, j] + 0.0
+            continue
+        i, j = np.nonzero(keep)
+        s = np.einsum("nd,nd->n", x[i], b[j])
+        good = s >= reached[i]
+        yield at, i[good], j[good], s[good] + 0.0
+
+
 def self_retrieval(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """One row: ``probes, found``: how many probes have themselves (or an equal vector) as the best hit."""
     top = ranked(candidates(queries, corpus, 1, exclude_self=False), 1)

@@ -130,6 +130,24 @@ def test_dense_empty(spark):
     assert s.probes == s.found == 60
 
 
+def test_two_tier_exact_keeps_what_sign_bits_miss(spark):
+    # 40 rows agree with the query in every sign but weigh the small components; the best row differs in
+    # all signs but the one that counts
+    q = [1.0] + [0.01] * 15
+    near = [[0.01] + [0.25 + 0.0001 * i] * 15 for i in range(40)]
+    far = [[0.99] + [-0.02] * 15]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate([q, *near, *far])], "vec_id bigint, embedding array<float>")
+    best = lambda hits: hits.where("query_id = 0 and rank = 0").first().hit_id
+    one = df.where("vec_id = 0")
+    assert best(dense.two_tier(one, df, 1, 10)) != 41
+    assert best(dense.two_tier_exact(one, df, 1, 10)) == 41
+    for n, d in ((60, 8), (300, 64)):
+        _, df = vectors(spark, n, d)
+        rows = lambda hits: sorted(map(tuple, hits.collect()))
+        assert rows(dense.two_tier_exact(df, df, 5, 7, query_block=20, corpus_block=37)) == rows(dense.top_k(df, df, 5, "int8"))
+    assert dense.two_tier_exact(df.limit(0), df, 3).count() == 0 == dense.two_tier_exact(df, df.limit(0), 3).count()
+
+
 def test_bm25(spark):
     docs = spark.createDataFrame([("a", "x y z"), ("b", "x x"), ("c", None), ("d", "")], "doc_id string, text string")
     q = spark.createDataFrame([(1, "x"), (2, "nothing"), (3, None)], "query_id bigint, text string")
