@@ -231,24 +231,10 @@ def align(english: str | None, translated: str | None, terms: dict[str, list[str
     wanted = {w for k, w in e.where if k == "g"}
     t, spaced = _translated(translated, terms, wanted, {w for k, w in e.where if k == "a"}, weak)
     ne, nt = len(e.spans), len(t.spans)
-    score: dict[tuple[int, int], float] = defaultdict(float)
-    evidence: dict[tuple[int, int], int] = defaultdict(int)
+    common: list[tuple[float, set[int], set[int]]] = []
 
     def shared(weight: float, es: set[int], ts: set[int]) -> None:
-        w = weight / (min(len(es), FREQUENT) * min(len(ts), FREQUENT)) ** 0.5
-        if len(es) * len(ts) <= MANY:
-            for i in es:
-                for j in ts:
-                    score[i, j] += w
-                    evidence[i, j] += 1
-            return
-        # a feature of very many sentences: occurrences about as far along on either side
-        xs, ys = sorted(es), sorted(ts)
-        for x, i in enumerate(xs):
-            y = x * len(ys) // len(xs)
-            for z in range(max(0, y - NEARBY), min(len(ys), y + NEARBY + 1)):
-                score[i, ys[z]] += w * (1 - 0.1 * abs(z - y))
-                evidence[i, ys[z]] += 1
+        common.append((weight / (min(len(es), FREQUENT) * min(len(ts), FREQUENT)) ** 0.5, es, ts))
 
     for key, es in e.where.items():
         w = WEIGHT[key[0]] if key[0] != "n" or len(key[1]) > 1 else 1.0
@@ -277,6 +263,7 @@ def align(english: str | None, translated: str | None, terms: dict[str, list[str
                 t.total[j] += w / min(len(ts), FREQUENT)
             shared(w, es, ts)
 
+    score, evidence = _scores(common, nt)
     best_e: dict[int, float] = defaultdict(float)
     best_t: dict[int, float] = defaultdict(float)
     for (i, j), s in score.items():
@@ -316,28 +303,128 @@ def align(english: str | None, translated: str | None, terms: dict[str, list[str
             take(i, j, s)
     # the gaps between links of the chain
     bounds = [(-1, -1), *((i, j) for i, j, _ in path), (ne, nt)]
+    rows: dict[int, list[int]] = defaultdict(list)
+    for i, j in list(score):
+        rows[i].append(j)
     for (i0, j0), (i1, j1) in zip(bounds, bounds[1:]):
         es = [i for i in range(i0 + 1, i1) if not rival_e[i]]
         ts = [j for j in range(j0 + 1, j1) if not rival_t[j]]
         if es and ts:
-            links = _gap(es, ts, score, close) if len(es) * len(ts) <= LARGE_GAP else _wide_gap(es, ts, score, close)
+            links = _gap(es, ts, score, close) if len(es) * len(ts) <= LARGE_GAP else _wide_gap(es, ts, rows, score, close)
             for i, j in links:
                 take(i, j, score[i, j])
     return sorted((e.starts[i], t.starts[j], s) for (i, j), s in pairs.items())
 
 
 SKIP, LEAST = 0.3, 1.0
-#: pairs of sentences that a feature may propose before only occurrences equally far along are paired
-MANY, NEARBY = 400, 6
+#: pairs of sentences that a feature may propose before those equally far along weigh a little more
+MANY = 400
 #: a feature of more sentences than this is worth no less
 FREQUENT = 13
+#: co-occurrences that are added up one by one; more are added row by row
+FEW = 20_000
+#: no pair of a smaller score is ever taken
+LOWEST = 0.45
+#: cells of a gap beyond which the same optimum is found over the pairs that gain something
 LARGE_GAP = 10_000
 
 
-def _wide_gap(es: list[int], ts: list[int], score: dict[tuple[int, int], float], close) -> list[tuple[int, int]]:
-    """The gap as a chain over the pairs with something in common; for gaps of very many sentences."""
-    a, b = set(es), set(ts)
-    return [(i, j) for i, j, _ in chain([(i, j, close(i, j) - SKIP) for (i, j), s in list(score.items()) if i in a and j in b and s >= 1.0 and close(i, j) > SKIP])]
+def _scores(common: list[tuple[float, set[int], set[int]]], nt: int) -> tuple[dict[tuple[int, int], float], dict[tuple[int, int], int]]:
+    """The summed weight and the number of common features of each sentence pair.
+
+    Every co-occurrence counts. Of a feature of very many pairs the weight falls from 1 to 0.8 with the
+    distance between the ranks of the two occurrences, which only parts pairs that are alike in all
+    else. A row of pairs is held at a time where there are many, and of it only scores that may count.
+    """
+    score: dict[tuple[int, int], float] = defaultdict(float)
+    evidence: dict[tuple[int, int], int] = defaultdict(int)
+    if sum(len(es) * len(ts) for _, es, ts in common) <= FEW:
+        for w, es, ts in common:
+            if len(es) * len(ts) <= MANY:
+                for i in es:
+                    for j in ts:
+                        score[i, j] += w
+                        evidence[i, j] += 1
+            else:
+                ys = sorted(ts)
+                for x, i in enumerate(sorted(es)):
+                    y = x * len(ys) // len(es)
+                    for z, j in enumerate(ys):
+                        score[i, j] += w * (1 - 0.2 * abs(z - y) / (abs(z - y) + 1))
+                        evidence[i, j] += 1
+        return score, evidence
+    of_row: dict[int, list[tuple[float, np.ndarray, int | None]]] = defaultdict(list)
+    for w, es, ts in common:
+        ys = np.array(sorted(ts))
+        many = len(es) * len(ts) > MANY
+        for x, i in enumerate(sorted(es)):
+            of_row[i].append((w, ys, x * len(ys) // len(es) if many else None))
+    for i, features in of_row.items():
+        total, n = np.zeros(nt), np.zeros(nt, np.int64)
+        for w, ys, y in features:
+            if y is None:
+                total[ys] += w
+            else:
+                d = np.abs(np.arange(len(ys)) - y)
+                total[ys] += w * (1 - 0.2 * d / (d + 1))
+            n[ys] += 1
+        for j in np.nonzero(total >= LOWEST)[0].tolist():
+            score[i, j], evidence[i, j] = float(total[j]), int(n[j])
+    return score, evidence
+
+
+def _wide_gap(es: list[int], ts: list[int], rows: dict[int, list[int]], score: dict[tuple[int, int], float], close) -> list[tuple[int, int]]:
+    """The optimum of ``_gap`` over the pairs that gain something, for gaps of very many sentences.
+
+    A step with a pair that loses is never better than the step without it, so only pairs with a gain, and
+    two of them side by side, are steps; the best sequence of steps comes from prefix maxima over the
+    second side, in n log n of the steps.
+    """
+    at = {j: y for y, j in enumerate(ts)}
+    size = len(ts) + 1
+    tree: list[tuple[float, int]] = [(0.0, -1)] * (size + 1)
+    steps: list[tuple[list[tuple[int, int]], int]] = []  # links, the step before
+    waiting: list[tuple[int, float, int]] = []  # ends, totals and numbers of two-to-one steps into the next row
+    best = (0.0, -1)
+
+    def before(y: int) -> tuple[float, int]:
+        """The best total of steps that end before ``y``."""
+        found = (0.0, -1)
+        while y > 0:
+            found = max(found, tree[y], key=lambda t: t[0])
+            y &= y - 1
+        return found
+
+    def gains(i: int) -> dict[int, float]:
+        return {at[j]: g for j in rows.get(i, ()) if j in at and score[i, j] >= 1.0 and (g := close(i, j) - SKIP) > 0}
+
+    def step(links: list[tuple[int, int]], value: float, y: int) -> tuple[int, float, int]:
+        total, last = before(y)
+        steps.append((links, last))
+        return y + len({j for _, j in links}), total + value, len(steps) - 1
+
+    following = gains(es[0])
+    for x, i in enumerate(es):
+        here, following = following, gains(es[x + 1]) if x + 1 < len(es) else {}
+        ended, waiting = waiting, []
+        for y, g in here.items():
+            ended.append(step([(i, ts[y])], g, y))
+            if y + 1 in here:
+                ended.append(step([(i, ts[y]), (i, ts[y + 1])], g + here[y + 1], y))
+            if y in following:
+                waiting.append(step([(i, ts[y]), (es[x + 1], ts[y])], g + following[y], y))
+        for end, total, k in ended:  # only now, so that no two steps share a row
+            if total > best[0]:
+                best = (total, k)
+            while end <= size:
+                if total > tree[end][0]:
+                    tree[end] = (total, k)
+                end += end & -end
+    out, k = [], best[1]
+    while k >= 0:
+        out += steps[k][0]
+        k = steps[k][1]
+    return out
 
 
 def _gap(es: list[int], ts: list[int], score: dict[tuple[int, int], float], close) -> list[tuple[int, int]]:

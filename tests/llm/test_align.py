@@ -1,5 +1,9 @@
 """Alignment of made-up bilingual passages."""
 
+import random
+from collections import defaultdict
+
+from granthika.llm import align as A
 from granthika.llm.align import align, aligned, chain, near
 
 EN = ["The rice fair of Malsukeganj begins in July and draws 1,582 visitors from Hirdabhakheda.", "The GHPR agency measured a depth of 162.83 metres at Hirkeratola.", "Dr. Sarbhambe pointed to the KKD record.", "In 1825, Prof. Golyarekar opened a market in Naryashagaon with 4,553 workers."]
@@ -39,6 +43,36 @@ def test_chain_and_near():
     assert near("abc", "abd") and near("abc", "abcd") and near("abc", "ac") and not near("abc", "cba")
 
 
+def test_frequent_features_count_far_from_their_place():
+    """30 sentences with two names each, of which one is in all; those of the translation in reverse order."""
+    es = set(range(30))
+    common = [(0.2, es, es), *((0.9, {i}, {29 - i}) for i in es)]
+    score, evidence = A._scores(common, 30)
+    assert all(evidence[i, 29 - i] == 2 and score[i, 29 - i] > 1.0 for i in es) and len(score) == 900
+    few, A.FEW = A.FEW, 0
+    try:
+        rows, counts = A._scores(common, 30)
+    finally:
+        A.FEW = few
+    assert dict(rows) == {k: v for k, v in score.items() if v >= A.LOWEST} and all(counts[k] == evidence[k] for k in rows)
+
+
+def test_wide_gap_has_the_optimum_of_the_dynamic_programming():
+    rng = random.Random(5)
+    for _ in range(300):
+        es, ts = sorted(rng.sample(range(30), rng.randint(1, 9))), sorted(rng.sample(range(30), rng.randint(1, 9)))
+        score = defaultdict(float, {(i, j): rng.choice([0.5, 1.5, 2.0]) for i in range(30) for j in range(30) if rng.random() < 0.4})
+        share = {(i, j): rng.random() for i in range(30) for j in range(30)}
+        close = lambda i, j: share[i, j]  # noqa: B023, E731
+        rows = defaultdict(list)
+        for i, j in score:
+            rows[i].append(j)
+        value = lambda links: sum(close(i, j) - A.SKIP for i, j in links)  # noqa: B023, E731
+        wide, dense = A._wide_gap(es, ts, rows, score, close), A._gap(es, ts, score, close)
+        assert abs(value(wide) - value(dense)) < 1e-9 and all(i in es and j in ts for i, j in wide)
+        assert max([0, *(sum(a == i for a, _ in wide) for i in es), *(sum(b == j for _, b in wide) for j in ts)]) <= 2
+
+
 def test_operator(spark):
     schema = "row_id bigint, lang string, passages struct<English_passages:array<string>,Translated_passages:array<string>,is_selected:array<bigint>>, en string"
     long = " ".join(EN * 300), " ".join(TR * 300)
