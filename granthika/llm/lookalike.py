@@ -1,10 +1,10 @@
 """Texts that look the same but differ in characters, brought to one form (problem 6).
 
 A text is cut at its spaces into tokens. Almost every token is plain: it holds no sign that could
-look like another. The others are matched against the vocabulary of the stored texts: a trie of
-spellings is traversed with a weighted edit automaton in which look-alike letters and signs that
-are not seen cost nothing and everything else costs more than is allowed. The canonical spelling
-is the plain one among those reached; a token that reaches none is normalized by table.
+look like another. The others are folded by table, and the table's form is what two look-alike tokens
+have in common: it decides. Within a shard of equal forms a trie of the stored spellings is walked with
+an automaton in which look-alike letters and signs that are not seen cost nothing; the plain spelling
+that it reaches is the table's form again. Edits that cost something are never asked for by the operator.
 """
 
 from __future__ import annotations
@@ -95,12 +95,17 @@ def parts(token: str) -> str:
     return "".join(JOINED_VOWELS.get(c, c) for c in unicodedata.normalize("NFD", token))
 
 
+def seen(token: str) -> str:
+    """The taken-apart token without unseen signs and without joiners that change nothing beside them."""
+    return parts("".join(c for i, c in enumerate(token) if c not in IGNORED and (c not in JOINERS or _visible_joiner(token, i))))
+
+
 def trie(spellings: list[str]) -> dict:
-    """A trie over the taken-apart spellings; a node's spellings are under the empty string."""
+    """A trie over what is seen of the spellings; a node's spellings are under the empty string."""
     root: dict = {}
     for s in spellings:
         node = root
-        for c in parts(s):
+        for c in seen(s):
             node = node.setdefault(c, {})
         node.setdefault("", []).append(s)
     return root
@@ -117,41 +122,33 @@ def reach(root: dict, token: str, most: int = 0) -> list[tuple[int, str]]:
     Substituting a look-alike and dropping or adding an unseen sign (a joiner only where it changes
     nothing) cost 0, every other edit 1.
     """
-    gone = {i for i, c in enumerate(token) if c in IGNORED or (c in JOINERS and not _visible_joiner(token, i))}
-    word = parts("".join(c for i, c in enumerate(token) if i not in gone))
+    word = seen(token)
     out: list[tuple[int, str]] = []
 
     # depth first by a stack of our own: a text without spaces is one very long token
     if not most:  # with nothing to spend there is one live state: the next character has to agree
-        stack = [(root, 0, "")]
+        stack = [(root, 0)]
         while stack:
-            node, at, before = stack.pop()
+            node, at = stack.pop()
             if at == len(word):
                 out.extend((0, s) for s in node.get("", ()))
             for c, child in node.items():
-                if not c:
-                    continue
-                if c in IGNORED or (c in JOINERS and before not in VIRAMAS):
-                    stack.append((child, at, before))
-                elif at < len(word) and substitution(word[at], c) == 0:
-                    stack.append((child, at + 1, c))
+                if c and at < len(word) and substitution(word[at], c) == 0:
+                    stack.append((child, at + 1))
         return out
-    stack = [(root, list(range(len(word) + 1)), "")]
+    stack = [(root, list(range(len(word) + 1)))]
     while stack:
-        node, row, before = stack.pop()
+        node, row = stack.pop()
         if row[-1] <= most:
             out.extend((row[-1], s) for s in node.get("", ()))
         for c, child in node.items():
             if not c:
                 continue
-            if c in IGNORED or (c in JOINERS and before not in VIRAMAS):
-                stack.append((child, row, before))
-                continue
             new = [row[0] + 1]
             for k, w in enumerate(word, 1):
                 new.append(min(row[k - 1] + substitution(w, c), row[k] + 1, new[k - 1] + 1))
             if min(new) <= most:
-                stack.append((child, new, c))
+                stack.append((child, new))
     return out
 
 

@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from granthika.llm.lookalike import consistent, fold, is_odd, look_alikes, reach, trie
+from granthika.llm.lookalike import consistent, fold, is_odd, look_alikes, reach, spellings, trie
 
 SAME = [
     ("ＧＨＰＲ", "GHPR"), ("１７", "17"), ("कि\u200bमी", "किमी"), ("\u095c", "\u0921\u093c"), ("\u09c7\u09be", "\u09cb"), ("\u0bc7\u0bbe", "\u0bcb"), ("अार", "आर"),
@@ -39,6 +39,25 @@ def test_fold_is_stable(t):
         assert f == t
 
 
+@pytest.mark.parametrize("a,b", [*DIFFERENT, ("مي\u200cروم", "میروم"), ("ميروم", "می\u200cروم"), ("क\u200d्ष", "क्ष")])
+def test_not_alike_either_way(a, b):
+    assert fold(a) != fold(b) and reach(trie([a]), b) == [] == reach(trie([b]), a)
+
+
+def test_visible_joiner_in_one_shard(spark):
+    """A token may not take a stored spelling with a visible joiner, even where both are in one shard."""
+    own = spark.createDataFrame([("t", "joined", "میروم"), *[("t", f"apart{i}", "می\u200cروم") for i in range(3)]], "tbl string, match_id string, text string")
+    asked = spark.createDataFrame([("t", 1, "ميروم"), ("t", 2, "مي\u200cروم")], "tbl string, rec_id bigint, text string")
+    words = spellings(asked, own.where("match_id <> 'joined'"), own, shards=1)
+    assert {r.token: r.spelling for r in words.collect()} == {"ميروم": "میروم", "مي\u200cروم": "می\u200cروم", "می\u200cروم": "می\u200cروم"}
+
+
+@settings(max_examples=400, deadline=None)
+@given(*[st.text(alphabet="aAГ|।\u200b\u200d\u200c\u00adक्ाآمیيرَ", max_size=5)] * 2)
+def test_what_is_reached_has_the_same_form(a, b):
+    assert not reach(trie([a]), b) or fold(a) == fold(b)
+
+
 def test_join_against_folding(spark):
     rng = random.Random(2)
     stored = [f"नगर {i} का पुल {i * 7} ABC है।" for i in range(60)] + ["दो  शब्द", "ＷＩＤＥ पाठ"]
