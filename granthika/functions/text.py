@@ -15,6 +15,8 @@ from granthika.sources.tables import SPACE, strip
 # ---- fixed values: they decide results and are stated as they are -------------------------------
 #: letters, ASCII digits and the whole Devanagari block, danda included
 TOKEN = "[0-9A-Za-zऀ-ॿ]+"
+#: the encoder's: letters, marks and numbers of every script
+ENCODER_TOKEN = r"[\p{L}\p{M}\p{N}]+"
 SENTENCE_ENDS = "।॥.!?"
 LEAST_SENTENCE = 15
 ABBREVIATIONS = "Mr|Mrs|Dr|St|Jr|Sr|vs|etc|No|Inc|Ltd"
@@ -43,6 +45,11 @@ def tokens(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0)), F.lower)
 
 
+def encoder_tokens(text: Column) -> Column:
+    """Lower-case tokens for the hashed encoder, of all scripts, repeats kept; a null text has none."""
+    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(ENCODER_TOKEN), F.lit(0)), F.lower)
+
+
 def stopwords() -> Column:
     return F.array(*[F.lit(w) for w in STOPWORDS])
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from granthika.functions.text import content_tags, split_sentences, tokens, words
+from granthika.functions.text import content_tags, encoder_tokens, split_sentences, words
 from granthika.functions.vectors import encode
 
 SIZE, STEP_BACK = 80, 20
@@ -67,7 +67,7 @@ def semantic(df: DataFrame, percentile: float = 80.0, least_sentences: int = 3,
 
     group = group.asNondeterministic()  # else evaluated once more for inferred filters
     s = df.where("text is not null").withColumn("_s", split_sentences(F.col("text")))
-    s = s.withColumn("_g", group(F.transform("_s", tokens), F.transform("_s", lambda x: F.size(words(x)))))
+    s = s.withColumn("_g", group(F.transform("_s", encoder_tokens), F.transform("_s", lambda x: F.size(words(x)))))
     whole = F.array(F.col("text"))
     joined = F.transform(F.sequence(F.lit(0), F.element_at("_g", -1)), lambda g: F.array_join(F.filter(F.col("_s"), lambda x, i: F.element_at(F.col("_g"), i + 1) == g), " "))
     each = s.withColumn("_c", F.when(F.col("_g").isNull(), whole).otherwise(joined)).select("owner", "lang", F.size("_c").alias("_n"), F.posexplode("_c").alias("_i", "_t"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granthika.functions.text import tokens
+from granthika.functions.text import encoder_tokens
 from granthika.functions.vectors import hashed_encoder, int8, norm, sign_bits
 from granthika.operators import chunking, corpus, dense, evaluation, lexical
 from granthika.sources.tables import table
@@ -108,14 +108,19 @@ def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
     return lexical.fuse(lists, 10).select("query_id", "doc_id", F.round("score", 9).alias("score"), "rank")
 
 
+def _not_zero(vectors: DataFrame) -> DataFrame:
+    """Vectors that have a direction; a text without any token has none, so nothing is near it."""
+    return vectors.where(F.exists("embedding", lambda x: x != 0))
+
+
 def hybrid_topk(spark: SparkSession, sf: str) -> DataFrame:
     """Hashed-encoder vectors of the texts, searched densely, fused with BM25."""
     q, d = _lexical(spark, sf)
     ids = d.select("doc_id", F.xxhash64("doc_id").alias("vec_id"))
     encoder = hashed_encoder()
-    qv = q.select(F.col("query_id").alias("vec_id"), encoder(tokens(F.col("text"))).alias("embedding"))
-    dv = d.select(F.xxhash64("doc_id").alias("vec_id"), encoder(tokens(F.col("text"))).alias("embedding"))
-    near = dense.top_k(qv, dv, 20, exclude_self=False).withColumnRenamed("hit_id", "vec_id").join(ids, "vec_id").select("query_id", "doc_id", "rank")
+    qv = q.select(F.col("query_id").alias("vec_id"), encoder(encoder_tokens(F.col("text"))).alias("embedding"))
+    dv = d.select(F.xxhash64("doc_id").alias("vec_id"), encoder(encoder_tokens(F.col("text"))).alias("embedding"))
+    near = dense.top_k(_not_zero(qv), dv, 20, exclude_self=False).withColumnRenamed("hit_id", "vec_id").join(ids, "vec_id").select("query_id", "doc_id", "rank")
     return lexical.fuse([near, lexical.bm25(q, d, 20).select("query_id", "doc_id", "rank")], 10).select("query_id", "doc_id", "rank")
 
 
@@ -127,13 +132,13 @@ def chunking_leaderboard(spark: SparkSession, sf: str) -> DataFrame:
     q = table(spark, sf, "qrels").where("qrel_id % 20 = 0")
     relevant = q.select(F.col("qrel_id").alias("query_id"), F.explode("rel").alias("doc_id")).where("doc_id is not null")
     encoder = hashed_encoder()
-    qv = q.select(F.col("qrel_id").alias("vec_id"), encoder(tokens(F.col("q"))).alias("embedding"))
+    qv = q.select(F.col("qrel_id").alias("vec_id"), encoder(encoder_tokens(F.col("q"))).alias("embedding"))
     texts = table(spark, sf, "passage_store").select(F.col("doc_id").alias("owner"), F.col("l").alias("lang"), F.col("t").alias("text"))
     n_passages = texts.agg(F.count(F.lit(1)).alias("n_passages")).scalar()
     out = None
     for strategy in chunking.STRATEGIES:
         c = chunking.chunks(texts, strategy).withColumn("vec_id", F.xxhash64("owner", "pos"))
-        hits = dense.top_k(qv, c.select("vec_id", encoder(tokens(F.col("text"))).alias("embedding")), 80, exclude_self=False)
+        hits = dense.top_k(_not_zero(qv), c.select("vec_id", encoder(encoder_tokens(F.col("text"))).alias("embedding")), 80, exclude_self=False)
         owned = hits.join(c.select(F.col("vec_id").alias("hit_id"), "owner"), "hit_id")
         best = evaluation.best_per_owner(owned).withColumnRenamed("owner", "doc_id")
         scores = evaluation.recall_mrr(qv.select(F.col("vec_id").alias("query_id")), best, relevant)

@@ -148,6 +148,27 @@ def test_two_tier_exact_keeps_what_sign_bits_miss(spark):
     assert dense.two_tier_exact(df.limit(0), df, 3).count() == 0 == dense.two_tier_exact(df, df.limit(0), 3).count()
 
 
+def test_semantic_chunks_in_scripts_without_bm25_tokens(spark):
+    """Bengali, Tamil and Urdu sentences on two subjects part between the subjects, and nowhere else."""
+    texts = {
+        "bn": ["নদী পাহাড় থেকে নেমে আসে।", "নদী পাহাড় থেকে দূরে যায়।", "নদী পাহাড় থেকে সাগরে যায়।", "বাজার সকালে খোলা থাকে সবসময়।", "বাজার সকালে খোলা হয় সবসময়।", "বাজার সকালে খোলা পাই সবসময়।"],
+        "ta": ["ஆறு மலை இருந்து வருகிறது இன்று.", "ஆறு மலை இருந்து செல்கிறது இன்று.", "ஆறு மலை இருந்து ஓடுகிறது இன்று.", "சந்தை காலை திறந்து இருக்கும் எப்போதும்.", "சந்தை காலை திறந்து வைப்பார் எப்போதும்.", "சந்தை காலை திறந்து காணும் எப்போதும்."],
+        "ur": ["دریا پہاڑ سے نیچے آتا ہے آج.", "دریا پہاڑ سے دور جاتا ہے آج.", "دریا پہاڑ سے پار جاتا ہے آج.", "بازار صبح کھلا رہتا تھا ہمیشہ.", "بازار صبح کھلا ملتا تھا ہمیشہ.", "بازار صبح کھلا لگتا تھا ہمیشہ."],
+    }
+    df = spark.createDataFrame([(k, k, " ".join(v)) for k, v in texts.items()], "owner string, lang string, text string")
+    got = {}
+    for r in chunking.semantic(df).orderBy("owner", "pos").collect():
+        got.setdefault(r.owner, []).append(r.text)
+    assert got == {k: [" ".join(v[:3]), " ".join(v[3:])] for k, v in texts.items()}
+
+
+def test_question_without_a_token_is_near_nothing(spark):
+    from granthika.plans.retrieval_queries import _not_zero
+
+    df = spark.createDataFrame([(1, [0.0, 0.0]), (2, [0.0, -1.0]), (3, None)], "vec_id bigint, embedding array<float>")
+    assert [r.vec_id for r in _not_zero(df).collect()] == [2]
+
+
 def test_bm25(spark):
     docs = spark.createDataFrame([("a", "x y z"), ("b", "x x"), ("c", None), ("d", "")], "doc_id string, text string")
     q = spark.createDataFrame([(1, "x"), (2, "nothing"), (3, None)], "query_id bigint, text string")
