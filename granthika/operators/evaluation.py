@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granthika.session import cut
+
 CUTS = (1, 5, 10, 20)
 STAGES = ("stt", "safety", "embed", "search", "fetch", "relevance", "generate", "grounding")
 CORE = ("embed", "search", "fetch")
@@ -90,8 +92,54 @@ def waterfall(responses: DataFrame) -> DataFrame:
     return t.withColumn("start_ms", F.round(F.coalesce(F.sum("ms").over(w), F.lit(0.0)), 4)).select("query_id", "stage", "ms", "start_ms")
 
 
-def rolling(hits: DataFrame, key: str, order: list[str], value: str, frame: int = 100) -> DataFrame:
-    """Floor-rank percentiles of the last ``frame`` values per ``key``: ``key, order..., n, p50, p70, p100``."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(-(frame - 1), 0)
-    v = hits.where(F.col(value).isNotNull()).withColumn("_v", F.array_sort(F.collect_list(value).over(w)))
+def ranged(df: DataFrame, *order: str) -> DataFrame:
+    """``df`` range-partitioned by ``order`` and written once, with ``_range``, the number of the range."""
+    return cut(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+
+
+def before_ranges(df: DataFrame, key: str, n: Column) -> DataFrame:
+    """``_key, _range, _before, _all``: of each key and range of ``ranged`` rows the sum of ``n`` in the key's
+    ranges before, and in all of them. A key has no more rows here than there are ranges."""
+    w = Window.partitionBy("_key")
+    per = df.groupBy(F.col(key).alias("_key"), "_range").agg(n.alias("_n"))
+    before = F.coalesce(F.sum("_n").over(w.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return per.select("_key", "_range", before.alias("_before"), F.sum("_n").over(w).alias("_all"))
+
+
+def floor_ranks(df: DataFrame, key: str, value: str, percents: tuple[int, ...] = (50, 70, 100)) -> DataFrame:
+    """``key, n, p50, p70, p100``: exact floor-rank percentiles of ``value`` per ``key``, however many rows a key has.
+
+    Equal values are counted before the shuffle; the counts lie in ranges of ``key, value``, whose sums
+    place every value's ranks, so no task sees more than one range.
+    """
+    counts = ranged(df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("n")), key, value)
+    bases = before_ranges(counts, key, F.sum("n"))
+    upto = F.sum("n").over(Window.partitionBy("_range", key).orderBy(value))
+    at = counts.withColumn("_upto", upto).withColumnRenamed("_range", "_r")
+    at = at.join(bases, (F.col(key).eqNullSafe(F.col("_key"))) & (F.col("_r") == F.col("_range")))
+    last = F.col("_before") + F.col("_upto")
+    holds = lambda p: (F.least(F.col("_all"), F.floor(p / 100 * F.col("_all")) + 1) > last - F.col("n")) & (F.least(F.col("_all"), F.floor(p / 100 * F.col("_all")) + 1) <= last)
+    return at.groupBy(key).agg(F.max("_all").cast("int").alias("n"), *[F.max(F.when(holds(p), F.col(value))).alias(f"p{p}") for p in percents])
+
+
+#: rows of one key that one task takes at a time, besides the rows carried over
+BLOCK = 20_000
+
+
+def rolling(hits: DataFrame, key: str, order: list[str], value: str, frame: int = 100, block: int = BLOCK) -> DataFrame:
+    """Floor-rank percentiles of the last ``frame`` values per ``key``: ``key, order..., n, p50, p70, p100``.
+
+    The rows of a key are numbered over ranges of ``key, order`` and cut into blocks; the last rows of
+    each block are carried over into the next, so a hot key is spread over as many tasks as it has blocks.
+    """
+    block = max(block, frame)
+    rows = ranged(hits.where(F.col(value).isNotNull()).select(key, *order, value), key, *order)
+    numbered = rows.withColumn("_local", F.row_number().over(Window.partitionBy("_range", key).orderBy(*order)) - 1).withColumnRenamed("_range", "_r")
+    numbered = numbered.join(before_ranges(rows, key, F.count(F.lit(1))), (F.col(key).eqNullSafe(F.col("_key"))) & (F.col("_r") == F.col("_range")))
+    at = F.col("_before") + F.col("_local")
+    own = F.floor(at / block)
+    carried = F.when((F.pmod(at, F.lit(block)) > block - frame) & ((own + 1) * block < F.col("_all")), F.array(own, own + 1)).otherwise(F.array(own))
+    blocks = numbered.select(key, *order, value, at.alias("_at"), own.alias("_own"), F.explode(carried).alias("_block"))
+    w = Window.partitionBy(key, "_block").orderBy("_at").rowsBetween(-(frame - 1), 0)
+    v = blocks.withColumn("_v", F.array_sort(F.collect_list(value).over(w))).where(F.col("_block") == F.col("_own"))
     return v.select(key, *order, F.size("_v").alias("n"), *[floor_rank(F.col("_v"), p).alias(f"p{p}") for p in (50, 70, 100)])

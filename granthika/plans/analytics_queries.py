@@ -62,8 +62,7 @@ def latency_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def latency_floor_rank(spark: SparkSession, sf: str) -> DataFrame:
-    ms = table(spark, sf, "responses").where("total_ms is not null").groupBy("refused").agg(F.array_sort(F.collect_list("total_ms")).alias("v"))
-    return ms.select("refused", F.size("v").alias("n"), *[evaluation.floor_rank(F.col("v"), p).alias(f"p{p}") for p in (50, 70, 100)])
+    return evaluation.floor_ranks(table(spark, sf, "responses"), "refused", "total_ms")
 
 
 def stage_waterfall(spark: SparkSession, sf: str) -> DataFrame:

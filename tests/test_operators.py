@@ -169,6 +169,26 @@ def test_question_without_a_token_is_near_nothing(spark):
     assert [r.vec_id for r in _not_zero(df).collect()] == [2]
 
 
+def test_floor_ranks_and_rolling_of_hot_keys(spark):
+    """Against sorting in Python, with a key of a third of the rows, ties and null keys; and no task with a whole key."""
+    rng = random.Random(4)
+    data = [(rng.choice([1, 1, 1, 2, 3, None]), rng.randint(0, 40), i, rng.choice([None, *range(30)])) for i in range(1500)]
+    df = spark.createDataFrame([(k, t, i, None if v is None else v / 4) for k, t, i, v in data], "k int, ts int, id int, v double").repartition(5)
+    kept = {}
+    for k, t, i, v in sorted(data, key=lambda x: (x[1], x[2])):
+        if v is not None:
+            kept.setdefault(k, []).append((i, v / 4))
+    rank = lambda v, p: sorted(v)[min(len(v), p * len(v) // 100 + 1) - 1]
+    ranks = evaluation.floor_ranks(df, "k", "v")
+    assert {tuple(r) for r in ranks.collect()} == {(k, len(v), *(rank([x for _, x in v], p) for p in (50, 70, 100))) for k, v in kept.items()}
+    assert "collect_list" not in ranks._jdf.queryExecution().toString()
+    want = {(k, i, len(last), *(rank(last, p) for p in (50, 70, 100))) for k, v in kept.items() for n, (i, _) in enumerate(v) for last in [[x for _, x in v[max(0, n - 9) : n + 1]]]}
+    for block in (1, 16, 20_000):
+        got = [(r.k, r.id, r.n, r.p50, r.p70, r.p100) for r in evaluation.rolling(df, "k", ["ts", "id"], "v", 10, block).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert evaluation.floor_ranks(df.limit(0), "k", "v").count() == 0 == evaluation.rolling(df.limit(0), "k", ["ts", "id"], "v").count()
+
+
 def test_bm25(spark):
     docs = spark.createDataFrame([("a", "x y z"), ("b", "x x"), ("c", None), ("d", "")], "doc_id string, text string")
     q = spark.createDataFrame([(1, "x"), (2, "nothing"), (3, None)], "query_id bigint, text string")
