@@ -110,16 +110,25 @@ def chunk_metadata_aware(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.chunks(_texts(spark, sf), "metadata_aware").select("owner", "strategy", "pos", "n_parts", "text", F.array_join("tags", " ").alias("tags"))
 
 
-def chunk_stats(spark: SparkSession, sf: str) -> DataFrame:
+def _chunk_stats(spark: SparkSession, sf: str, strategies: tuple[str, ...]) -> DataFrame:
     t = _texts(spark, sf)
     every = None
-    for s in ("passage", "sentence_window", "sliding_window", "metadata_aware"):
+    for s in strategies:
         c = chunking.chunks(t, s).select("owner", "strategy", "text")
         every = c if every is None else every.unionByName(c)
     n, owners = F.count(F.lit(1)), F.countDistinct("owner")
     return every.groupBy("strategy").agg(n.alias("n_chunks"), owners.alias("passages"), F.round(n / owners, 2).alias("chunks_per_passage"), F.round(n * 384 * 4 / 1e6, 1).alias("index_mb"), F.max(F.length("text")).alias("longest"))
 
 
+def chunk_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """The strategies that SQL can express; ``chunk_stats_all`` has all of them."""
+    return _chunk_stats(spark, sf, tuple(s for s in chunking.STRATEGIES if s != "semantic"))
+
+
+def chunk_stats_all(spark: SparkSession, sf: str) -> DataFrame:
+    return _chunk_stats(spark, sf, chunking.STRATEGIES)
+
+
 # ---- SQL ---------------------------------------------------------------------------------------
 S = r"[\s\x1c-\x1f\x{85}\p{Z}]"
 STRIP = rf"regexp_replace(@, '^{S}+|{S}+$', '', 'g')"
@@ -209,5 +218,5 @@ SQL = {
 }
 QUERIES = {
     f: globals()[f]
-    for f in "extracted_passages extracted_english passage_dedup passages_not_stored dedup_stats qrels_build row_boundary_limit slice_corpus hits_with_text store_consistency store_by_language store_ids word_stats latest_requests query_sample languages_named chunk_passage chunk_sentence_window chunk_sliding_window chunk_semantic chunk_metadata_aware chunk_stats".split()
+    for f in "extracted_passages extracted_english passage_dedup passages_not_stored dedup_stats qrels_build row_boundary_limit slice_corpus hits_with_text store_consistency store_by_language store_ids word_stats latest_requests query_sample languages_named chunk_passage chunk_sentence_window chunk_sliding_window chunk_semantic chunk_metadata_aware chunk_stats chunk_stats_all".split()
 }

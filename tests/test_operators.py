@@ -189,6 +189,22 @@ def test_floor_ranks_and_rolling_of_hot_keys(spark):
     assert evaluation.floor_ranks(df.limit(0), "k", "v").count() == 0 == evaluation.rolling(df.limit(0), "k", ["ts", "id"], "v").count()
 
 
+def test_chunk_stats_have_semantic_chunks(spark, tmp_path):
+    """The semantic row against groups made in Python."""
+    from granthika.plans import corpus_queries
+
+    texts = {"a": [f"Word{i} river hill stone number {i}." for i in range(6)], "b": ["নদী পাহাড় থেকে নেমে আসে।", "নদী পাহাড় থেকে দূরে যায়।", "বাজার সকালে খোলা থাকে সবসময়।", "বাজার সকালে খোলা হয় সবসময়।"], "c": ["Only one sentence here."]}
+    spark.createDataFrame([(k, "x", " ".join(v)) for k, v in texts.items()], "doc_id string, l string, t string").write.parquet(str(tmp_path / "passage_store.parquet"))
+    chunks = []
+    for k, v in texts.items():
+        groups = [0] * len(v) if len(v) < 3 else chunking._groups([s.lower().rstrip(".।").split() for s in v], [len(s.split()) for s in v], 80.0, 200)
+        chunks += [" ".join(s for s, g in zip(v, groups) if g == n) for n in sorted(set(groups))]
+    got = {r.strategy: r for r in corpus_queries.chunk_stats_all(spark, str(tmp_path)).collect()}
+    assert len(got) == len(chunking.STRATEGIES)
+    r = got["semantic"]
+    assert (r.n_chunks, r.passages, r.longest) == (len(chunks), 3, max(map(len, chunks))) and r.chunks_per_passage == round(len(chunks) / 3, 2)
+
+
 def test_bm25(spark):
     docs = spark.createDataFrame([("a", "x y z"), ("b", "x x"), ("c", None), ("d", "")], "doc_id string, text string")
     q = spark.createDataFrame([(1, "x"), (2, "nothing"), (3, None)], "query_id bigint, text string")
