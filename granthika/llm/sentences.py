@@ -71,11 +71,20 @@ def _forms(words: list[str]) -> set[str]:
 def _class(prop: str) -> str:
     """The characters of a property, as a class for ``re``."""
     has = regex.compile(rf"(?V1){prop}")
-    return "".join(re.escape(c) for c in map(chr, range(0x21, 0xFFFF)) if not 0xD800 <= ord(c) < 0xE000 and has.match(c))
+    return "".join(map(re.escape, has.findall("".join(map(chr, [*range(0x21, 0xD800), *range(0xE000, 0x110000)])))))
 
 
 _STERM, _ATERM = _class(r"\p{SB=STerm}"), _class(r"\p{SB=ATerm}")
-RUN = re.compile(f"[{_STERM}{_ATERM}|…]+")
+FAR = re.compile("[\U00010000-\U0010ffff]")
+
+
+def _by_plane(make) -> tuple[re.Pattern, re.Pattern]:
+    """A pattern made from STerm and ATerm characters: for texts within the basic plane, where ``re`` is
+    faster without the others, and for all."""
+    return re.compile(make(FAR.sub("", _STERM), FAR.sub("", _ATERM))), re.compile(make(_STERM, _ATERM))
+
+
+RUN = _by_plane(lambda s, a: f"[{s}{a}|…]+")
 UNIT_ENDS = {tuple(w.rsplit(".", 1)) for w in _forms(UNITS)}
 KEPT = _forms(SHORT) | _forms(INITIALS) | set(LATIN_SHORT) | {w.lower() for w in LATIN_SHORT if len(w) > 2 and w not in ("Col", "Fig", "Sec", "Vol")}
 FIRST_PARTS, LAST_PARTS = {a for a, _ in UNIT_ENDS}, {b for _, b in UNIT_ENDS}
@@ -113,13 +122,13 @@ def _short_form(text: str, begin: int, i: int, spaced: bool) -> bool:
 #: What may stand behind the terminators and still closes the sentence: a verse number, more
 #: terminators, closing marks.
 VERSE = regex.compile(r"(?V1)[\s\u00a0]*[(\[]?\p{Nd}{1,5}[)\]]?[\s\u00a0]*[॥।]+")
-MORE = re.compile(rf"\s*[{_STERM}|]+|\.(?=[\s\"'”’»)]|$)")
+MORE = _by_plane(lambda s, _: rf"\s*[{s}|]+|\.(?=[\s\"'”’»)]|$)")
 CLOSE = regex.compile(r"(?V1)(?:[\p{Pe}\p{Pf}\"'\u200b\u2060\ufeff\u00ad])")
 SPACES = regex.compile(r"(?V1)[\s\u00a0\u200b\u2060\ufeff\u00ad]*")
 GOES_ON = regex.compile(r"(?V1)[,;:،؛–—\-、，]")
 LATE_CLOSE = re.compile(r"\s+[\"”»](?=[\s,]|$)")
 QUOTE = re.compile("[\"“”«»]")
-END_MARK = re.compile(rf"[{_STERM}|]|\.(?!\.)")
+END_MARK = _by_plane(lambda s, _: rf"[{s}|]|\.(?!\.)")
 DASH = re.compile(r"[\-–—]\s")
 LIST_NUMBER = regex.compile(r"(?V1)[\s\p{Ps}\p{Pi}\"'\u200b\u2060\ufeff\u00ad]*\p{Nd}{1,3}[.)]?$")
 WORDY = regex.compile(r"(?V1)[\p{L}\p{N}]")
@@ -217,9 +226,10 @@ def is_spaced(text: str) -> bool:
 
 def _spans(text: str) -> list[tuple[int, int]]:
     spaced = is_spaced(text)
+    run_of, more, end_mark = (x[FAR.search(text) is not None] for x in (RUN, MORE, END_MARK))
     cuts, begin, n = [], 0, len(text)
     pos = 0
-    while (m := RUN.search(text, pos)) is not None:
+    while (m := run_of.search(text, pos)) is not None:
         i, j = m.span()
         pos, run = j, m[0]
         if run.endswith("...") or run in ("..", "…"):
@@ -245,7 +255,7 @@ def _spans(text: str) -> list[tuple[int, int]]:
                 cuts.append(j)
                 begin = j
                 continue
-        while k := MORE.match(text, j):
+        while k := more.match(text, j):
             j = k.end()
         if ("॥" in run or "।।" in run) and (k := VERSE.match(text, j)):
             j = k.end()
@@ -268,7 +278,7 @@ def _spans(text: str) -> list[tuple[int, int]]:
             pos = j
             continue
         c = text[s]
-        if quoted and END_MARK.match(text, s):
+        if quoted and end_mark.match(text, s):
             pos = s  # the terminator behind the quotation ends the sentence
             continue
         if GOES_ON.match(text, s) and not DASH.match(text, s):

@@ -77,3 +77,10 @@ def test_operator(spark):
     got = sorted(tuple(r) for r in sentences(df, "text", "id").collect())
     assert got == sorted([(1, 0, 0, 6, "एक है।"), (1, 1, 7, 13, "दो है।")] * 2)
     assert sentences(df.limit(0), "text", "id").count() == 0
+
+
+def test_dandas_beyond_the_basic_plane():
+    """Kaithi, Sharada, Modi, Newa and Brahmi."""
+    for letter, danda in (("\U0001108d", "\U000110c0"), ("\U00011191", "\U000111c5"), ("\U0001160e", "\U00011641"), ("\U0001140e", "\U0001144b"), ("\U00011013", "\U00011047")):
+        first = f"{letter * 3} {letter * 4}{danda}"
+        assert spans(f"{first} {letter * 5}{danda}") == [(0, len(first)), (len(first) + 1, len(first) + 7)]
