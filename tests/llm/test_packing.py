@@ -2,12 +2,15 @@
 
 import math
 import random
+from itertools import combinations
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from granthika.llm.packing import fill_containers, pack, pieces_of
+from granthika.llm import packing
+from granthika.llm.packing import best_fit_decreasing, fill_containers, pack, pieces_of
 
 
 @settings(max_examples=100, deadline=None)
@@ -24,6 +27,58 @@ def test_swaps_beat_best_fit():
     assert len(pack([6, 5, 5, 4, 4, 3, 3], 15)) == 2
 
 
+def triplets(seed, n=300):
+    rng = random.Random(seed)
+    out = []
+    for _ in range(n):
+        a, b = rng.randint(400, 900), rng.randint(400, 900)
+        out += [a, b, 2048 - a - b]
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_triplets(seed):
+    sizes = triplets(seed)
+    assert len(best_fit_decreasing(sizes, 2048)) >= 313 and len(pack(sizes, 2048)) <= 305
+
+
+def test_no_pair_of_bins_is_left_that_a_step_improves():
+    rng = random.Random(7)
+    for _ in range(60):
+        sizes = [rng.randint(20, 60) for _ in range(rng.randint(2, 24))]
+        bins = pack(sizes, 100)
+        if len(bins) <= math.ceil(sum(sizes) / 100):
+            continue
+        fill = [sum(sizes[i] for i in b) for b in bins]
+        for x, low in enumerate(bins):
+            for y, high in enumerate(bins):
+                for give, take in ((1, 0), (1, 1), (2, 1), (1, 2)) if x != y else ():
+                    for a in combinations(low, give):
+                        for b in combinations(high, take):
+                            d = sum(sizes[i] for i in a) - sum(sizes[i] for i in b)
+                            assert d <= 0 or fill[y] + d > 100 or d + fill[y] <= fill[x]
+
+
+def test_groups_stay_bounded(spark, monkeypatch):
+    """Items that no two fit together: no group grows, and nothing is packed over and over."""
+    seen = []
+    inner = packing._round
+
+    def watched(left, deal, groups, capacity):
+        out = inner(left, deal, groups, capacity)
+        seen.append((out.groupBy("grp").count().agg(F.max("count")).first()[0], out.rdd.getNumPartitions()))
+        return out
+
+    monkeypatch.setattr(packing, "_round", watched)
+    df = spark.range(40_000).select(F.col("id").alias("item_id"), F.lit(1100).alias("n_tokens"))
+    assert fill_containers(df, 2048, per_group=500).select("container").distinct().count() == 40_000
+    assert len(seen) <= 2 and all(n <= 1000 and tasks > 1 for n, tasks in seen)
+    seen.clear()
+    mixed = spark.createDataFrame(list(enumerate(triplets(5, 2000))), "item_id bigint, n_tokens int")
+    assert fill_containers(mixed, 2048, per_group=500).select("container").distinct().count() <= 2000 * 1.02
+    assert all(n <= 1000 for n, _ in seen)
+
+
 def frame(spark, n=3000, seed=1):
     rng = random.Random(seed)
     return spark.createDataFrame([(i, rng.choice([rng.randint(1, 300), rng.randint(1, 3000), 500]), i) for i in range(n)] + [(n + 1, 0, 0), (n + 2, None, 0), (None, 5, 0), (n + 3, 100_000, 0)], "item_id bigint, n_tokens int, bin int")
