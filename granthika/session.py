@@ -19,20 +19,32 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "6g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # a checkpoint that nothing refers to any more is deleted
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
 
+def checkpoint_folder(named: str | None, master: str) -> str:
+    """``named``, or on one machine a folder of our own; elsewhere a missing name is an error, as a folder
+    of one machine is lost with it and not seen by the others."""
+    if named:
+        return named
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="granthika-")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared checkpoint folder, with its lineage cut.
 
     The folder is the one that the session names in ``spark.checkpoint.dir``, which all executors share,
-    so a lost executor loses nothing; only where none is named (tests on one machine) and none was set
-    on the context a folder of our own is taken.
+    so a lost executor loses nothing. With ``spark.cleaner.referenceTracking.cleanCheckpoints`` (a setting of
+    the cluster) a checkpoint is deleted once nothing refers to it.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="granthika-"))
+        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        sc.setCheckpointDir(checkpoint_folder(named, sc.master))
     return df.checkpoint(eager=True)
