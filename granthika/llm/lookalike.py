@@ -1,23 +1,28 @@
 """Texts that look the same but differ in characters, brought to one form (problem 6).
 
-A text is cut at its spaces into tokens. Almost every token is plain: it holds no sign that could
-look like another. The others are folded by table, and the table's form is what two look-alike tokens
-have in common: it decides. Within a shard of equal forms a trie of the stored spellings is walked with
-an automaton in which look-alike letters and signs that are not seen cost nothing; the plain spelling
-that it reaches is the table's form again. Edits that cost something are never asked for by the operator.
+A text is cut at its spaces into tokens. Almost every token is plain: it holds no sign that could look like
+another. The others walk a trie of the stored spellings with a weighted edit automaton: look-alike letters
+and signs that are not seen cost nothing, every visible edit costs more than may be spent. Of the spellings
+reached the cleanest, then the most frequent is canonical. A token that reaches none takes the form of the table.
+
+Shards of the trie are cut by a skeleton: the number of letters and digits and the first few of them, without
+marks, joiners and punctuation. Words of one skeleton may look quite different; the automaton tells.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from granthika.operators.skew import skew_join
 from granthika.session import cut
 
 # ---- fixed values ------------------------------------------------------------------------------
@@ -82,104 +87,178 @@ def fold(token: str) -> str:
 
 
 ODD = re.compile("[" + "".join(map(re.escape, sorted(set(ONE) | set(IGNORED) | set(JOINERS)))) + "]")
+#: a Latin letter right beside a Greek or Cyrillic one
+MIXED = re.compile("[A-Za-z\u00c0-\u024f][\u0300-\u036f]*[\u0370-\u03ff\u0400-\u052f]|[\u0370-\u03ff\u0400-\u052f][\u0300-\u036f]*[A-Za-z\u00c0-\u024f]")
 
 
 def is_odd(text: str) -> bool:
-    """Whether ``text`` may have another look-alike form; where it is false, folding changes nothing."""
-    return bool(ODD.search(text)) or not unicodedata.is_normalized("NFC", text) or bool(SPLIT.search(text))
+    """Whether ``text`` may look like something else; where it is false, it is its own form."""
+    return bool(ODD.search(text)) or not unicodedata.is_normalized("NFC", text) or bool(SPLIT.search(text)) or bool(MIXED.search(text))
+
+
+def is_clean(token: str) -> bool:
+    """Whether a spelling is the one to prefer: nothing unseen, nothing replaced, no scripts mixed."""
+    return fold(token) == token and not MIXED.search(token)
 
 
 # ---- the automaton -----------------------------------------------------------------------------
+#: what an edit costs that is seen
+VISIBLE = 1
+UNSEEN = frozenset(IGNORED)
+#: stands for a joiner that changes nothing beside it
+NO_JOINER = "\u200b"
+
+
 def parts(token: str) -> str:
     """Characters taken apart, so that composed and separate letters are the same sequence."""
     return "".join(JOINED_VOWELS.get(c, c) for c in unicodedata.normalize("NFD", token))
 
 
-def seen(token: str) -> str:
-    """The taken-apart token without unseen signs and without joiners that change nothing beside them."""
-    return parts("".join(c for i, c in enumerate(token) if c not in IGNORED and (c not in JOINERS or _visible_joiner(token, i))))
+def symbols(token: str) -> str:
+    """What the automaton reads: the token taken apart, joiners that change nothing as unseen signs."""
+    marked = "".join(c if c not in JOINERS or _visible_joiner(token, i) else NO_JOINER for i, c in enumerate(token))
+    out = parts(marked)
+    if (bare := "".join(c for c in marked if c not in UNSEEN)) != marked and parts(bare) != "".join(c for c in out if c not in UNSEEN):
+        return parts(bare)  # an unseen sign had kept marks apart that have an order
+    return out
 
 
 def trie(spellings: list[str]) -> dict:
-    """A trie over what is seen of the spellings; a node's spellings are under the empty string."""
+    """A trie of spellings; a node has its words under the empty string, its unseen signs under "unseen"."""
     root: dict = {}
     for s in spellings:
         node = root
-        for c in seen(s):
-            node = node.setdefault(c, {})
+        for c in symbols(s):
+            child = node.get(c)
+            if child is None:
+                child = node[c] = {}
+                if c in UNSEEN:
+                    node.setdefault("unseen", []).append(child)
+            node = child
         node.setdefault("", []).append(s)
     return root
 
 
+@lru_cache(maxsize=1 << 14)
+def looks(c: str) -> str:
+    """The character that stands for all that look like ``c``."""
+    while (d := ONE.get(c, c)) != c:
+        c = d
+    return c
+
+
+LIKE: dict[str, list[str]] = {}
+for _c in ONE:
+    LIKE.setdefault(looks(_c), [looks(_c)]).append(_c)
+
+
 def substitution(a: str, b: str) -> int:
-    """0 for the same character or look-alikes, else 1."""
-    return 0 if a == b or (ONE.get(a, a) == ONE.get(b, b)) else 1
+    """0 for the same character or look-alikes, else the cost of a visible edit."""
+    return 0 if a == b or looks(a) == looks(b) else VISIBLE
 
 
 def reach(root: dict, token: str, most: int = 0) -> list[tuple[int, str]]:
-    """Cost and spelling of all words in the trie within ``most`` edits of ``token``.
+    """Cost and spelling of all words in the trie within a cost of ``most`` from ``token``.
 
-    Substituting a look-alike and dropping or adding an unseen sign (a joiner only where it changes
-    nothing) cost 0, every other edit 1.
+    The automaton's states are places in trie and token, taken cheapest first. Substituting a look-alike and
+    dropping or adding an unseen sign (a joiner only where it changes nothing) cost nothing, every other
+    edit ``VISIBLE``.
     """
-    word = seen(token)
+    word = symbols(token)
+    n = len(word)
     out: list[tuple[int, str]] = []
-
-    # depth first by a stack of our own: a text without spaces is one very long token
-    if not most:  # with nothing to spend there is one live state: the next character has to agree
-        stack = [(root, 0)]
-        while stack:
-            node, at = stack.pop()
-            if at == len(word):
-                out.extend((0, s) for s in node.get("", ()))
-            for c, child in node.items():
-                if c and at < len(word) and substitution(word[at], c) == 0:
-                    stack.append((child, at + 1))
-        return out
-    stack = [(root, list(range(len(word) + 1)))]
-    while stack:
-        node, row = stack.pop()
-        if row[-1] <= most:
-            out.extend((row[-1], s) for s in node.get("", ()))
-        for c, child in node.items():
-            if not c:
-                continue
-            new = [row[0] + 1]
-            for k, w in enumerate(word, 1):
-                new.append(min(row[k - 1] + substitution(w, c), row[k] + 1, new[k - 1] + 1))
-            if min(new) <= most:
-                stack.append((child, new))
+    queue, tick, done = [(0, 0, 0, root)], 0, set()
+    while queue:
+        cost, _, at, node = heapq.heappop(queue)
+        if (id(node), at) in done:
+            continue
+        done.add((id(node), at))
+        steps = [(0, at, child) for child in node.get("unseen", ())]
+        if at == n:
+            out.extend((cost, s) for s in node.get("", ()))
+        else:
+            c = word[at]
+            if c in UNSEEN:
+                steps.append((0, at + 1, node))
+            steps += [(0, at + 1, child) for x in LIKE.get(looks(c), (c,)) if (child := node.get(x)) is not None]
+        if cost + VISIBLE <= most:
+            if at < n:
+                steps.append((VISIBLE, at + 1, node))
+                steps += [(VISIBLE, at + 1, child) for x, child in node.items() if len(x) == 1 and substitution(word[at], x)]
+            steps += [(VISIBLE, at, child) for x, child in node.items() if len(x) == 1]
+        for more, to, child in steps:
+            tick += 1
+            heapq.heappush(queue, (cost + more, tick, to, child))
     return out
 
 
-@F.pandas_udf(BooleanType())
-def odd(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for series in texts:
-        yield series.map(lambda t: t is not None and is_odd(t))
+def choose(found: list[tuple[int, str]], counts: dict[str, int], token: str) -> str:
+    """The canonical spelling among those reached: the cheapest, of these a clean one, then the most frequent, then
+    the least. Where nothing was reached, or only spellings with signs that the table would take out, the
+    table's form stands; it never parts what the automaton has brought together, as it is the same for all."""
+    usable = [x for x in found if is_clean(x[1]) or (MIXED.search(fold(x[1])) and not MIXED.search(x[1]))]
+    return min(usable, key=lambda x: (x[0], not is_clean(x[1]), -counts.get(x[1], 0), x[1]))[1] if usable else fold(token)
+
+
+# ---- shards ------------------------------------------------------------------------------------
+@lru_cache(maxsize=1)
+def _skeleton_letters() -> tuple[str, str]:
+    """Letters and digits that stand for others in a skeleton, and for which; those beyond the second list's end
+    fall away. A rule over all characters: the first part of what is taken apart, as what it looks like."""
+    of: dict[str, str] = {}
+    for c in map(chr, [*range(0x80, 0xAC00), *range(0xD7A4, 0xD800), *range(0xF900, 0x110000)]):
+        d = unicodedata.decomposition(c)
+        if unicodedata.category(c)[0] in "LN" and (c in ONE or c in JOINED_VOWELS or (d and d[0] != "<")):
+            b, a = "", c
+            while a != b:
+                b, a = a, looks(parts(a)[:1])[:1]
+            if a != c:
+                of[c] = a if unicodedata.category(a)[0] in "LN" else ""
+    order = sorted(of, key=lambda c: (of[c] == "", c))
+    return "".join(order), "".join(of[c] for c in order)
+
+
+def skeleton(token: Column, first: int = 3) -> Column:
+    """The number of letters and digits of a token and the first of them; the same for all that look alike."""
+    letters = F.translate(F.regexp_replace(token, r"[^\p{L}\p{N}]+|\p{IsHangul}", ""), *_skeleton_letters())
+    return F.concat(F.length(letters).cast("string"), F.lit(":"), F.substring(letters, 1, first))
+
+
+def _match(key: tuple, asked: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+    """Canonical spellings of one shard's odd tokens, by its trie of spellings. Where a stored spelling is not clean
+    its clean form is a word of the trie too."""
+    counts = dict(zip(words["token"], words["n"]))
+    clean = {f for t in counts if is_odd(t) and is_clean(f := fold(t))}
+    root = trie(sorted(clean.union(counts)))
+    return pd.DataFrame({"token": asked["token"], "spelling": [choose(reach(root, t), counts, t) for t in asked["token"]]}, dtype=object)
 
 
-@F.pandas_udf(StringType())
-def folded(tokens: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for series in tokens:
-        yield series.map(lambda t: None if t is None else fold(t))
+TOKENS = ArrayType(StructType([StructField("pos", IntegerType()), StructField("token", StringType())]))
 
 
-# marked so that Spark does not evaluate them once more where their columns are used
-odd, folded = odd.asNondeterministic(), folded.asNondeterministic()
+@F.pandas_udf(TOKENS)
+def odd_tokens(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The odd tokens of a text and their places among all; most texts have none."""
+    for series in texts:
+        yield series.map(lambda t: [] if t is None or not is_odd(t) else [{"pos": k, "token": w} for k, w in enumerate(t.split(" ")) if is_odd(w)])
 
 
-def choose(found: list[tuple[int, str]], counts: dict[str, int], table_form: str) -> str:
-    """The canonical spelling among those reached: of the plain ones the cheapest, then the most frequent,
-    then the least. Where none is plain, or nothing was reached, the table's form stands."""
-    plain = [x for x in found if fold(x[1]) == x[1]]
-    return min(plain, key=lambda x: (x[0], -counts[x[1]], x[1]))[1] if plain else table_form
+@F.pandas_udf(StringType())
+def respelled(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """A text with the tokens at the given places in their canonical spelling."""
 
+    def one(text: str, made: list) -> str:
+        words = text.split(" ")
+        for m in made:
+            words[m["pos"]] = m["s"]
+        return " ".join(words)
 
-def _match(key: tuple, odd: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-    """Canonical spellings of one shard's odd tokens, by its trie of spellings."""
-    root = trie(words["token"].tolist())
-    counts = dict(zip(words["token"], words["n"]))
-    return pd.DataFrame({"token": odd["token"], "spelling": [choose(reach(root, t), counts, f) for t, f in zip(odd["token"], odd["form"])]})
+    for texts, mades in batches:
+        yield pd.Series([one(t, m) for t, m in zip(texts, mades)], dtype=object)
+
+
+# marked so that Spark does not evaluate them once more where their columns are used
+odd_tokens, respelled = odd_tokens.asNondeterministic(), respelled.asNondeterministic()
 
 
 def spaced(text: Column) -> Column:
@@ -187,46 +266,45 @@ def spaced(text: Column) -> Column:
     return F.translate(text, SPACES, " " * len(SPACES))
 
 
-def forms(texts: DataFrame, *keys: str) -> DataFrame:
-    """``keys, raw, form, text``: the digest of each text as it stands, of its form where it is plain, and
-    the text itself, its spaces made one kind, where it is odd. Null and blank texts are left out."""
+def _looked_at(texts: DataFrame, *keys: str) -> DataFrame:
+    """``keys, raw, odd, text``: the digest of each text as it stands, its odd tokens, and the text, its spaces
+    made one kind. Null and blank texts are left out."""
     some = F.col("text").isNotNull() & (F.length(F.trim("text")) > 0)
-    return (
-        texts.where(some)
-        .select(*keys, F.unhex(F.md5("text")).alias("raw"), spaced(F.col("text")).alias("text"))
-        .withColumn("odd", odd("text"))
-        .select(*keys, "raw", F.when(~F.col("odd"), F.unhex(F.md5("text"))).alias("form"), F.when(F.col("odd"), F.col("text")).alias("text"))
-    )
+    return texts.where(some).select(*keys, F.unhex(F.md5("text")).alias("raw"), spaced(F.col("text")).alias("text")).withColumn("odd", odd_tokens("text"))
 
 
-def spellings(odd_texts: DataFrame, odd_vocabulary: DataFrame, vocabulary: DataFrame, shards: int | None = None) -> DataFrame:
-    """``token, spelling`` for every odd token of the odd texts and the odd part of the vocabulary.
+def forms(texts: DataFrame, *keys: str) -> DataFrame:
+    """``keys, raw, form, odd, text``: ``form`` is the digest of a text that is plain; only of the others the text is kept."""
+    plain = F.size("odd") == 0
+    t = _looked_at(texts, *keys)
+    return t.select(*keys, "raw", F.when(plain, F.unhex(F.md5("text"))).alias("form"), F.when(~plain, F.col("odd")).alias("odd"), F.when(~plain, F.col("text")).alias("text"))
+
 
-    Shards are cut by a hash of the folded token, which no free edit changes, so a token and all its
-    spellings meet in one shard and a hot spelling is one row. Of the vocabulary (``text``) only the
-    spellings that an odd token can reach enter a trie.
+def spellings(asked: DataFrame, vocabulary: DataFrame, shards: int | None = None) -> DataFrame:
+    """``token, spelling`` for every one of the ``asked`` tokens (column ``token``, each once).
+
+    Of the vocabulary (``text``) the tokens enter a trie that share their skeleton with an asked one; a token and all
+    that looks like it meet in one shard, and a hot spelling is one row.
     """
     shards = shards or int(vocabulary.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tokens = lambda df: df.where("text is not null").select(F.explode(F.split("text", " ", -1)).alias("token"))
-    counted = lambda df: df.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    asked = cut(tokens(odd_texts.select("text").unionByName(odd_vocabulary.select("text"))).distinct().withColumn("odd", odd("token")).where("odd").select("token", folded("token").alias("form")))
-    wanted = asked.select(F.col("form").alias("token")).distinct()
-    plain_words = counted(tokens(vocabulary.select(spaced(F.col("text")).alias("text")))).join(wanted, "token", "left_semi").withColumn("form", F.col("token"))
-    odd_words = counted(tokens(odd_vocabulary)).join(asked, "token")
-    known = plain_words.select("token", "n", "form").unionByName(odd_words.select("token", "n", "form"))
-    shard = F.pmod(F.xxhash64("form"), F.lit(shards)).alias("shard")
-    return asked.select("token", "form", shard).groupBy("shard").cogroup(known.select("token", "n", "form", shard).groupBy("shard")).applyInPandas(_match, "token string, spelling string")
-
-
-def rebuild(odd_texts: DataFrame, spelled: DataFrame) -> DataFrame:
-    """``text, canonical`` for the distinct texts: every odd token in its canonical spelling."""
-    tokens = odd_texts.select("text").where("text is not null").distinct().select("text", F.posexplode(F.split("text", " ", -1)).alias("pos", "token"))
-    return (
-        tokens.join(spelled, "token", "left")
-        .groupBy("text")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("spelling", "token").alias("s")))).alias("w"))
-        .select("text", F.array_join("w.s", " ").alias("canonical"))
-    )
+    asked = asked.where("token is not null").withColumn("skeleton", skeleton(F.col("token")))
+    words = vocabulary.select(F.explode(F.split(spaced(F.col("text")), " ", -1)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    known = words.withColumn("skeleton", skeleton(F.col("token"))).join(asked.select("skeleton").distinct(), "skeleton", "left_semi")
+    shard = F.pmod(F.xxhash64("skeleton"), F.lit(shards)).alias("shard")
+    return asked.select("token", shard).groupBy("shard").cogroup(known.select("token", "n", shard).groupBy("shard")).applyInPandas(_match, "token string, spelling string")
+
+
+def rebuild(odd_texts: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``digest, canonical`` for the distinct ``odd_texts`` (``text, odd``): every odd token in its canonical spelling.
+
+    Only odd tokens are joined, the hot ones among them salted; texts are told apart by their digests.
+    """
+    each = cut(odd_texts.select(F.unhex(F.md5("text")).alias("digest"), "text", "odd").dropDuplicates(["digest"]))
+    tokens = each.select("digest", F.explode("odd").alias("o")).select("digest", "o.pos", "o.token")
+    counts = cut(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")))
+    spelled = spellings(counts.select("token"), vocabulary)
+    made = skew_join(tokens, spelled, ["token"], F.struct("digest", "pos"), counts).groupBy("digest").agg(F.collect_list(F.struct("pos", F.col("spelling").alias("s"))).alias("made"))
+    return each.join(made, "digest").select("digest", respelled("text", "made").alias("canonical"))
 
 
 def consistent(texts: DataFrame, vocabulary: DataFrame, *keys: str) -> DataFrame:
@@ -234,13 +312,13 @@ def consistent(texts: DataFrame, vocabulary: DataFrame, *keys: str) -> DataFrame
 
     Plain texts are their own form. Null and blank texts come out with a null form. Repeated rows stay.
     """
-    t = cut(texts.select(*keys, "text").withColumn("_s", spaced(F.col("text"))).withColumn("_odd", odd("_s")))
-    v = cut(forms(vocabulary.select("text")).where("text is not null"))
-    hard = t.where("_odd").select(F.col("_s").alias("text"))
-    made = rebuild(hard, spellings(hard, v, vocabulary))
+    t = cut(texts.select(*keys, "text").withColumn("_s", spaced(F.col("text"))).withColumn("_odd", odd_tokens("_s")))
+    hard = t.where(F.size("_odd") > 0).withColumn("digest", F.unhex(F.md5("_s")))
+    own = _looked_at(vocabulary.select("text")).where(F.size("odd") > 0)
+    made = rebuild(hard.select(F.col("_s").alias("text"), F.col("_odd").alias("odd")).unionByName(own.select("text", "odd")), vocabulary)
     blank = F.coalesce(F.trim("text"), F.lit("")) == ""
-    easy = t.where(~F.col("_odd")).select(*keys, "text", F.when(~blank, F.col("_s")).alias("canonical"))
-    return easy.unionByName(t.where("_odd").join(made.withColumnRenamed("text", "_s"), "_s").select(*keys, "text", "canonical"))
+    easy = t.where(F.size("_odd") == 0).select(*keys, "text", F.when(~blank, F.col("_s")).alias("canonical"))
+    return easy.unionByName(skew_join(hard, made, ["digest"], F.struct(*keys) if keys else F.col("text")).select(*keys, "text", "canonical"))
 
 
 def look_alikes(texts: DataFrame, stored: DataFrame) -> DataFrame:
@@ -253,10 +331,15 @@ def look_alikes(texts: DataFrame, stored: DataFrame) -> DataFrame:
     """
     a = cut(forms(texts, "tbl", "rec_id"))
     b = cut(forms(stored, "tbl", "match_id"))
-    hard = a.select("text").unionByName(b.select("text")).where("text is not null")
-    made = cut(rebuild(hard, spellings(a, b, stored)).select("text", F.unhex(F.md5("canonical")).alias("made")))
-    whole = lambda df, *keys: df.where("text is null").select(*keys, "raw", "form").unionByName(df.where("text is not null").join(made, "text").select(*keys, "raw", F.col("made").alias("form")))
-    ca, cb = whole(a, "tbl", "rec_id"), whole(b, "tbl", "match_id")
+    hard = a.select("text", "odd").unionByName(b.select("text", "odd")).where("text is not null")
+    made = cut(rebuild(hard, stored).select("digest", F.unhex(F.md5("canonical")).alias("made")))
+
+    def whole(df: DataFrame, key: str) -> DataFrame:
+        odd = df.where("text is not null").withColumn("digest", F.unhex(F.md5("text")))
+        return df.where("text is null").select("tbl", key, "raw", "form").unionByName(skew_join(odd, made, ["digest"], F.col(key)).select("tbl", key, "raw", F.col("made").alias("form")))
+
+    ca, cb = whole(a, "rec_id"), whole(b, "match_id")
     # only texts that are themselves no stored text
     itself = cb.select("tbl", "raw").distinct()
-    return ca.join(itself, ["tbl", "raw"], "left_anti").join(cb.drop("raw"), ["tbl", "form"]).select("tbl", "rec_id", "match_id").distinct()
+    mine = cut(ca.join(itself, ["tbl", "raw"], "left_anti").select("tbl", "form", "rec_id"))
+    return skew_join(mine, cb.select("tbl", "form", "match_id"), ["tbl", "form"], F.col("rec_id")).select("tbl", "rec_id", "match_id").distinct()
