@@ -5,7 +5,8 @@ element ranks all positions of the signature by a random permutation of its own,
 of one element are correlated and differ between positions, and the estimate varies less than with
 independent hashes. Elements are taken one rank at a time and stop as soon as their rank can lower no
 position any more. Classes that agree on a band of their signatures are candidates and are verified
-on their whole sets; groups are the connected components of the verified links.
+on their whole sets; groups are the connected components of the verified links. Bands that very many
+classes share are not paired: their classes are compared by their rarest runs instead, which is exact.
 """
 
 from __future__ import annotations
@@ -20,15 +21,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from granthika.llm.lines import DROPPED
+from granthika.operators.skew import skew_join
 from granthika.session import cut
 
+#: classes of one band up to which they are paired with each other
+CROWD = 100
+
+
+def words_of(text: Column) -> Column:
+    """The words of a text between white space and punctuation, letter case ignored."""
+    return F.filter(F.split(F.lower(text), DROPPED + "+"), lambda w: w != "")
+
+
 def word_runs(text: Column, width: int) -> Column:
-    """Distinct 64-bit hashes of the runs of ``width`` consecutive words, letter case ignored.
+    """Distinct 64-bit hashes of the runs of ``width`` consecutive words.
 
-    Words are split at white space and punctuation. A text of fewer words has one run of them all;
-    a text without any word has none.
+    A text of fewer words has one run of them all; a text without any word has none.
     """
-    words = F.filter(F.split(F.lower(text), DROPPED + "+"), lambda w: w != "")
+    words = words_of(text)
 
     def runs(w: Column) -> Column:
         n = F.greatest(F.size(w) - width + 1, F.lit(1))
@@ -44,6 +54,28 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def runs_of(words: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct runs of ``width`` words of many texts, given their words' hashes one text after another
+    and how many each has (at least one): the runs' hashes and where each text's begin."""
+    n = np.maximum(counts - width + 1, 1)
+    starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
+    owner = np.repeat(np.arange(len(counts)), n)
+    first = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + starts[owner]
+    end = (starts + counts)[owner]
+    run = np.zeros(len(owner), np.uint64)
+    for k in range(width):
+        at = first + k
+        run = _mix(run * np.uint64(0x100000001B3) ^ np.where(at < end, words[np.minimum(at, len(words) - 1)], np.uint64(0)))
+    order = np.lexsort((run, owner))
+    run, owner = run[order], owner[order]
+    new = np.concatenate([[True], (run[1:] != run[:-1]) | (owner[1:] != owner[:-1])])
+    return run[new], np.concatenate([[0], np.cumsum(np.bincount(owner[new], minlength=len(counts)))])
+
+
+#: elements whose permutations are held at a time
+ELEMENTS = 1 << 16
+
+
 def superminhash(values: np.ndarray, offsets: np.ndarray, size: int) -> np.ndarray:
     """SuperMinHash signatures, a row per set.
 
@@ -51,26 +83,29 @@ def superminhash(values: np.ndarray, offsets: np.ndarray, size: int) -> np.ndarr
     begins and the last one ends. Rank by rank, every element still running draws its place in the
     signature (a step of a Fisher-Yates shuffle seeded by the element) and a value between its rank
     and the next; a position keeps the least. An element stops once its rank exceeds the largest
-    value in its set's signature. An empty set has a signature of infinities.
+    value in its set's signature. A signature is the least of those of its parts, so elements are taken a bounded
+    number at a time, however large a set is. An empty set has a signature of infinities.
     """
     sets = len(offsets) - 1
     sizes = np.diff(offsets)
-    owner = np.repeat(np.arange(sizes.size), sizes)
+    owners = np.repeat(np.arange(sizes.size), sizes)
     sig = np.full(sets * size, np.inf)
-    state = values.astype(np.uint64)
-    perm = np.tile(np.arange(size, dtype=np.uint8 if size <= 256 else np.uint16), (len(values), 1))
-    live = np.arange(len(values))
-    for rank in range(size):
-        if not live.size:
-            break
-        r = _mix(state[live] + np.uint64((0x9E3779B97F4A7C15 * (rank + 1)) & 0xFFFFFFFFFFFFFFFF))
-        pick = rank + ((r >> np.uint64(40)) % np.uint64(size - rank)).astype(np.intp)
-        chosen = perm[live, pick]
-        perm[live, pick] = perm[live, rank]
-        value = rank + (r & np.uint64(0xFFFFFFFF)).astype(np.float64) / 2.0**32
-        np.minimum.at(sig, owner[live] * size + chosen, value)
-        top = sig.reshape(sets, size).max(axis=1)
-        live = live[top[owner[live]] > rank + 1]
+    for begin in range(0, len(values), ELEMENTS):
+        state, owner = values[begin : begin + ELEMENTS].astype(np.uint64), owners[begin : begin + ELEMENTS]
+        low, high = int(owner[0]), int(owner[-1]) + 1
+        perm = np.tile(np.arange(size, dtype=np.uint8 if size <= 256 else np.uint16), (len(state), 1))
+        live = np.arange(len(state))
+        for rank in range(size):
+            if not live.size:
+                break
+            r = _mix(state[live] + np.uint64((0x9E3779B97F4A7C15 * (rank + 1)) & 0xFFFFFFFFFFFFFFFF))
+            pick = rank + ((r >> np.uint64(40)) % np.uint64(size - rank)).astype(np.intp)
+            chosen = perm[live, pick]
+            perm[live, pick] = perm[live, rank]
+            value = rank + (r & np.uint64(0xFFFFFFFF)).astype(np.float64) / 2.0**32
+            np.minimum.at(sig, owner[live] * size + chosen, value)
+            top = sig[low * size : high * size].reshape(high - low, size).max(axis=1)
+            live = live[top[owner[live] - low] > rank + 1]
     return sig.reshape(sets, size)
 
 
@@ -106,7 +141,7 @@ def band_keys(values: np.ndarray, offsets: np.ndarray, scopes: np.ndarray, bands
     place = np.uint64(1) << np.arange(64, dtype=np.uint64)
     i = 0
     while i < len(keys):  # blocks of bounded size, so that the permutations fit in memory
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + (1 << 16), "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + ELEMENTS, "right")) - 1)
         h = superminhash(values[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], bands * rows).view(np.uint64).reshape(j - i, bands, rows)
         key = np.broadcast_to(_mix(scopes[i:j, None] + np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)), (j - i, bands)).copy()
         for r in range(rows):
@@ -123,7 +158,7 @@ def signed(texts: DataFrame, width: int, similarity: float) -> DataFrame:
     """``tbl, scope, key, bare, cls, n, bands, s1, s2`` of every text with a word, in one pass.
 
     ``cls`` is a 64-bit hash of the scope and the set of runs, the same for equal sets, ``n`` their
-    number. The runs are made inside the JVM, the signatures from whole Arrow batches of them.
+    number. Words are hashed inside the JVM, runs and signatures made from whole Arrow batches of them.
     """
     shapes = {wide: shape_for(similarity, wide) for wide in (True, False)}
 
@@ -133,10 +168,10 @@ def signed(texts: DataFrame, width: int, similarity: float) -> DataFrame:
                 b = batch.filter(pc.equal(pc.equal(batch.column("scope"), WIDE), wide))
                 if not b.num_rows:
                     continue
-                runs = b.column("runs")
-                values = runs.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-                n = pc.list_value_length(runs).to_numpy(zero_copy_only=False).astype(np.int64)
-                offsets = np.concatenate([[0], np.cumsum(n)])
+                words = b.column("words")
+                counts = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+                values, offsets = runs_of(words.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), counts, width)
+                n = np.diff(offsets)
                 scopes = _mix(b.column("scope").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
                 cls = _mix(np.add.reduceat(_mix(values), offsets[:-1]) ^ scopes ^ n.astype(np.uint64))
                 keys, sketch = band_keys(values, offsets, scopes, bands, rows)
@@ -145,40 +180,72 @@ def signed(texts: DataFrame, width: int, similarity: float) -> DataFrame:
                 columns += [pa.nulls(len(n), pa.int64()) if sketch is None else pa.array(sketch[:, k].copy().view(np.int64)) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays(columns, names=SIGNED.fieldNames())
 
-    with_runs = texts.select("tbl", "scope", "key", "bare", word_runs(F.col("text"), width).alias("runs")).where(F.size("runs") > 0)
-    return with_runs.mapInArrow(sign, SIGNED)
+    hashed = F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w))
+    return texts.select("tbl", "scope", "key", "bare", hashed.alias("words")).where(F.size("words") > 0).mapInArrow(sign, SIGNED)
 
 
-def similar_classes(members: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+def _runs_of_classes(asked: DataFrame, members: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """``cls, scope, runs`` for the asked classes, made again from one text of each."""
+    which = members.join(asked, "cls", "left_semi").groupBy("cls").agg(F.min(F.struct("tbl", "key")).alias("m")).select("cls", "m.tbl", "m.key")
+    return texts.select("tbl", "scope", "key", "text").join(which, ["tbl", "key"]).dropDuplicates(["cls"]).select("cls", "scope", word_runs(F.col("text"), width).alias("runs"))
+
+
+def by_rarest_runs(sets: DataFrame, similarity: float) -> DataFrame:
+    """``cls_a, cls_b``: every pair of ``sets`` (``cls, scope, runs``) of one scope that may reach ``similarity``, without loss.
+
+    Sets of that similarity share one of the first ``n - ceil(similarity * n) + 1`` of their runs, the rarest first, at
+    places that leave enough runs behind them. What all texts of a kind have in common comes last and
+    brings no pair up.
+    """
+    sets = cut(sets.select("cls", F.transform("runs", lambda x: F.xxhash64(x, F.col("scope"))).alias("runs")))
+    each = sets.select("cls", F.size("runs").alias("n"), F.explode("runs").alias("run"))
+    often = cut(each.groupBy("run").agg(F.count(F.lit(1)).alias("n")))
+    ranked = skew_join(each, often.select("run", F.col("n").alias("df")), ["run"], F.col("cls"), often).groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct("df", "run"))).alias("r"))
+    length = F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9).cast("int") + 1
+    prefix = cut(ranked.select("cls", "n", F.posexplode(F.slice("r", F.lit(1), length)).alias("at", "x")).where("x.df > 1").select("cls", "n", "at", "x.run"))
+    side = lambda s: prefix.select("run", *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "at")])
+    counts = prefix.groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+    needed = F.lit(similarity / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) - 1e-9
+    left = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    # at the first run in common no more than what is behind it can be shared; later ones may bring a pair up again
+    return skew_join(side("a"), side("b"), ["run"], F.col("cls_a"), counts).where((F.col("cls_a") < F.col("cls_b")) & (left >= needed)).select("cls_a", "cls_b").distinct()
+
+
+def similar_classes(members: DataFrame, texts: DataFrame, width: int, similarity: float, crowd: int = CROWD) -> DataFrame:
     """Pairs of classes whose sets of runs reach ``similarity``: ``cls_a, cls_b, jaccard``, cls_a < cls_b.
 
-    Candidates share a band and have sets of sizes that allow the similarity; no bucket is capped.
-    Each is verified on the whole sets, which are made again for candidate classes only.
+    Candidates share a band and have sets of sizes that allow the similarity. A band of more than ``crowd``
+    classes is not paired in itself: all its classes are compared by their rarest runs. Each
+    candidate is verified on the whole sets, which are made again for candidate classes only.
     """
-    classes = members.groupBy("cls").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
-    band = classes.select("cls", "n", F.explode("bands").alias("band"))
-    a, b = (band.select("band", F.col("cls").alias(f"cls_{s}"), F.col("n").alias(f"n_{s}")) for s in "ab")
-    found = a.join(b, "band").where((F.col("cls_a") < F.col("cls_b")) & (F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b"))).select("cls_a", "cls_b").distinct()
-    # before whole sets are fetched: a glance at the sketches, which drops most pairs far below
-    sketch = lambda s: members.where("s1 is not null").select(F.col("cls").alias(f"cls_{s}"), F.col("s1").alias(f"s1_{s}"), F.col("s2").alias(f"s2_{s}")).distinct()
+    band = members.groupBy("cls").agg(F.first("bands").alias("bands")).select("cls", F.explode("bands").alias("band"))
+    shared = cut(band.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("low"), F.max("cls").alias("high")).where("n > 1"))
+    found = shared.where("n = 2").select(F.col("low").alias("cls_a"), F.col("high").alias("cls_b"))
+    some = band.join(shared.where(f"n > 2 and n <= {crowd}").select("band"), "band")
+    a, b = (some.select("band", F.col("cls").alias(f"cls_{s}")) for s in "ab")
+    found = found.unionByName(a.join(b, "band").where("cls_a < cls_b").select("cls_a", "cls_b"))
+    crowded = shared.where(F.col("n") > crowd).select("band", "n")
+    if not crowded.isEmpty():
+        within = skew_join(band, crowded.select("band"), ["band"], F.col("cls"), crowded, "left_semi").select("cls").distinct()
+        found = found.unionByName(by_rarest_runs(_runs_of_classes(within, members, texts, width), similarity))
+    # before whole sets are fetched: their sizes, and a glance at the sketches, which drops most pairs far below
+    sketch = lambda s: members.groupBy("cls").agg(*[F.first(c).alias(f"{c}_{s}") for c in ("n", "s1", "s2")]).withColumnRenamed("cls", f"cls_{s}")
     differing = F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b"))) + F.bit_count(F.col("s2_a").bitwiseXOR(F.col("s2_b")))
-    near = found.join(sketch("a"), "cls_a", "left").join(sketch("b"), "cls_b", "left")
+    near = found.distinct().join(sketch("a"), "cls_a").join(sketch("b"), "cls_b").where(F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b") - 1e-9)
     candidates = cut(near.where(F.coalesce(differing <= most_differing(similarity), F.lit(True))).select("cls_a", "cls_b"))
     asked = candidates.select(F.col("cls_a").alias("cls")).unionByName(candidates.select(F.col("cls_b").alias("cls"))).distinct()
-    which = members.join(asked, "cls", "left_semi").groupBy("cls").agg(F.min(F.struct("tbl", "key")).alias("m")).select("cls", "m.tbl", "m.key")
-    sets = texts.select("tbl", "key", "text").join(which, ["tbl", "key"]).dropDuplicates(["cls"]).select("cls", word_runs(F.col("text"), width).alias("runs"))
-    common = F.size(F.array_intersect("r_a", "r_b"))
+    sets = _runs_of_classes(asked, members, texts, width)
+    with_a = skew_join(candidates, sets.select(F.col("cls").alias("cls_a"), F.col("runs").alias("r_a")), ["cls_a"], F.col("cls_b"))
+    with_b = with_a.join(sets.select(F.col("cls").alias("cls_b"), F.col("runs").alias("r_b")), "cls_b")
     return (
-        candidates.join(sets.select(F.col("cls").alias("cls_a"), F.col("runs").alias("r_a")), "cls_a")
-        .join(sets.select(F.col("cls").alias("cls_b"), F.col("runs").alias("r_b")), "cls_b")
-        .withColumn("_c", common)
+        with_b.withColumn("_c", F.size(F.array_intersect("r_a", "r_b")))
         .withColumn("jaccard", F.col("_c") / (F.size("r_a") + F.size("r_b") - F.col("_c")))
         .where(F.col("jaccard") >= similarity)
         .select("cls_a", "cls_b", "jaccard")
     )
 
 
-def near_pairs(texts: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_pairs(texts: DataFrame, width: int = 5, similarity: float = 0.8, crowd: int = CROWD) -> DataFrame:
     """Every pair of near-duplicate texts that are not equal when bare: ``tbl, key_a, key_b``.
 
     ``texts`` has ``tbl, scope, key, text, bare`` (``scope`` -1: compared with the whole table, else only
@@ -188,7 +255,7 @@ def near_pairs(texts: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     copies are equal when bare and so no pair.
     """
     members = cut(signed(texts, width, similarity))
-    links = similar_classes(members, texts, width, similarity).select("cls_a", "cls_b")
+    links = similar_classes(members, texts, width, similarity, crowd).select("cls_a", "cls_b")
     # links between forms (a class and a bare text): copies of one form are never paired with each other
     forms = members.select("tbl", "cls", "bare").distinct()
     f = lambda s: forms.select("tbl", F.col("cls").alias(f"cls_{s}"), F.col("bare").alias(f"bare_{s}"))
@@ -196,14 +263,13 @@ def near_pairs(texts: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     several = forms.groupBy("tbl", "cls").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("tbl", F.col("cls").alias("cls_a"))
     inside = several.join(f("a"), ["tbl", "cls_a"]).join(f("b").withColumn("cls_a", F.col("cls_b")), ["tbl", "cls_a"]).where("bare_a < bare_b")
     cols = ["tbl", "cls_a", "bare_a", "cls_b", "bare_b"]
-    m = lambda s: members.select("tbl", F.col("cls").alias(f"cls_{s}"), F.col("bare").alias(f"bare_{s}"), F.col("key").alias(f"k_{s}"))
-    return (
-        across.select(*cols)
-        .unionByName(inside.select(*cols))
-        .join(m("a"), ["tbl", "cls_a", "bare_a"])
-        .join(m("b"), ["tbl", "cls_b", "bare_b"])
-        .select("tbl", F.least("k_a", "k_b").alias("key_a"), F.greatest("k_a", "k_b").alias("key_b"))
-    )
+    pairs = across.select(*cols).unionByName(inside.select(*cols))
+    copies = members.groupBy("tbl", "cls", "bare").agg(F.count(F.lit(1)).alias("n"))
+    # the copies of a form are dealt over salts; a pair of forms meets each part of them
+    for s in "ab":
+        rows = members.select("tbl", F.col("cls").alias(f"cls_{s}"), F.col("bare").alias(f"bare_{s}"), F.col("key").alias(f"k_{s}"))
+        pairs = skew_join(rows, pairs, ["tbl", f"cls_{s}", f"bare_{s}"], F.col(f"k_{s}"), copies.withColumnsRenamed({"cls": f"cls_{s}", "bare": f"bare_{s}"}))
+    return pairs.select("tbl", F.least("k_a", "k_b").alias("key_a"), F.greatest("k_a", "k_b").alias("key_b"))
 
 
 def _forest(edges: DataFrame) -> DataFrame:
@@ -277,8 +343,10 @@ def near_groups(texts: DataFrame, width: int = 5, similarity: float = 0.8) -> Da
     links = cut(similar_classes(members, texts, width, similarity).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")))
     roots = components(links)
     degree = links.select(F.col("a").alias("cls")).unionByName(links.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count(F.lit(1)).alias("links"))
-    per = members.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")).join(degree, "cls", "left")
+    linked = roots.withColumnRenamed("node", "cls").join(degree, "cls")
+    alone = members.join(linked, "cls", "left_anti").select("tbl", "key", F.col("cls").alias("root"), F.lit(0).cast("long").alias("links"))
+    per = cut(skew_join(members.select("tbl", "key", "cls"), linked, ["cls"], F.col("key")).select("tbl", "key", "root", "links").unionByName(alone))
     # the least key of each group: aggregated first, so that a large group meets its label cheaply
     label = per.groupBy("tbl", "root").agg(F.min("key").alias("group_key"))
     rest = texts.select("tbl", "key").join(members.select("tbl", "key"), ["tbl", "key"], "left_anti")
-    return per.join(label, ["tbl", "root"]).select("tbl", "key", "group_key", F.coalesce("links", F.lit(0)).alias("links")).unionByName(rest.select("tbl", "key", F.col("key").alias("group_key"), F.lit(0).cast("long").alias("links")))
+    return skew_join(per, label, ["tbl", "root"], F.col("key")).select("tbl", "key", "group_key", "links").unionByName(rest.select("tbl", "key", F.col("key").alias("group_key"), F.lit(0).cast("long").alias("links")))

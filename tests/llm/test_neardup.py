@@ -4,10 +4,13 @@ import random
 
 import numpy as np
 import regex
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from granthika.llm import neardup
 from granthika.llm.lines import bare
-from granthika.llm.neardup import components, near_groups, near_pairs, superminhash
+from granthika.llm.neardup import by_rarest_runs, components, near_groups, near_pairs, runs_of, signed, superminhash
 
 D = regex.compile(r"[\s\p{P}]+")
 SCHEMA = "tbl string, scope bigint, key bigint, text string, extra string"
@@ -72,6 +75,55 @@ def test_groups(spark):
     assert near_pairs(frame(spark, []), 3, 0.6).count() == 0 == near_groups(frame(spark, []), 3, 0.6).count()
 
 
+def test_crowded_bands(spark):
+    """A band that many classes share is not paired in itself, and no pair is lost."""
+    rows = texts(4)
+    got = [tuple(r) for r in near_pairs(frame(spark, rows), 3, 0.6, crowd=2).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows, 3, 0.6)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 12), min_size=1, max_size=9), min_size=2, max_size=8), st.sampled_from([0.5, 0.6, 0.8, 1.0]))
+def test_rarest_runs_lose_nothing(sets, similarity):
+    """The same rule as in the operator, over sets: what reaches the similarity shares one of the first."""
+    often = {x: sum(x in s for s in sets) for x in range(13)}
+    order = [sorted(s, key=lambda x: (often[x], x)) for s in sets]
+    first = [set(o[: len(o) - int(np.ceil(similarity * len(o) - 1e-9)) + 1]) for o in order]
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) / len(a | b) >= similarity:
+                assert first[i] & first[j]
+
+
+def test_one_band_in_very_many_classes(spark):
+    """20,000 texts of 60 common and 45 own words each: too unlike to be pairs, but all with bands in common."""
+    common = " ".join(f"सब{i}" for i in range(60))
+    own = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(44)), lambda i: F.concat(F.lit("w"), F.xxhash64("id", i).cast("string"))), " ")
+    df = spark.range(20_000).repartition(8).select(F.lit("t").alias("tbl"), F.lit(-1).cast("bigint").alias("scope"), F.col("id").alias("key"), F.concat(F.lit(common + " "), own).alias("text"))
+    df = df.unionByName(df.where("key % 4000 = 0").select("tbl", "scope", (F.col("key") + 100_000).alias("key"), F.concat("text", F.lit(" और कुछ")).alias("text"))).withColumn("bare", F.xxhash64("text"))
+    members = signed(df, 3, 0.6)
+    crowd = members.select("cls", F.explode("bands").alias("band")).groupBy("band").count().where("count > 100").join(members.select(F.explode("bands").alias("band"), "cls"), "band")
+    assert crowd.select("cls").distinct().count() > 5000
+    sets = neardup._runs_of_classes(members.select("cls"), members, df, 3)
+    assert by_rarest_runs(sets, 0.6).count() < 1000
+    assert sorted((r.key_a, r.key_b) for r in near_pairs(df, 3, 0.6).collect()) == [(k, k + 100_000) for k in range(0, 20_000, 4000)]
+
+
+def test_runs_of():
+    words = [[1, 2, 3, 1, 2, 3], [4], [5, 6], [1, 2, 3]]
+    values = np.array([x for w in words for x in w], np.uint64)
+    runs_, at = runs_of(values, np.array([len(w) for w in words]), 3)
+    assert np.diff(at).tolist() == [3, 1, 1, 1] and set(runs_[at[3] :]) <= set(runs_[: at[1]])
+
+
+def test_large_sets_by_parts(monkeypatch):
+    x = np.random.default_rng(2).integers(0, 2**63, 3000).astype(np.uint64)
+    at = np.array([0, 2000, 2000, 3000])
+    whole = superminhash(x, at, 156)
+    monkeypatch.setattr(neardup, "ELEMENTS", 100)
+    assert (superminhash(x, at, 156) == whole).all()
+
+
 def test_superminhash_estimates():
     rng = np.random.default_rng(0)
     x = rng.integers(0, 2**63, 400).astype(np.uint64)
