@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granthika.functions.text import content_id
+from granthika.operators.skew import skew_join
 from granthika.sources.tables import not_blank, strip
 
 RANGE_ROWS = 100_000
@@ -94,8 +95,10 @@ def slice_for(passages: DataFrame, n_queries: int) -> DataFrame:
 
 
 def with_text(hits: DataFrame, store: DataFrame) -> DataFrame:
-    """Hits with their passage's text; hits without one are dropped and ranks keep their gaps."""
-    return hits.join(store, "doc_id", "inner")
+    """Hits with their passage's text; hits without one are dropped and ranks keep their gaps.
+
+    ``store`` has a row per ``doc_id``; ids that many hits name are spread over salts."""
+    return skew_join(hits, store, ["doc_id"], F.struct(*[c for c in hits.columns if c != "doc_id"]))
 
 
 def index_stats(embeddings: DataFrame) -> DataFrame:

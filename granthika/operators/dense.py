@@ -1,16 +1,18 @@
 """Dense retrieval: exact, by sign bits, by int8, and in two tiers.
 
-Queries and corpus are dealt into blocks of bounded size; each pair of blocks is one task's matrix
-product, which keeps its best few rows per query, and those meet in a top-k per query. Neither side
-is broadcast, so both may grow; the work is queries times corpus, which is what exact search costs.
+Where there are few queries, at most one block of them, each task holds them and passes over its part of the
+corpus in place. Beyond that queries and corpus are dealt into blocks of bounded size, each pair of blocks is
+one task's matrix product, and both sides may grow. Either way a task keeps its best few rows per query, and those
+meet in a top-k per query; the work is queries times corpus, which is what exact search costs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,45 +44,90 @@ def _signs(x: np.ndarray) -> np.ndarray:
 FORMS: dict[str, Callable[[np.ndarray], np.ndarray]] = {"float": _unit, "int8": _int8, "bits": _signs}
 
 
+def _best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` best rows of each query, ties by the smaller id: never more than ``k`` a query."""
+    order = np.lexsort((ids, -score, query))
+    q = query[order]
+    first = np.concatenate([[0], np.flatnonzero(q[1:] != q[:-1]) + 1]) if len(q) else np.zeros(0, np.int64)
+    rank = np.arange(len(q)) - np.repeat(first, np.diff(np.concatenate([first, [len(q)]])))
+    return order[rank < k]
+
+
+def _scored(a: np.ndarray, own: np.ndarray, b: np.ndarray, ids: np.ndarray, k: int, form: str, exclude_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of queries, places of rows, and scores of what may be among the ``k`` best of these rows."""
+    outs = []
+    for at in range(0, len(own), 256):
+        s = np.round(a[at : at + 256] @ b.T, DIGITS)
+        if form == "bits":
+            s = (s - a.shape[1]) / 2
+        if exclude_self:
+            s = np.where(own[at : at + 256, None] == ids[None, :], -np.inf, s)
+        m = min(k, s.shape[1])
+        edge = -np.partition(-s, m - 1, axis=1)[:, m - 1]
+        i, j = np.nonzero((s >= edge[:, None]) & (s > -np.inf))
+        kept = _best(i, ids[j], s[i, j], k)
+        outs.append((at + i[kept], j[kept], s[i, j][kept] + 0.0))
+    return tuple(np.concatenate(x) for x in zip(*outs))
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), len(flat) // max(1, len(column)))
+
+
+def _in_place(block: pa.Table, corpus: DataFrame, k: int, form: str, exclude_self: bool) -> DataFrame:
+    """``candidates`` of a bounded block of queries, which every task gets; the corpus stays where it is."""
+    own = block.column("vec_id").to_numpy()
+    held = corpus.sparkSession.sparkContext.broadcast((own, FORMS[form](_matrix(block.column("embedding").combine_chunks()))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, a = held.value
+        q, hit, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for batch in batches:
+            if not batch.num_rows or not len(own):
+                continue
+            ids = batch.column("vec_id").to_numpy()
+            i, j, s = _scored(a, own, FORMS[form](_matrix(batch.column("embedding"))), ids, k, form, exclude_self)
+            q, hit, score = np.concatenate([q, own[i]]), np.concatenate([hit, ids[j]]), np.concatenate([score, s])
+            kept = _best(q, hit, score, k)
+            q, hit, score = q[kept], hit[kept], score[kept]
+        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(hit), pa.array(score)], names=["query_id", "hit_id", "score"])
+
+    return corpus.mapInArrow(run, HITS)
+
+
 def candidates(queries: DataFrame, corpus: DataFrame, k: int, form: str = "float", exclude_self: bool = True, query_block: int = QUERY_BLOCK, corpus_block: int = CORPUS_BLOCK) -> DataFrame:
-    """Per query and corpus block the ``k`` best: ``query_id, hit_id, score``.
+    """Per query and part of the corpus the ``k`` best: ``query_id, hit_id, score``.
 
-    Both sides have ``vec_id, embedding``. Rows with a null vector are left out. For ``bits`` the score is
-    minus the number of differing bits.
+    Both sides have ``vec_id, embedding``, all vectors of one length. Rows with a null vector are left out. For ``bits``
+    the score is minus the number of differing bits.
     """
     shape = FORMS[form]
+    pick = lambda df: df.where("embedding is not null").select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding")
+    block = pick(queries).limit(query_block + 1).toArrow()  # no more than a block is ever asked for
+    if block.num_rows <= query_block:
+        return _in_place(block, pick(corpus), k, form, exclude_self)
     nq, nc = _blocks(queries, query_block), _blocks(corpus, corpus_block)
     deal = lambda df, n: F.pmod(F.xxhash64("vec_id"), F.lit(n))
-    pick = lambda df: df.where("embedding is not null").select("vec_id", "embedding")
     q = pick(queries).withColumn("qb", deal(queries, nq)).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(nc - 1))))
     c = pick(corpus).withColumn("cb", deal(corpus, nc)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
 
     def best(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "hit_id": [], "score": []}).astype({"query_id": "int64", "hit_id": "int64", "score": "float64"})
-        a, b = shape(np.stack(left["embedding"])), shape(np.stack(right["embedding"]))
-        ids, own = right["vec_id"].to_numpy(), left["vec_id"].to_numpy()
-        outs = []
-        for at in range(0, len(own), 256):
-            s = np.round(a[at : at + 256] @ b.T, DIGITS)
-            if form == "bits":
-                s = (s - a.shape[1]) / 2
-            if exclude_self:
-                s = np.where(own[at : at + 256, None] == ids[None, :], -np.inf, s)
-            m = min(k, s.shape[1])
-            edge = -np.partition(-s, m - 1, axis=1)[:, m - 1]
-            # every row that ties with the k-th is kept; the final cut is by id
-            i, j = np.nonzero((s >= edge[:, None]) & (s > -np.inf))
-            outs.append(pd.DataFrame({"query_id": own[at + i], "hit_id": ids[j], "score": s[i, j] + 0.0}))
-        return pd.concat(outs)
+        own, ids = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
+        i, j, s = _scored(shape(np.stack(left["embedding"])), own, shape(np.stack(right["embedding"])), ids, k, form, exclude_self)
+        return pd.DataFrame({"query_id": own[i], "hit_id": ids[j], "score": s})
 
     return q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(best, HITS)
 
 
 def ranked(hits: DataFrame, k: int) -> DataFrame:
-    """``query_id, hit_id, score, rank``: the ``k`` best per query, rank from 0, ties by id."""
+    """``query_id, hit_id, score, rank``: the ``k`` best per query, rank from 0, ties by id; each task passes on no
+    more than ``k`` rows a query (Spark's limit of window groups)."""
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "hit_id")
-    return hits.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k).select("query_id", "hit_id", "score", "rank")
+    best = hits.withColumn("_no", F.row_number().over(w)).where(F.col("_no") <= k)
+    return best.select("query_id", "hit_id", "score", (F.col("_no") - 1).alias("rank"))
 
 
 def top_k(queries: DataFrame, corpus: DataFrame, k: int = 10, form: str = "float", exclude_self: bool = True) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,14 +69,14 @@ def latency_report(responses: DataFrame, cold: int = 20) -> DataFrame:
     """``bucket, stage, n, p50, p70, p100`` by linear interpolation, with the rows ``core`` and ``total``.
 
     ``core`` sums embedding, search and fetch, and leaves out requests where that is 0. Stages without
-    a sample have no row.
+    a sample have no row. Percentiles are exact and no task sees more than a range of a stage's times.
     """
     b = bucketed(responses.select("query_id", "timings_ms", "total_ms"), cold)
     t = b.select("bucket", "query_id", F.explode("timings_ms").alias("stage", "ms")).where("ms is not null")
     core = t.where(F.col("stage").isin(*CORE)).groupBy("bucket", "query_id").agg(F.sum("ms").alias("ms")).where("ms > 0").select("bucket", F.lit("core").alias("stage"), "ms")
     total = b.where("total_ms is not null").select("bucket", F.lit("total").alias("stage"), F.col("total_ms").alias("ms"))
-    p = lambda x: F.round(F.percentile("ms", x), 4)
-    return t.select("bucket", "stage", "ms").unionByName(core).unionByName(total).groupBy("bucket", "stage").agg(F.count(F.lit(1)).alias("n"), p(0.5).alias("p50"), p(0.7).alias("p70"), p(1.0).alias("p100"))
+    p = percentiles(t.select("bucket", "stage", "ms").unionByName(core).unionByName(total), ["bucket", "stage"], "ms")
+    return p.select("bucket", "stage", "n", *[F.round(c, 4).alias(c) for c in ("p50", "p70", "p100")])
 
 
 def floor_rank(values: Column, percent: float) -> Column:
@@ -97,29 +99,54 @@ def ranged(df: DataFrame, *order: str) -> DataFrame:
     return cut(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
 
 
-def before_ranges(df: DataFrame, key: str, n: Column) -> DataFrame:
-    """``_key, _range, _before, _all``: of each key and range of ``ranged`` rows the sum of ``n`` in the key's
+def before_ranges(df: DataFrame, keys: list[str], n: Column) -> DataFrame:
+    """``_key0.., _range, _before, _all``: of each key and range of ``ranged`` rows the sum of ``n`` in the key's
     ranges before, and in all of them. A key has no more rows here than there are ranges."""
-    w = Window.partitionBy("_key")
-    per = df.groupBy(F.col(key).alias("_key"), "_range").agg(n.alias("_n"))
+    named = [F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]
+    w = Window.partitionBy(*[f"_key{i}" for i in range(len(keys))])
+    per = df.groupBy(*named, "_range").agg(n.alias("_n"))
     before = F.coalesce(F.sum("_n").over(w.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return per.select("_key", "_range", before.alias("_before"), F.sum("_n").over(w).alias("_all"))
+    return per.select(*[f"_key{i}" for i in range(len(keys))], "_range", before.alias("_before"), F.sum("_n").over(w).alias("_all"))
 
 
-def floor_ranks(df: DataFrame, key: str, value: str, percents: tuple[int, ...] = (50, 70, 100)) -> DataFrame:
-    """``key, n, p50, p70, p100``: exact floor-rank percentiles of ``value`` per ``key``, however many rows a key has.
+def _with_bases(rows: DataFrame, keys: list[str], bases: DataFrame) -> DataFrame:
+    """``rows`` with what lies before their range, and in all; null keys are keys like others."""
+    on = F.col("_r") == F.col("_range")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    return rows.withColumnRenamed("_range", "_r").join(bases, on)
+
 
-    Equal values are counted before the shuffle; the counts lie in ranges of ``key, value``, whose sums
+def at_ranks(df: DataFrame, keys: list[str], value: str, picks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """``keys, n`` and for each of ``picks`` the value at a rank (from 1), which it makes from ``n``; exact, however many
+    rows a key has. Null values are left out.
+
+    Equal values are counted before the shuffle; the counts lie in ranges of ``keys, value``, whose sums
     place every value's ranks, so no task sees more than one range.
     """
-    counts = ranged(df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("n")), key, value)
-    bases = before_ranges(counts, key, F.sum("n"))
-    upto = F.sum("n").over(Window.partitionBy("_range", key).orderBy(value))
-    at = counts.withColumn("_upto", upto).withColumnRenamed("_range", "_r")
-    at = at.join(bases, (F.col(key).eqNullSafe(F.col("_key"))) & (F.col("_r") == F.col("_range")))
+    counts = ranged(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n")), *keys, value)
+    upto = F.sum("n").over(Window.partitionBy("_range", *keys).orderBy(value))
+    at = _with_bases(counts.withColumn("_upto", upto), keys, before_ranges(counts, keys, F.sum("n")))
     last = F.col("_before") + F.col("_upto")
-    holds = lambda p: (F.least(F.col("_all"), F.floor(p / 100 * F.col("_all")) + 1) > last - F.col("n")) & (F.least(F.col("_all"), F.floor(p / 100 * F.col("_all")) + 1) <= last)
-    return at.groupBy(key).agg(F.max("_all").cast("int").alias("n"), *[F.max(F.when(holds(p), F.col(value))).alias(f"p{p}") for p in percents])
+    holds = lambda rank: (rank > last - F.col("n")) & (rank <= last)
+    return at.groupBy(*keys).agg(F.max("_all").alias("_all"), *[F.max(F.when(holds(f(F.col("_all"))), F.col(value))).alias(name) for name, f in picks.items()]).withColumnRenamed("_all", "n")
+
+
+def floor_ranks(df: DataFrame, key: str, value: str, percents: tuple[int, ...] = (50, 70, 100)) -> DataFrame:
+    """``key, n, p50, p70, p100``: exact floor-rank percentiles of ``value`` per ``key``."""
+    rank = lambda p: lambda n: F.least(n, F.floor(p / 100 * n) + 1)
+    return at_ranks(df, [key], value, {f"p{p}": rank(p) for p in percents}).withColumn("n", F.col("n").cast("int"))
+
+
+def percentiles(df: DataFrame, keys: list[str], value: str, percents: tuple[int, ...] = (50, 70, 100)) -> DataFrame:
+    """``keys, n, p50, p70, p100``: exact percentiles with linear interpolation between the two neighbouring ranks."""
+    place = lambda p, n: (n - 1) * F.lit(p / 100)
+    low = lambda p: lambda n: F.floor(place(p, n)) + 1
+    high = lambda p: lambda n: F.least(n, F.floor(place(p, n)) + 2)
+    picks = {f"_{side}{p}": f(p) for p in percents for side, f in (("low", low), ("high", high))}
+    found = at_ranks(df, keys, value, picks)
+    between = lambda p: F.col(f"_low{p}") + (F.col(f"_high{p}") - F.col(f"_low{p}")) * (place(p, F.col("n")) - F.floor(place(p, F.col("n"))))
+    return found.select(*keys, "n", *[between(p).alias(f"p{p}") for p in percents])
 
 
 #: rows of one key that one task takes at a time, besides the rows carried over
@@ -134,8 +161,8 @@ def rolling(hits: DataFrame, key: str, order: list[str], value: str, frame: int
     """
     block = max(block, frame)
     rows = ranged(hits.where(F.col(value).isNotNull()).select(key, *order, value), key, *order)
-    numbered = rows.withColumn("_local", F.row_number().over(Window.partitionBy("_range", key).orderBy(*order)) - 1).withColumnRenamed("_range", "_r")
-    numbered = numbered.join(before_ranges(rows, key, F.count(F.lit(1))), (F.col(key).eqNullSafe(F.col("_key"))) & (F.col("_r") == F.col("_range")))
+    local = rows.withColumn("_local", F.row_number().over(Window.partitionBy("_range", key).orderBy(*order)) - 1)
+    numbered = _with_bases(local, [key], before_ranges(rows, [key], F.count(F.lit(1))))
     at = F.col("_before") + F.col("_local")
     own = F.floor(at / block)
     carried = F.when((F.pmod(at, F.lit(block)) > block - frame) & ((own + 1) * block < F.col("_all")), F.array(own, own + 1)).otherwise(F.array(own))

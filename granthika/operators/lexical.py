@@ -2,28 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granthika.functions.text import tokens
+from granthika.operators.skew import skew_join
 from granthika.session import cut
 
 K1, B, RRF_K = 1.5, 0.75, 60
-SALTS = 16
+#: query terms (a query and a term each) up to which they are broadcast, some 40 bytes each
+WEIGHTS = 200_000
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """``term, doc_id, tf, dl`` of ``docs`` (``doc_id, text``); no stop words, no stemming.
+def counted(docs: DataFrame) -> DataFrame:
+    """``doc_id, dl, terms``: of each document its tokens counted where they lie, as an array of ``term, tf``."""
 
-    Counted per document before any shuffle of terms: a document's terms are grouped in place.
-    """
-    t = docs.select("doc_id", tokens(F.col("text")).alias("_t"))
-    return t.select("doc_id", F.size("_t").alias("dl"), F.explode("_t").alias("term")).groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    def runs(t: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(t)), lambda i: (i == 1) | (F.element_at(t, i) != F.element_at(t, F.greatest(i - 1, F.lit(1)))))
+        one = lambda s: F.transform(s, lambda x, k: F.struct(F.element_at(t, x).alias("term"), (F.coalesce(F.get(s, k + 1), F.size(t) + 1) - x).cast("bigint").alias("tf")))
+        return F.transform(F.array(starts), one)[0]
 
+    sorted_ = F.array_sort(tokens(F.col("text")))
+    none = F.array().cast("array<struct<term:string,tf:bigint>>")
+    terms = F.transform(F.array(sorted_), lambda t: F.struct(F.size(t).alias("dl"), F.when(F.size(t) > 0, runs(t)).otherwise(none).alias("terms")))[0]
+    return docs.select("doc_id", terms.alias("_d")).select("doc_id", "_d.dl", "_d.terms")
 
-def corpus_stats(docs: DataFrame) -> DataFrame:
-    """One row: ``n_docs, avgdl``."""
-    return docs.select(F.size(tokens(F.col("text"))).alias("dl")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+
+def postings(docs: DataFrame) -> DataFrame:
+    """``term, doc_id, tf, dl`` of ``docs`` (``doc_id, text``; one row a document); no stop words, no stemming, no shuffle."""
+    return counted(docs).select("doc_id", "dl", F.explode("terms").alias("_p")).select("_p.term", "doc_id", "_p.tf", "dl")
 
 
 def term_stats(post: DataFrame) -> DataFrame:
@@ -31,29 +38,35 @@ def term_stats(post: DataFrame) -> DataFrame:
     return post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, k1: float = K1, b: float = B) -> DataFrame:
+def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, k1: float = K1, b: float = B, most_weights: int = WEIGHTS) -> DataFrame:
     """``query_id, doc_id, score, rank``: BM25 (Lucene's form), the ``k`` best per query.
 
-    ``queries`` has ``query_id, text``, ``docs`` ``doc_id, text``. A query term counts once per occurrence; a
-    query without tokens has no hit, nor has a document without a common term. Scores are compared
-    to nine decimals, ties by id. Postings of a frequent term are spread over salts, with the few
-    query rows repeated for each, so no term is one task's.
+    ``queries`` has ``query_id, text``, ``docs`` ``doc_id, text`` with one row a document. A query term counts once per
+    occurrence; a query without tokens has no hit, nor has a document without a common term. Scores are
+    compared to nine decimals, ties by id.
+
+    The texts are read once: postings of terms that no query has are dropped at once, and an empty term
+    counts the documents and their lengths. Up to ``most_weights`` query terms are broadcast, so that a
+    document is scored where its postings lie and each task passes on its ``k`` best; beyond that the postings
+    meet the terms in a shuffle, frequent terms over salts.
     """
-    post = postings(docs)
-    stats = corpus_stats(docs)
-    whole = stats.select(F.struct("n_docs", "avgdl").alias("whole")).scalar()
-    n_docs, avgdl = whole["n_docs"], whole["avgdl"]
-    q = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
-    # only terms that some query has
-    wanted = q.select("term").distinct()
-    used = cut(post.join(wanted, "term", "left_semi"))
-    salted = used.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = q.join(term_stats(used), "term").select("query_id", "term", (F.col("qf") * idf).alias("w"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    part = F.col("w") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
-    scored = weighted.join(salted, ["term", "_salt"]).groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 9).alias("score"))
+    q = cut(queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qf")))
+    few = q.limit(most_weights + 1).count() <= most_weights
+    wanted = q.select("term").distinct().unionByName(q.sparkSession.createDataFrame([("",)], "term string"))
+    whole = F.array(F.struct(F.lit("").alias("term"), F.col("dl").cast("bigint").alias("tf")))
+    each = counted(docs).select("doc_id", "dl", F.explode(F.concat("terms", whole)).alias("_p")).select("_p.term", "doc_id", "_p.tf", "dl")
+    # a document's postings stay together, so that its scores need no shuffle
+    used = cut(each.join(F.broadcast(wanted) if few else wanted, "term", "left_semi").repartition("doc_id"))
+    stats = used.where("term = ''").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("tf").alias("avgdl")).select(F.struct("n_docs", "avgdl").alias("whole")).scalar()
+    post = used.where("term <> ''").repartition("doc_id")
+    idf = F.log(1 + (stats["n_docs"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = q.join(term_stats(used.where("term <> ''")), "term").select("query_id", "term", (F.col("qf") * idf).alias("w"))
+    met = post.join(F.broadcast(weights), "term") if few else skew_join(post, weights, ["term"], F.col("doc_id"))
+    part = F.col("w") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / stats["avgdl"]))
+    scored = met.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 9).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return scored.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k).select("query_id", "doc_id", "score", "rank")
+    best = scored.withColumn("_no", F.row_number().over(w)).where(F.col("_no") <= k)
+    return best.select("query_id", "doc_id", "score", (F.col("_no") - 1).alias("rank"))
 
 
 def fuse(lists: list[DataFrame], k: int = 10, rrf_k: int = RRF_K) -> DataFrame:

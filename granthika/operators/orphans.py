@@ -1,8 +1,8 @@
 """References without a record at their time (problem 5), by bitmaps over dictionary-encoded keys.
 
 Keys become integers: a hash bucket and the rank within it, so that the codes of a bucket are dense.
-Bitmaps are kept per table, period and range of 64 codes, one 64-bit word each; ranges without a
-reference take no row, which is their compression. A parent's bitmap has the keys that exist during
+Bitmaps are kept per table, period and range of 16,384 codes; a range is one value, which holds those of its
+64-bit words that have a bit set and no others. A parent's bitmap has the keys that exist during
 the whole of a period. Reference AND NOT parent leaves the keys that may fail in that period; their
 bits are decoded, and only the references to these keys are compared with the parents' exact times.
 """
@@ -12,12 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granthika.operators.skew import hot_keys, salt
+from granthika.operators.skew import LEAST, MOST, hot_keys
 from granthika.session import cut
 
 DROPPED = r"[\s\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\p{P}]+"
-BUCKETS = 4096
-SALTS = 32
+#: keys in a bucket of the dictionary, about
+PER_BUCKET = 20_000
+#: 64-bit words in a range
+WORDS = 256
 
 
 def bare_id(c: Column) -> Column:
@@ -25,7 +27,7 @@ def bare_id(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), DROPPED, "")
 
 
-def dictionary(keys: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+def dictionary(keys: DataFrame, buckets: int) -> DataFrame:
     """``key, code`` for the distinct non-null ``key`` values; the same keys always get the same codes.
 
     ``code`` is ``bucket * 2**32 + rank``: no driver-side counter, and no task holds more than one
@@ -37,25 +39,31 @@ def dictionary(keys: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 
 
 def bitmap(codes: DataFrame, *by: str) -> DataFrame:
-    """The bitmap of ``code`` per ``by``: ``by..., range, bits``, one 64-bit word per range in use.
+    """The bitmap of ``code`` per ``by``: ``by..., range, words``, the words in use of each range by their place.
 
-    The aggregate is a bitwise OR, combined before the shuffle, so a hot key costs one word a task.
+    Words are made by a bitwise OR, combined before the shuffle, so a hot key costs one word a task; a
+    range has at most ``WORDS`` of them.
     """
-    return codes.groupBy(*by, F.expr("shiftright(code, 6)").alias("range")).agg(F.expr("bit_or(shiftleft(1L, cast(code & 63 as int)))").alias("bits"))
+    words = codes.groupBy(*by, F.expr("shiftright(code, 6)").alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(code & 63 as int)))").alias("_bits"))
+    entry = F.struct(F.pmod("_word", F.lit(WORDS)).cast("smallint").alias("at"), F.col("_bits").alias("bits"))
+    return words.groupBy(*by, F.floor(F.col("_word") / WORDS).alias("range")).agg(F.map_from_entries(F.collect_list(entry)).alias("words"))
 
 
 def and_not(left: DataFrame, right: DataFrame, *by: str) -> DataFrame:
-    """The bits of ``left`` that ``right`` has not, per ``by`` and range; empty words fall away."""
-    r = right.withColumnRenamed("bits", "_other")
-    return left.join(r, [*by, "range"], "left").select(*left.columns[:-1], F.expr("bits & ~coalesce(_other, 0L)").alias("bits")).where("bits <> 0")
+    """The bits of ``left`` that ``right`` has not, per ``by`` and range; words and ranges without any fall away."""
+    r = right.withColumnRenamed("words", "_other")
+    without = F.expr("map_filter(transform_values(words, (at, bits) -> bits & ~coalesce(_other[at], 0L)), (at, bits) -> bits <> 0)")
+    return left.join(r, [*by, "range"], "left").select(*left.columns[:-1], without.alias("words")).where(F.size("words") > 0)
 
 
-def decode(words: DataFrame, *keep: str) -> DataFrame:
+def decode(ranges: DataFrame, *keep: str) -> DataFrame:
     """``keep..., code`` for every bit set."""
-    return words.select(*keep, "range", F.explode(F.expr("filter(sequence(0, 63), b -> (shiftrightunsigned(bits, b) & 1) = 1)")).alias("_bit")).select(*keep, F.expr("shiftleft(range, 6) | _bit").alias("code"))
+    words = ranges.select(*keep, "range", F.explode("words").alias("_at", "_bits"))
+    bits = words.select(*keep, (F.col("range") * WORDS + F.col("_at")).alias("_word"), F.explode(F.expr("filter(sequence(0, 63), b -> (shiftrightunsigned(_bits, b) & 1) = 1)")).alias("_bit"))
+    return bits.select(*keep, F.expr("shiftleft(_word, 6) | _bit").alias("code"))
 
 
-def orphans(references: DataFrame, parents: DataFrame, buckets: int = BUCKETS, most_hot: int = 1000, least_hot: int = 10_000) -> DataFrame:
+def orphans(references: DataFrame, parents: DataFrame, buckets: int | None = None, most_hot: int = MOST, least_hot: int = LEAST) -> DataFrame:
     """Failing references: ``tbl, period, rec_id, doc_id, reason``, each once.
 
     ``references`` has ``tbl, rec_id, doc_id, at``, ``parents`` ``doc_id, stored_at, deleted_at``; ids are
@@ -69,7 +77,7 @@ def orphans(references: DataFrame, parents: DataFrame, buckets: int = BUCKETS, m
     own = parents.select(bare_id(F.col("doc_id")).alias("key"), "stored_at", "deleted_at").where("key <> ''")
     used = cut(refs.groupBy("tbl", "period", "key").agg(F.count(F.lit(1)).alias("n")))
     # keys that no record refers to need no code
-    codes = cut(dictionary(used.select("key"), buckets))
+    codes = cut(dictionary(used.select("key"), buckets or 1 + used.count() // PER_BUCKET))
     coded = used.join(codes, "key")
     # the months through which a parent exists as a whole, between the first and the last with a reference
     month = lambda which: F.to_date(F.concat(used.agg(which("period").alias("p")).scalar(), F.lit("-01")))
@@ -86,21 +94,18 @@ def orphans(references: DataFrame, parents: DataFrame, buckets: int = BUCKETS, m
     suspects = left.join(coded, ["tbl", "period", "code"]).select("tbl", "period", "key", "n")
     times = own.groupBy("key").agg(F.collect_set(F.struct("stored_at", "deleted_at")).alias("lives"))
     suspects = cut(suspects.join(times, "key", "left"))
-    # references to hot suspect keys meet their parents' times by broadcast, the rest by a shuffle
-    hot = hot_keys(suspects.select("tbl", "period", "key", "n"), most=most_hot, least=least_hot).select("tbl", "period", "key")
+    # references to hot keys, failing or not, meet their few suspects by broadcast and are shuffled nowhere
     on = ["tbl", "period", "key"]
-    hot_side = suspects.join(F.broadcast(hot), on, "left_semi").drop("n")
-    rest_side = suspects.join(F.broadcast(hot), on, "left_anti").drop("n")
-    met = refs.join(F.broadcast(hot_side), on).unionByName(refs.join(rest_side, on))
+    hot = F.broadcast(hot_keys(used, most=most_hot, least=least_hot).select(*on))
+    hot_side, rest_side = (suspects.join(hot, on, how).drop("n") for how in ("left_semi", "left_anti"))
+    met = refs.join(F.broadcast(hot_side), on).unionByName(refs.join(hot, on, "left_anti").join(rest_side, on))
     gone = F.expr("not exists(lives, x -> (x.stored_at is null or x.stored_at <= at) and (x.deleted_at is null or x.deleted_at > at))")
     late = F.expr("forall(lives, x -> x.stored_at > at)")
     return (
         met.where(F.col("lives").isNull() | gone)
         .withColumn("reason", F.when(F.col("lives").isNull(), "missing").when(late, "late").otherwise("deleted"))
         .select("tbl", "period", "rec_id", F.col("key").alias("doc_id"), "reason")
-        .groupBy("tbl", "period", "rec_id", "doc_id", "reason", salt(F.col("rec_id"), SALTS).alias("_salt"))
-        .agg(F.lit(1).alias("_one"))
-        .drop("_salt", "_one")
+        .distinct()
     )
 
 

@@ -83,8 +83,8 @@ def rolling_history(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def event_percentiles(spark: SparkSession, sf: str) -> DataFrame:
-    p = lambda x: F.round(F.percentile("value", x), 6)
-    return table(spark, sf, "events").where("value is not null").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), p(0.5).alias("p50"), p(0.7).alias("p70"), p(1.0).alias("p100"))
+    p = evaluation.percentiles(table(spark, sf, "events"), ["event_type"], "value")
+    return p.select("event_type", "n", *[F.round(c, 6).alias(c) for c in ("p50", "p70", "p100")])
 
 
 def score_separation(spark: SparkSession, sf: str) -> DataFrame:
