@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from granthika.llm.lines import bare
-from granthika.operators.skew import hot_keys, salt
+from granthika.operators.skew import LEAST, MOST, hot_keys, salt
 from granthika.session import cut
 
 SALTS = 64
@@ -47,13 +47,14 @@ def _groups(records: DataFrame, counts: DataFrame, hot: DataFrame) -> tuple[Data
     return two, one
 
 
-def collapse(records: DataFrame, most_hot: int = 1000, least_hot: int = 10_000) -> DataFrame:
+def collapse(records: DataFrame, most_hot: int = MOST, least_hot: int = LEAST) -> DataFrame:
     """One row per distinct record: ``tbl, keep_key, copies``.
 
     ``records`` has ``tbl, key, rec``; further columns are ignored. The representative is the record
     with the smallest ``rec``. Rows whose key is null are left out; a record listed twice counts
     twice. Hot keys, which are found exactly by partial counts merged in a shuffle, are aggregated in
-    two levels over a salt, all others in one.
+    two levels over a salt, all others in one; of these none holds more than one in ``most_hot`` of the
+    rows, and all are combined before the shuffle, so that a task gets one row a key from each other.
     """
     records = cut(records.where(F.col("key").isNotNull()).select("tbl", "key", "rec"))
     counts = records.groupBy("tbl", "key").agg(F.count(F.lit(1)).alias("n"))
@@ -61,7 +62,7 @@ def collapse(records: DataFrame, most_hot: int = 1000, least_hot: int = 10_000)
     return two.unionByName(one).select("tbl", "keep_key", "copies")
 
 
-def copies(records: DataFrame, most_hot: int = 1000, least_hot: int = 10_000) -> DataFrame:
+def copies(records: DataFrame, most_hot: int = MOST, least_hot: int = LEAST) -> DataFrame:
     """Every record that repeats another: ``tbl, keep_key, dup_key``, keep_key < dup_key.
 
     Same input and cases as ``collapse``. The records of hot keys meet their representative through
