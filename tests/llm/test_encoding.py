@@ -40,6 +40,44 @@ def test_twice_and_in_part():
     assert repair("a &amp; b &#2325;")[1] == "a & b क"
 
 
+def test_five_times():
+    for codecs in (["cp1252"] * 5, ["latin-1"] * 6, ["cp1252", "latin-1", "cp1252", "mac_roman", "cp1252"]):
+        t = HINDI
+        for c in codecs:
+            t = garble(t, c)
+        assert repair(t)[1] == HINDI
+
+
+def test_parts_in_different_encodings():
+    parts = [HINDI, URDU, ENGLISH, HINDI[::-1]]
+    t = " ".join(garble(p, c) for p, c in zip(parts, ["cp1252", "cp1251", "mac_roman", "cp437"]))
+    assert repair(t + " " + HINDI)[1] == " ".join([*parts, HINDI])
+
+
+@pytest.mark.parametrize("read,written,text", [("cp1252", "cp1251", "Привет, Москва"), ("latin-1", "cp1251", "Документ получен вчера"), ("cp1252", "cp1253", "Καλημέρα")])
+def test_single_byte_against_single_byte(read, written, text):
+    assert repair("see " + text.encode(written).decode(read))[:2] == (True, "see " + text)
+
+
+def test_escapes_and_east_asian():
+    from urllib.parse import quote
+
+    assert repair("x " + quote("हिन्दी"))[:2] == (True, "x हिन्दी")
+    assert repair("x \\u0939\\u093f 100% \\xe0\\xa4\\x95")[:2] == (True, "x हि 100% क")
+    assert repair("&amp;amp; caf&amp;eacute;")[1] == "& café"
+    assert repair("देश".encode().decode("gbk", "replace"))[0]
+    assert repair("a%20b 50%50% C:\\users\\x42")[0] is False and repair("日本語の文章です")[0] is False
+
+
+def test_very_long_garbled_text():
+    t = " ".join(garble(garble(f"{HINDI} {i}", "cp1252"), "mac_roman") for i in range(2000))
+    assert repair(t)[1] == " ".join(f"{HINDI} {i}" for i in range(2000))
+
+
+def test_a_single_quotation_mark():
+    assert repair("he said вЂњyes")[:2] == (True, "he said “yes")
+
+
 def test_lost_characters():
     g, fixed, _, _, lost = repair("The cafÃ� and à¤�à¤® x")
     assert g and lost >= 1
