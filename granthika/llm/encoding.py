@@ -77,8 +77,10 @@ ACCENTED = re.compile("[\u00aa\u00b5\u00ba\u00c0-\u00ff\u0152\u0153\u0160\u0161\
 UNWORDLY = re.compile("[\u0430-\u045f\u03ac-\u03ce][\u0400-\u042f\u0386-\u03ab]|(?i:[бвгджзйклмнпрстфхцчшщ]{5}|[βγδζθκλμνξπρστφχψ]{5})")
 #: what steps work on: anything but ASCII, references, escapes
 RUN = re.compile(r"(?:[^\x00-\x7f]+|&(?:amp;)*#?[A-Za-z0-9]{2,31};|(?:%[0-9A-Fa-f]{2}){2,}|(?:\\[xu][0-9A-Fa-f]{2,4})+)+")
-#: what makes one of two alphabets less likely where both would do: consonants in a row, words of consonants only
-ROUGH = re.compile("(?i:[бвгджзйклмнпрстфхцчшщ]{3}|[βγδζθκλμνξπρστφχψ]{3}|[\u0590-\u05ff\u0600-\u06ff]+)")
+#: small letters of an alphabet are words as long as there is nothing else
+SMALL = re.compile("[А-Я]?[а-я]+$")
+#: vowels, of which the likelier of two alphabets has more
+VOWELS = re.compile("(?i:[аеёиоуыэюяєії]|[αεηιουωάέήίόύώ])")
 EASTERN = re.compile("[\u3000-\u9fff\uac00-\ud7a3\uf900-\ufaff\uff00-\uffef]{2,}")
 REFERENCE = re.compile(r"&(?:#\d{2,7}|#[xX][0-9a-fA-F]{2,6}|[A-Za-z]{2,31}\d{0,2});")
 
@@ -116,7 +118,7 @@ CONTROL = re.compile("[\x80-\x84\x86-\x9f]")
 def cost(text: str) -> float:
     """Implausible characters of a text: each control character and lost character, and each sign
     that stands in a sequence which would be a character's bytes."""
-    total = sum(len(m) for m in PAIR.findall(text)) + 2.0 * len(CONTROL.findall(text)) + 2.0 * len(MIXED.findall(text)) + LOST * text.count("\ufffd") + 2.0 * len(REFERENCE.findall(text))
+    total = sum(len(m) for m in PAIR.findall(text) if not SMALL.match(m)) + 2.0 * len(CONTROL.findall(text)) + 2.0 * len(MIXED.findall(text)) + LOST * text.count("\ufffd") + 2.0 * len(REFERENCE.findall(text))
     total += sum(len(m) for m in ACCENTED.findall(text)) + 2.0 * len(UNWORDLY.findall(text))
     if "%" in text or "\\" in text:
         total += sum(2.0 * len(m) for e in (PERCENT, BACKSLASH) for m in e.findall(text) if _unescaped(m) != m)
@@ -253,7 +255,7 @@ def _search(counts: Counter[str]) -> dict[str, tuple[float, str, tuple[str, ...]
     won: Counter[tuple[str, ...]] = Counter({(): 0})
     for r, (c, ways) in best.items():
         for new, path in ways:
-            won[path] += (start[r] - c - len(ROUGH.findall(new))) * counts[r]
+            won[path] += (start[r] - c + len(VOWELS.findall(new))) * counts[r]
     order = lambda path: [ORDER[x] if x in ORDER else len(ORDER) + WRITTEN.index(x.split("/")[1]) if "/" in x else 99 for x in path]
     out = {r: (c, *min(ways, key=lambda w: (len(w[0]), -won[w[1]], len(w[1]), order(w[1])))) for r, (c, ways) in best.items()}
     # short runs may look right too early: the way of most of the text is followed where it leaves nothing worse
