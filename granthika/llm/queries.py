@@ -22,11 +22,11 @@ WIDTH, SIMILARITY = 3, 0.6
 
 
 def p1_sentences(spark: SparkSession, sf: str) -> DataFrame:
-    return sentences(passages(table(spark, sf, "source_rows")), "text", "pkey", "lang")
+    return sentences(passages(table(spark, sf, "source_rows")), "text", "pkey", "lang", lang="lang")
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    return sentences(passages(table(spark, sf, "source_rows")), "text", "pkey").select("pkey", F.col("start_char").cast("bigint").alias("start_char"))
+    return sentences(passages(table(spark, sf, "source_rows")), "text", "pkey", lang="lang").select("pkey", F.col("start_char").cast("bigint").alias("start_char"))
 
 
 def _near_texts(spark: SparkSession, sf: str) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import regex
@@ -18,46 +19,84 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-# ---- fixed values: short forms whose full stop does not end a sentence -------------------------
-# titles, "number", "rupees"
-SHORT = """
-डॉ डा प्रो कै सं रु श्रीम पं स्व मो ले मेज
-ডা ডঃ প্রো কৈ সং রু
-டா ப்ரோ கை ஸம் ரு
-ડૉ ડા પ્રો કૈ સં રુ
-ਡਾ ਡਾਂ ਪ੍ਰੋ ਕੈ ਸਂ ਸੰ ਰੁ
-ಡಾ ಪ್ರೋ ಕೈ ಸಂ ರು
-ଡା ଡଃ ପ୍ରୋ କୈ ସଂ ରୁ
-ڈا پرو کے سں ر
-""".split()
-# units of several parts; the parts may stand apart
-UNITS = """
-कि.मी से.मी मि.ग्रा मि.मी मि.ली कि.ग्रा
-কি.মী সে.মী মি.গ্রা কি.মি সে.মি
-கி.மீ ஸே.மீ மி.க்ரா
-કિ.મી સે.મી મિ.ગ્રા
-ਕਿ.ਮੀ ਸੇ.ਮੀ ਮਿ.ਗ੍ਰਾ
-ಕಿ.ಮೀ ಸೇ.ಮೀ ಮಿ.ಗ್ರಾ
-କି.ମୀ ସେ.ମୀ ମି.ଗ୍ରା
-ک.می سے.می م.گرا
-""".split()
-# names of Latin letters, as initials are written in other scripts
-INITIALS = """
-ए बी सी डी ई एफ जी एच आई जे के एल एम एन ओ पी क्यू आर एस टी यू वी डब्ल्यू एक्स वाई ज़ेड
-এ বি বী সি ডি ই এফ জি এইচ আই জে কে এল এম এন ও পি কিউ আর এস টি ইউ ভি
-ஏ பீ ஸீ டீ ஈ ஜீ ஜே கே ஏல ஏம ஏந ஓ பி ஆர ஏஸ வீ எம் ஆர்
-એ બી સી ડી ઈ એફ જી એચ આઈ જે કે એલ એમ એન ઓ પી આર એસ ટી યુ વી
-ਏ ਬੀ ਸੀ ਡੀ ਈ ਜੀ ਜੇ ਕੇ ਏਲ ਏਮ ਏਨ ਓ ਪੀ ਆਰ ਏਸ ਟੀ ਯੂ ਵੀ
-ಏ ಬೀ ಸೀ ಡೀ ಈ ಜೀ ಜೇ ಕೇ ಏಲ ಏಮ ಏನ ಓ ಪೀ ಆರ ಏಸ ಟೀ ಯೂ ವೀ
-ଏ ବୀ ସୀ ଡୀ ଈ ଜୀ ଜେ କେ ଏଲ ଏମ ଏନ ଓ ପୀ ଆର ଏସ ଟୀ ଯୂ ଵୀ
-اے بی سی ڈی ای جی جے کے اےل اےم اےن او پی آر اےس ٹی یو وی
-""".split()
+# ---- fixed values: short forms whose full stop does not end a sentence, by language -------------
+#: languages written in one script share their forms
+SAME = {"mr": "hi", "ne": "hi", "sa": "hi"}
+#: titles, "number", "rupees"
+SHORT = {
+    "hi": "डॉ डा प्रो कै सं रु श्रीम पं स्व मो ले मेज",
+    "bn": "ডা ডঃ প্রো কৈ সং রু",
+    "ta": "டா ப்ரோ கை ஸம் ரு",
+    "gu": "ડૉ ડા પ્રો કૈ સં રુ",
+    "pa": "ਡਾ ਡਾਂ ਪ੍ਰੋ ਕੈ ਸਂ ਸੰ ਰੁ",
+    "kn": "ಡಾ ಪ್ರೋ ಕೈ ಸಂ ರು",
+    "or": "ଡା ଡଃ ପ୍ରୋ କୈ ସଂ ରୁ",
+    "ur": "ڈا پرو کے سں ر",
+}
+#: units of several parts; the parts may stand apart
+UNITS = {
+    "hi": "कि.मी से.मी मि.ग्रा मि.मी मि.ली कि.ग्रा",
+    "bn": "কি.মী সে.মী মি.গ্রা কি.মি সে.মি",
+    "ta": "கி.மீ ஸே.மீ மி.க்ரா",
+    "gu": "કિ.મી સે.મી મિ.ગ્રા",
+    "pa": "ਕਿ.ਮੀ ਸੇ.ਮੀ ਮਿ.ਗ੍ਰਾ",
+    "kn": "ಕಿ.ಮೀ ಸೇ.ಮೀ ಮಿ.ಗ್ರಾ",
+    "or": "କି.ମୀ ସେ.ମୀ ମି.ଗ୍ରା",
+    "ur": "ک.می سے.می م.گرا",
+}
+#: names of Latin letters, as initials are written in other scripts
+INITIALS = {
+    "hi": "ए बी सी डी ई एफ जी एच आई जे के एल एम एन ओ पी क्यू आर एस टी यू वी डब्ल्यू एक्स वाई ज़ेड",
+    "bn": "এ বি বী সি ডি ই এফ জি এইচ আই জে কে এল এম এন ও পি কিউ আর এস টি ইউ ভি",
+    "ta": "ஏ பீ ஸீ டீ ஈ ஜீ ஜே கே ஏல ஏம ஏந ஓ பி ஆர ஏஸ வீ எம் ஆர்",
+    "gu": "એ બી સી ડી ઈ એફ જી એચ આઈ જે કે એલ એમ એન ઓ પી આર એસ ટી યુ વી",
+    "pa": "ਏ ਬੀ ਸੀ ਡੀ ਈ ਜੀ ਜੇ ਕੇ ਏਲ ਏਮ ਏਨ ਓ ਪੀ ਆਰ ਏਸ ਟੀ ਯੂ ਵੀ",
+    "kn": "ಏ ಬೀ ಸೀ ಡೀ ಈ ಜೀ ಜೇ ಕೇ ಏಲ ಏಮ ಏನ ಓ ಪೀ ಆರ ಏಸ ಟೀ ಯೂ ವೀ",
+    "or": "ଏ ବୀ ସୀ ଡୀ ଈ ଜୀ ଜେ କେ ଏଲ ଏମ ଏନ ଓ ପୀ ଆର ଏସ ଟୀ ଯୂ ଵୀ",
+    "ur": "اے بی سی ڈی ای جی جے کے اےل اےم اےن او پی آر اےس ٹی یو وی",
+}
+#: names of letters that are also words a sentence may end with: honorifics, verbs, nouns
+ALSO_WORDS = {
+    "hi": "जी आई पी ई ओ",
+    "mr": "जी आई पी ई ओ टी",
+    "bn": "জি ই ও আই",
+    "ta": "ஜீ ஈ ஓ",
+    "gu": "જી આઈ પી ઈ ઓ",
+    "pa": "ਜੀ ਪੀ ਈ ਓ ਸੀ",
+    "kn": "ಜೀ ಈ ಓ",
+    "or": "ଜୀ ଈ ଓ ପୀ",
+    "ur": "جی ای او پی",
+}
+#: titles without a full stop, which stand before a name
+TITLES = {
+    "hi": "श्री सुश्री श्रीमती कुमारी",
+    "bn": "শ্রী সুশ্রী শ্রীমতী",
+    "ta": "ஸ்ரீ ஷ்ரீ ஸுஷ்ரீ",
+    "gu": "શ્રી સુશ્રી શ્રીમતી",
+    "pa": "ਸ਼੍ਰੀ ਸੁਸ਼੍ਰੀ ਸ਼੍ਰੀਮਤੀ",
+    "kn": "ಶ್ರೀ ಸುಶ್ರೀ ಶ್ರೀಮತಿ",
+    "or": "ଶ୍ରୀ ସୁଶ୍ରୀ ଶ୍ରୀମତୀ",
+    "ur": "شری سشری",
+}
+#: "in" and "then": words before a name where nothing is spaced
+BEFORE_NAME = {
+    "hi": "में मध्ये मा तब",
+    "bn": "তে তব",
+    "ta": "இல் தப",
+    "gu": "માં તબ",
+    "pa": "ਵਿਚ ਤਬ",
+    "kn": "ಅಲ್ಲಿ ತಬ",
+    "or": "ମେଂ ତବ",
+    "ur": "مےں تب",
+}
+#: Latin short forms, which texts of every language use
 LATIN_SHORT = """
 Dr Prof Mr Mrs Ms Capt Col Gen Lt Maj Sgt St Sr Jr Rev Hon No Nos Vol Fig Eq Sec Ch pp Rs Re Ltd
 Inc Co Corp Dept Univ Jan Feb Mar Apr Jun Jul Aug Sept Sep Oct Nov Dec vs etc approx ca cf e.g i.e
 """.split()
-# titles without a full stop, and "then", "in": words before an initial where nothing is spaced
-BEFORE_INITIAL = "में मध्ये मा তে இல் માં ਵਿਚ ಅಲ್ಲಿ ମେଂ مےں श्री সুশ্রী শ্রী ஸ்ரீ ஷ்ரீ શ્રી ਸ਼੍ਰੀ ಶ್ರೀ ଶ୍ରୀ شری तब তব தப તબ ਤਬ ತಬ ତବ تب".split()
+#: those that are also words and count only before a number
+BEFORE_NUMBER = ("No", "Nos", "Re", "Mar", "Sec", "Fig")
+# ---- end of fixed values -----------------------------------------------------------------------
 
 
 def _forms(words: list[str]) -> set[str]:
@@ -85,37 +124,67 @@ def _by_plane(make) -> tuple[re.Pattern, re.Pattern]:
 
 
 RUN = _by_plane(lambda s, a: f"[{s}{a}|…]+")
-UNIT_ENDS = {tuple(w.rsplit(".", 1)) for w in _forms(UNITS)}
-KEPT = _forms(SHORT) | _forms(INITIALS) | set(LATIN_SHORT) | {w.lower() for w in LATIN_SHORT if len(w) > 2 and w not in ("Col", "Fig", "Sec", "Vol")}
-FIRST_PARTS, LAST_PARTS = {a for a, _ in UNIT_ENDS}, {b for _, b in UNIT_ENDS}
 OPENING = "\"'“”‘’«»()[]{}<>*_-–—,;:₹$/"
 DIGITS = "0123456789०१२३४५६७८९০১২৩৪৫৬৭৮৯۰۱۲۳۴۵۶۷۸۹"
-UNIT_BEHIND = re.compile(rf"\s?(?:{'|'.join(sorted(map(re.escape, LAST_PARTS), key=len, reverse=True))})\.")
+NUMBER_BEHIND = regex.compile(r"(?V1)\s?[\p{Nd}IVXLC]+(?!\p{L})")
 _longest = lambda words: "|".join(sorted(map(re.escape, words), key=len, reverse=True))
-UNSPACED_END = regex.compile(
-    rf"(?V1)(?:(?:{_longest({'.'.join(x) for x in UNIT_ENDS} | _forms(SHORT) | FIRST_PARTS)})|(?<=^|[.।॥۔|?!؟\"“«(\p{{Nd}}]|{'|'.join(BEFORE_INITIAL)})(?:{_longest(_forms(INITIALS))}))$"
-)
 
 
-def _short_form(text: str, begin: int, i: int, spaced: bool) -> bool:
+class Forms:
+    """The short forms of one language; of all languages where it is not known or has none of its own."""
+
+    def __init__(self, lang: str | None):
+        known = SAME.get(lang or "", lang)
+        words = lambda table: _forms([w for k, v in table.items() if known not in SHORT or k == known for w in v.split()])
+        # words of a language that shares its forms with others are its own
+        also = _forms(ALSO_WORDS[lang].split()) if lang in ALSO_WORDS else words(ALSO_WORDS)
+        short, initials, titles = words(SHORT), words(INITIALS), words(TITLES)
+        units = {tuple(w.rsplit(".", 1)) for w in words(UNITS)}
+        self.kept = short | initials | set(LATIN_SHORT) | {w.lower() for w in LATIN_SHORT if len(w) > 2 and w not in ("Col", "Fig", "Sec", "Vol", "Mar", "Nos")}
+        self.unsure, self.before_number = also & initials, frozenset(BEFORE_NUMBER)
+        self.before_name = titles
+        self.units, self.first, self.last = units, {a for a, _ in units}, {b for _, b in units}
+        self.unit_behind = re.compile(rf"\s?(?:{_longest(self.last)})\.")
+        glued = short | {".".join(u) for u in units} | self.first
+        before = titles | words(BEFORE_NAME)
+        self.unspaced = regex.compile(rf"(?V1)(?:(?:{_longest(glued)})|(?<=^|[.।॥۔|?!؟\"“«(\p{{Nd}}]|{_longest(before)})(?:{_longest(initials)}))$")
+        # no form reaches farther back than that from its full stop
+        self.far = max(map(len, glued | initials)) + max(map(len, before)) + 1
+        self.near = 2 * max(map(len, self.kept)) + 4
+
+
+@lru_cache(maxsize=64)
+def forms_of(lang: str | None) -> Forms:
+    return Forms(lang)
+
+
+def _short_form(text: str, begin: int, i: int, spaced: bool, forms: Forms) -> bool:
     """Whether the full stop at ``i`` belongs to a short form, an initial or a part of a unit; the sentence begins at ``begin``."""
     if not spaced:
-        if UNSPACED_END.search(text, max(0, i - 16), i):
+        if forms.unspaced.search(text, max(0, i - forms.far), i):
             return True
-    token = text[max(begin, i - 24) : i].rsplit(None, 1)
+    from_ = max(begin, i - forms.near)
+    token = text[from_:i].rsplit(None, 1)
     if not token or text[i - 1].isspace():
         return False
     head, _, last = token[-1].rpartition(".")
     last = last.lstrip(OPENING)
-    if last in KEPT or (len(last) == 1 and LATIN_LETTER.match(last)):
+    if last in forms.before_number:
+        return NUMBER_BEHIND.match(text, i + 1) is not None
+    if last in forms.unsure and not head:
+        # a word, unless a name is under way: at the beginning, behind a title or another short form
+        before = token[0].rsplit(None, 1)[-1] if len(token) == 2 and token[0].strip() else ""
+        if before and not before.endswith(".") and before.lstrip(OPENING) not in forms.before_name:
+            return False
+    if last in forms.kept or (len(last) == 1 and LATIN_LETTER.match(last)):
         return True
-    if last in FIRST_PARTS and UNIT_BEHIND.match(text, i + 1):
+    if last in forms.first and forms.unit_behind.match(text, i + 1):
         return True
-    if last in LAST_PARTS:
+    if last in forms.last:
         before = head.rpartition(".")[2].lstrip(OPENING + DIGITS)
         if not before and len(token) == 2:
             before = token[0].rsplit(None, 1)[-1].strip(".").lstrip(OPENING + DIGITS)
-        return (before, last) in UNIT_ENDS
+        return (before, last) in forms.units
     return False
 
 
@@ -193,21 +262,21 @@ def plain(text: str) -> tuple[str, list[int] | None]:
     return "".join(out), offsets
 
 
-def spans(text: str | None) -> list[tuple[int, int]]:
+def spans(text: str | None, lang: str | None = None) -> list[tuple[int, int]]:
     """Start and end of each sentence in ``text``, white space around a sentence left out.
 
-    Null or blank text has none. Text without any terminator is one sentence. Offsets are those of
+    Short forms are those of ``lang``, of all languages where it is null or unknown. Null or blank text has none. Text without any terminator is one sentence. Offsets are those of
     the stored text, also where it holds unseen signs or decomposed letters.
     """
     if text is None or not text.strip():
         return []
     seen, offsets = plain(text)
     if offsets is None:
-        return _spans(text)
+        return _spans(text, lang)
     if not seen.strip():
         begin = len(text) - len(text.lstrip())
         return [(begin, len(text.rstrip()))]
-    starts = [offsets[a] for a, _ in _spans(seen)]
+    starts = [offsets[a] for a, _ in _spans(seen, lang)]
     first = len(text) - len(text.lstrip())
     out = []
     for k, a in enumerate(starts):
@@ -221,11 +290,11 @@ def spans(text: str | None) -> list[tuple[int, int]]:
 
 def is_spaced(text: str) -> bool:
     """Whether the words of ``text`` are parted by white space, not only its sentences."""
-    return len(text) < 40 or len(text.split()) * 14 > len(text)
+    return len(text.split()) * 14 > len(text)
 
 
-def _spans(text: str) -> list[tuple[int, int]]:
-    spaced = is_spaced(text)
+def _spans(text: str, lang: str | None) -> list[tuple[int, int]]:
+    spaced, forms = is_spaced(text), forms_of(lang)
     run_of, more, end_mark = (x[FAR.search(text) is not None] for x in (RUN, MORE, END_MARK))
     cuts, begin, n = [], 0, len(text)
     pos = 0
@@ -243,7 +312,7 @@ def _spans(text: str) -> list[tuple[int, int]]:
             before, after = text[i - 1 : i], text[i + 1 : i + 2]
             if before.isdigit() and (after.isdigit() or LIST_NUMBER.fullmatch(text, begin, i) and after):
                 continue
-            if _short_form(text, begin, i, spaced):
+            if _short_form(text, begin, i, spaced, forms):
                 continue
             if after.isalpha() and before.isalpha() and LATIN_LETTER.match(before) and LATIN_LETTER.match(after) and not (before.islower() and after.isupper()):
                 continue
@@ -311,25 +380,27 @@ SPANS = ArrayType(StructType([StructField("start", IntegerType()), StructField("
 
 
 @F.pandas_udf(SPANS)
-def sentence_spans(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for series in texts:
-        yield series.map(lambda t: [{"start": a, "end": b} for a, b in spans(t)])
+def sentence_spans(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for texts, langs in batches:
+        yield pd.Series([[{"start": a, "end": b} for a, b in spans(t, g)] for t, g in zip(texts, langs)], dtype=object)
 
 
 # marked so that Spark does not evaluate it once more for a filter that it pushes below or infers
 sentence_spans = sentence_spans.asNondeterministic()
 
 
-def sentences(df: DataFrame, text: str | Column, *keys: str) -> DataFrame:
+def sentences(df: DataFrame, text: str | Column, *keys: str, lang: str | Column | None = None) -> DataFrame:
     """``keys`` plus ``sent_no`` (from 0), ``start_char``, ``end_char`` and ``sentence``, a row per sentence.
 
-    Rows whose text is null or blank give no row. Repeated rows are split each on its own. Columns
-    of ``df`` other than ``keys`` are dropped, so names cannot clash.
+    ``lang`` is the column with the language of each text (``hi``, ``bn``, ...); where it is null, or none is given, the
+    short forms of all languages count. Rows whose text is null or blank give no row. Repeated rows are split each on
+    its own. Columns of ``df`` other than ``keys`` are dropped, so names cannot clash.
     """
-    col = F.col(text) if isinstance(text, str) else text
+    col = lambda c: F.col(c) if isinstance(c, str) else c
+    own = F.lit(None).cast("string") if lang is None else col(lang)
     return (
-        df.select(*keys, col.alias("_t"))
-        .withColumn("_s", sentence_spans("_t"))
+        df.select(*keys, col(text).alias("_t"), own.alias("_l"))
+        .withColumn("_s", sentence_spans("_t", "_l"))
         .select(*keys, "_t", F.posexplode("_s").alias("sent_no", "_p"))
         .select(*keys, "sent_no", F.col("_p.start").alias("start_char"), F.col("_p.end").alias("end_char"), F.expr("substring(_t, _p.start + 1, _p.end - _p.start)").alias("sentence"))
     )

@@ -30,6 +30,34 @@ def test_by_hand(parts):
     assert split(" ".join(parts)) == parts
 
 
+@pytest.mark.parametrize(
+    "lang,parts",
+    [
+        ("hi", ["यह काम किया गांधी जी.", "वे चले गये.", "फिर आये."]),
+        ("hi", ["श्री जी. मोद ने कहा.", "जी. के. गोल आये.", "डॉ. पी. राव गये."]),
+        ("mr", ["ही माझी आई.", "ती आली."]),
+        ("pa", ["ਪੁਲ 1811 ਤੋਂ ਪਹਲੇ ਬਨਾ ਸੀ.", "ਸੁਸ਼੍ਰੀ ਸੀ. ਜੁਨ ਗਏ."]),
+        ("en", ["The answer was No.", "We left at once."]),
+        ("en", ["It was No. 5 of Vol. II.", "He came in Mar. 1990 to see Dr. Roy.", "This is the end of Mar.", "Good."]),
+        (None, ["यह काम किया गांधी जी.", "वे चले गये."]),
+        ("xx", ["डॉ. ए. वसका गए।", "ডাঃ চলে গেলেন।"]),
+    ],
+)
+def test_by_language(lang, parts):
+    t = " ".join(parts)
+    assert [t[a:b] for a, b in spans(t, lang)] == parts
+
+
+def test_short_forms_are_those_of_the_language():
+    t = "এটি রু. নয়"
+    assert len(spans(t, "bn")) == 1 and len(spans(t, "hi")) == 2 and len(spans(t, None)) == 1
+
+
+def test_a_long_word_that_ends_like_a_short_form():
+    t = "यह एक बात है और " + "क" * 30 + "डॉ. फिर कुछ और बात है"
+    assert len(spans(t, "hi")) == 2 and len(spans("((((((((((((((((((((((((((((((डॉ. फिर", "hi")) == 1
+
+
 def test_without_spaces_between():
     assert split("मापी।2004 की बाढ़ आई।जब पूछा गया।") == ["मापी।", "2004 की बाढ़ आई।", "जब पूछा गया।"]
     t = "डॉ.हीरराने40.5कि.मी.सड़कसुधारी।\"यहबड़ाहै।\"सुश्रीआर.मोदनेकहाऔरगए।"
@@ -75,6 +103,8 @@ def test_very_long_text():
 def test_operator(spark):
     df = spark.createDataFrame([(1, "एक है। दो है।", "x"), (1, "एक है। दो है।", "x"), (2, None, "y"), (3, " ", None)], "id bigint, text string, sentence string")
     got = sorted(tuple(r) for r in sentences(df, "text", "id").collect())
+    by_lang = spark.createDataFrame([(1, "ही आई. ती", "mr"), (2, "ही आई. ती", None), (3, None, "mr")], "id bigint, text string, lang string")
+    assert sorted((r.id, r.start_char) for r in sentences(by_lang, "text", "id", lang="lang").collect()) == [(1, 0), (1, 7), (2, 0), (2, 7)]
     assert got == sorted([(1, 0, 0, 6, "एक है।"), (1, 1, 7, 13, "दो है।")] * 2)
     assert sentences(df.limit(0), "text", "id").count() == 0
 
