@@ -4,7 +4,8 @@ Sentences of both sides are described by what survives translation: numbers, abb
 letters, names and other cognates by their consonants, and glossary terms. Sentence pairs that share
 enough are anchors; the longest increasing chain of anchors keeps the order, the gaps between its
 links are aligned by dynamic programming with one-to-one, one-to-many and empty steps, and anchors
-off the chain that are strong by themselves are sentences that were moved.
+off the chain that are strong by themselves are sentences that were moved. The rules are the same for texts of
+every length.
 """
 
 from __future__ import annotations
@@ -49,8 +50,8 @@ WEAK = str.maketrans("", "", "YH")
 
 NUMBER = re.compile(r"\d+(?:[.,]\d+)*")
 ACRONYM = re.compile(r"(?<![A-Za-z])(?:[A-Za-z]\.){2,}|(?<![A-Za-z.])[A-Za-z]{2,6}(?![A-Za-z])")
-CAPITALS = re.compile(r"(?<![A-Za-z.])[A-Z]{2,6}(?![A-Za-z])")
-NAME = re.compile(r"(?<![A-Za-z])[A-Z][a-z]{3,}(?![A-Za-z])")
+#: numbers, words in capitals, and names, by their first characters
+FEATURE = re.compile(r"\d+(?:[.,]\d+)*|(?<![A-Za-z])[A-Z](?:[a-z]{3,}|(?<!\.[A-Z])[A-Z]{1,5})(?![A-Za-z])")
 DOTTED = re.compile(r"(?<![A-Za-z])(?:[A-Za-z]\.){2,}")
 LATIN_LETTER = re.compile("[A-Za-z]")
 ENGLISH = re.compile(r"[A-Za-z]+")
@@ -144,8 +145,8 @@ def chain(anchors: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]
 class Side:
     """Sentences of one text and, for each feature, the sentences that have it."""
 
-    def __init__(self, text: str):
-        self.spans = spans(text)
+    def __init__(self, text: str, lang: str | None):
+        self.spans = spans(text, lang)
         self.starts = [a for a, _ in self.spans]
         self.where: dict[tuple[str, str], set[int]] = defaultdict(set)
         self.names: dict[str, set[int]] = defaultdict(set)
@@ -163,43 +164,50 @@ class Side:
 
 
 def _english(text: str, terms: dict[str, list[str]], weak: bool) -> Side:
-    s = Side(text)
-    names = s.names
+    s = Side(text, "en")
+    names: list[tuple[int, bool, str]] = []
     for i, (a, b) in enumerate(s.spans):
         t = text[a:b]
-        for x in NUMBER.findall(t):
-            s.where["n", number(x)].add(i)
-        for x in CAPITALS.findall(t):
-            s.where["a", x].add(i)
-        if found := NAME.findall(t):
-            for x, k in zip(found, latin_consonants(found)):
-                if weak:
-                    k = k.translate(WEAK)
-                if len(k) > 3 or (len(k) == 3 and not t.startswith(x)):
-                    names[k].add(i)
-        for w in terms.keys() & set(ENGLISH.findall(t.lower())):
-            s.where["g", w].add(i)
+        for x in FEATURE.findall(t):
+            if x[0] < "A" or x[0] > "Z":
+                s.where["n", number(x)].add(i)
+            elif x[1] <= "Z":
+                s.where["a", x].add(i)
+            else:
+                names.append((i, t.startswith(x), x))
+        if terms:
+            for w in terms.keys() & set(ENGLISH.findall(t.lower())):
+                s.where["g", w].add(i)
         if "." in t[:-1]:
             for x in DOTTED.findall(t):
                 s.where["a", x.replace(".", "").upper()].add(i)
+    if names:
+        for (i, first, _), k in zip(names, latin_consonants([x for _, _, x in names])):
+            if weak:
+                k = k.translate(WEAK)
+            if len(k) > 3 or (len(k) == 3 and not first):
+                s.names[k].add(i)
     return s
 
 
-def _translated(text: str, terms: dict[str, list[str]], wanted: set[str], acronyms: set[str], weak: bool) -> tuple[Side, bool]:
-    s = Side(text)
+def _translated(text: str, lang: str | None, terms: dict[str, list[str]], wanted: set[str], acronyms: set[str], weak: bool) -> tuple[Side, bool]:
+    s = Side(text, lang)
     spaced = is_spaced(text)
     words = {w: t for t in wanted for w in terms[t]}
-    hidden = UNSEEN.search(text) is not None
+    hidden, wide = UNSEEN.search(text) is not None, WIDE.search(text) is not None
+    latin = bool(acronyms) and LATIN_LETTER.search(text) is not None
+    if not hidden and not wide:
+        words = {w: term for w, term in words.items() if w in text}
     seen: list[str] = []
     for i, (a, b) in enumerate(s.spans):
         t = text[a:b]
         if hidden:
             t = UNSEEN.sub("", t)
-        if WIDE.search(t):
+        if wide and WIDE.search(t):
             t = unicodedata.normalize("NFKC", t)
         for x in NUMBER.findall(t):
             s.where["n", number(x)].add(i)
-        for x in ACRONYM.findall(t) if acronyms and LATIN_LETTER.search(t) else ():
+        for x in ACRONYM.findall(t) if (latin or wide) and LATIN_LETTER.search(t) else ():
             x = x.replace(".", "").upper()
             if x in acronyms:
                 s.where["a", x].add(i)
@@ -222,14 +230,14 @@ def _name_weight(k: str) -> float:
     return 1.0 if len(k) == 3 else 2.0 if len(k) == 4 else 3.0
 
 
-def align(english: str | None, translated: str | None, terms: dict[str, list[str]]) -> list[tuple[int, int, float]]:
-    """``(en_start, tr_start, score)`` of the sentence pairs; null or blank texts have none."""
+def align(english: str | None, translated: str | None, terms: dict[str, list[str]], lang: str | None = None) -> list[tuple[int, int, float]]:
+    """``(en_start, tr_start, score)`` of the sentence pairs; null or blank texts have none. ``lang`` is that of the translation."""
     if not english or not translated or not english.strip() or not translated.strip():
         return []
     weak = ARABIC.search(translated) is not None
     e = _english(english, terms, weak)
     wanted = {w for k, w in e.where if k == "g"}
-    t, spaced = _translated(translated, terms, wanted, {w for k, w in e.where if k == "a"}, weak)
+    t, spaced = _translated(translated, lang, terms, wanted, {w for k, w in e.where if k == "a"}, weak)
     ne, nt = len(e.spans), len(t.spans)
     common: list[tuple[float, set[int], set[int]]] = []
 
@@ -238,18 +246,21 @@ def align(english: str | None, translated: str | None, terms: dict[str, list[str
 
     for key, es in e.where.items():
         w = WEIGHT[key[0]] if key[0] != "n" or len(key[1]) > 1 else 1.0
+        part = w / min(len(es), FREQUENT)
         for i in es:
-            e.total[i] += w / min(len(es), FREQUENT)
+            e.total[i] += part
         if ts := t.where.get(key):
             shared(w, es, ts)
     for key, ts in t.where.items():
         w = WEIGHT[key[0]] if key[0] != "n" or len(key[1]) > 1 else 1.0
+        part = w / min(len(ts), FREQUENT)
         for j in ts:
-            t.total[j] += w / min(len(ts), FREQUENT)
+            t.total[j] += part
     for k, es in e.names.items():
         w = _name_weight(k)
+        part = w / min(len(es), FREQUENT)
         for i in es:
-            e.total[i] += w / min(len(es), FREQUENT)
+            e.total[i] += part
         if not spaced:
             ts = {j for j, line in enumerate(t.lines) if k in line} if len(k) >= 4 else set()
         else:
@@ -259,8 +270,9 @@ def align(english: str | None, translated: str | None, terms: dict[str, list[str
                 first, last, n = k[0], k[-1], len(k)
                 ts = {j for s, js in t.words().items() if (s[0] == first or s[-1] == last) and -2 < len(s) - n < 2 and near(k, s) for j in js}
         if ts:
+            part = w / min(len(ts), FREQUENT)
             for j in ts:
-                t.total[j] += w / min(len(ts), FREQUENT)
+                t.total[j] += part
             shared(w, es, ts)
 
     score, evidence = _scores(common, nt)
@@ -310,71 +322,65 @@ def align(english: str | None, translated: str | None, terms: dict[str, list[str
         es = [i for i in range(i0 + 1, i1) if not rival_e[i]]
         ts = [j for j in range(j0 + 1, j1) if not rival_t[j]]
         if es and ts:
-            links = _gap(es, ts, score, close) if len(es) * len(ts) <= LARGE_GAP else _wide_gap(es, ts, rows, score, close)
-            for i, j in links:
+            for i, j in _gap(es, ts, rows, score, close):
                 take(i, j, score[i, j])
     return sorted((e.starts[i], t.starts[j], s) for (i, j), s in pairs.items())
 
 
 SKIP, LEAST = 0.3, 1.0
-#: pairs of sentences that a feature may propose before those equally far along weigh a little more
-MANY = 400
-#: a feature of more sentences than this is worth no less
+#: pairs of sentences that a feature proposes at which half of the weight that goes by their distance is at stake
+HALF = 400
+#: a feature loses no more weight once this many sentences have it
 FREQUENT = 13
-#: co-occurrences that are added up one by one; more are added row by row
+#: co-occurrences up to which they are added up one by one, else row by row, to the same sums
 FEW = 20_000
 #: no pair of a smaller score is ever taken
 LOWEST = 0.45
-#: cells of a gap beyond which the same optimum is found over the pairs that gain something
-LARGE_GAP = 10_000
 
 
 def _scores(common: list[tuple[float, set[int], set[int]]], nt: int) -> tuple[dict[tuple[int, int], float], dict[tuple[int, int], int]]:
     """The summed weight and the number of common features of each sentence pair.
 
-    Every co-occurrence counts. Of a feature of very many pairs the weight falls from 1 to 0.8 with the
-    distance between the ranks of the two occurrences, which only parts pairs that are alike in all
-    else. A row of pairs is held at a time where there are many, and of it only scores that may count.
+    Every co-occurrence counts. The weight falls with the distance between the ranks of the two occurrences: by
+    nothing for a feature that stands once on each side, by up to a fifth the more pairs it proposes, which only
+    parts pairs that are alike in all else. A row of pairs is held at a time where there are many, and of it only
+    scores that may count.
     """
     score: dict[tuple[int, int], float] = defaultdict(float)
     evidence: dict[tuple[int, int], int] = defaultdict(int)
     if sum(len(es) * len(ts) for _, es, ts in common) <= FEW:
         for w, es, ts in common:
-            if len(es) * len(ts) <= MANY:
-                for i in es:
-                    for j in ts:
-                        score[i, j] += w
-                        evidence[i, j] += 1
-            else:
-                ys = sorted(ts)
-                for x, i in enumerate(sorted(es)):
-                    y = x * len(ys) // len(es)
-                    for z, j in enumerate(ys):
-                        score[i, j] += w * (1 - 0.2 * abs(z - y) / (abs(z - y) + 1))
-                        evidence[i, j] += 1
+            m = len(es) * len(ts)
+            if m == 1:
+                (i,), (j,) = es, ts
+                score[i, j] += w
+                evidence[i, j] += 1
+                continue
+            stake, ys = 0.2 * (m - 1) / (m - 1 + HALF), sorted(ts)
+            for x, i in enumerate(sorted(es)):
+                y = x * len(ys) // len(es)
+                for z, j in enumerate(ys):
+                    score[i, j] += w * (1 - stake * abs(z - y) / (abs(z - y) + 1))
+                    evidence[i, j] += 1
         return score, evidence
-    of_row: dict[int, list[tuple[float, np.ndarray, int | None]]] = defaultdict(list)
+    of_row: dict[int, list[tuple[float, float, np.ndarray, int]]] = defaultdict(list)
     for w, es, ts in common:
-        ys = np.array(sorted(ts))
-        many = len(es) * len(ts) > MANY
+        ys, m = np.array(sorted(ts)), len(es) * len(ts)
         for x, i in enumerate(sorted(es)):
-            of_row[i].append((w, ys, x * len(ys) // len(es) if many else None))
+            of_row[i].append((w, 0.2 * (m - 1) / (m - 1 + HALF), ys, x * len(ys) // len(es)))
     for i, features in of_row.items():
         total, n = np.zeros(nt), np.zeros(nt, np.int64)
-        for w, ys, y in features:
-            if y is None:
-                total[ys] += w
-            else:
-                d = np.abs(np.arange(len(ys)) - y)
-                total[ys] += w * (1 - 0.2 * d / (d + 1))
+        for w, stake, ys, y in features:
+            d = np.abs(np.arange(len(ys)) - y)
+            total[ys] += w * (1 - stake * d / (d + 1))
             n[ys] += 1
         for j in np.nonzero(total >= LOWEST)[0].tolist():
             score[i, j], evidence[i, j] = float(total[j]), int(n[j])
     return score, evidence
 
 
-def _wide_gap(es: list[int], ts: list[int], rows: dict[int, list[int]], score: dict[tuple[int, int], float], close) -> list[tuple[int, int]]:
-    """The optimum of ``_gap`` over the pairs that gain something, for gaps of very many sentences.
+def _gap(es: list[int], ts: list[int], rows: dict[int, list[int]], score: dict[tuple[int, int], float], close) -> list[tuple[int, int]]:
+    """Local dynamic programming over the sentences of a gap: pairs, two-to-one, one-to-two, or none.
 
     A step with a pair that loses is never better than the step without it, so only pairs with a gain, and
     two of them side by side, are steps; the best sequence of steps comes from prefix maxima over the
@@ -427,71 +433,44 @@ def _wide_gap(es: list[int], ts: list[int], rows: dict[int, list[int]], score: d
     return out
 
 
-def _gap(es: list[int], ts: list[int], score: dict[tuple[int, int], float], close) -> list[tuple[int, int]]:
-    """Local dynamic programming over the sentences of a gap: pairs, two-to-one, one-to-two, or none."""
-    gain = {(i, j): close(i, j) if score.get((i, j), 0.0) >= 1.0 else -1.0 for i in es for j in ts}
-    if max(gain.values()) <= SKIP:
-        return []
-    n, m = len(es), len(ts)
-    best: dict[tuple[int, int], tuple[float, tuple[int, int] | None, list[tuple[int, int]]]] = {(0, 0): (0.0, None, [])}
-    for x in range(n + 1):
-        for y in range(m + 1):
-            if (x, y) == (0, 0):
-                continue
-            options = []
-            for dx, dy in ((1, 0), (0, 1), (1, 1), (2, 1), (1, 2)):
-                if x < dx or y < dy or (x - dx, y - dy) not in best:
-                    continue
-                links = [(es[x - 1 - a], ts[y - 1 - b]) for a in range(dx) for b in range(dy)]
-                value = sum(gain[link] - SKIP for link in links)
-                options.append((best[x - dx, y - dy][0] + value, (x - dx, y - dy), links))
-            best[x, y] = max(options, key=lambda o: o[0])
-    out, at = [], (n, m)
-    while at is not None:
-        _, before, links = best[at]
-        out += links
-        at = before
-    return out
-
-
-def _aligner(by_lang: dict[str, dict[str, list[str]]]):
-    """Batches of ``pkey, lang, en, tr`` to batches of pairs, column by column."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merged: dict[str, list[str]] = defaultdict(list)
-        for d in by_lang.values():
-            for k, v in d.items():
-                merged[k] += v
-        for batch in batches:
-            keys, found, counts = batch.column("pkey"), [], []
-            for lang, en, tr in zip(*(batch.column(c).to_pylist() for c in ("lang", "en", "tr"))):
-                pairs = align(en, tr, by_lang.get(lang) or merged)
-                found += pairs
-                counts.append(len(pairs))
-            if found:
-                en_start, tr_start, score = zip(*found)
-                rows = pa.array(np.repeat(np.arange(len(counts)), counts))
-                yield pa.RecordBatch.from_arrays([keys.take(rows), pa.array(en_start, pa.int32()), pa.array(tr_start, pa.int32()), pa.array(score, pa.float64())], names=["pkey", "en_start", "tr_start", "score"])
-
-    return run
-
-
-def glossary_terms(glossary: DataFrame) -> dict[str, dict[str, list[str]]]:
-    """The glossary by language. It is a fixed table; beyond ``MOST_TERMS`` rows this is an error."""
-    rows = glossary.where("en_term is not null and tr_term is not null and lang is not null").select("lang", "en_term", "tr_term").limit(MOST_TERMS + 1).collect()
-    if len(rows) > MOST_TERMS:
-        raise ValueError(f"the glossary has more than {MOST_TERMS} terms")
-    out: dict[str, dict[str, list[str]]] = defaultdict(lambda: defaultdict(list))
-    for lang, en, tr in rows:
-        out[lang][en.lower()].append(unicodedata.normalize("NFC", tr))
-    return {k: dict(v) for k, v in out.items()}
+def _aligner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of ``pkey, lang, en, tr, terms`` to batches of pairs, column by column."""
+    for batch in batches:
+        keys, found, counts = batch.column("pkey"), [], []
+        for lang, en, tr, e, t in zip(*(batch.column(c).to_pylist() for c in ("lang", "en", "tr", "en_terms", "tr_terms"))):
+            terms: dict[str, list[str]] = defaultdict(list)
+            for k, v in zip(e, t):
+                terms[k].append(v if unicodedata.is_normalized("NFC", v) else unicodedata.normalize("NFC", v))
+            pairs = align(en, tr, terms, lang)
+            found += pairs
+            counts.append(len(pairs))
+        if found:
+            en_start, tr_start, score = zip(*found)
+            rows = pa.array(np.repeat(np.arange(len(counts)), counts))
+            yield pa.RecordBatch.from_arrays([keys.take(rows), pa.array(en_start, pa.int32()), pa.array(tr_start, pa.int32()), pa.array(score, pa.float64())], names=["pkey", "en_start", "tr_start", "score"])
+
+
+def with_terms(pairs: DataFrame, glossary: DataFrame, most: int = MOST_TERMS) -> DataFrame:
+    """``pairs`` (``lang, en``, ...) with ``en_terms, tr_terms``: the terms of its language whose English side the text has.
+
+    The terms go to the texts as one row per language, which is broadcast; a glossary of more than ``most`` terms is
+    an error. A null or unknown language has the terms of all.
+    """
+    g = glossary.where("en_term is not null and tr_term is not null and lang is not null").select("lang", F.struct(F.lower("en_term").alias("e"), F.col("tr_term").alias("t")).alias("x"))
+    checked = lambda n: F.when(n > most, F.raise_error(F.lit(f"the glossary has more than {most} terms")))
+    listed = F.array_sort(F.collect_list("x"))
+    own = g.groupBy("lang").agg(F.coalesce(checked(F.count(F.lit(1))), listed).alias("own"))
+    every = g.agg(F.coalesce(checked(F.count(F.lit(1))), listed).alias("every")).withColumn("_of", F.lit("every"))
+    matched = pairs.join(F.broadcast(own), "lang", "left").withColumn("_of", F.when(F.col("own").isNull(), "every")).join(F.broadcast(every), "_of", "left")
+    some = F.transform(F.array(F.lower("en")), lambda en: F.filter(F.coalesce("own", "every"), lambda x: F.contains(en, x["e"])))[0]
+    return matched.withColumn("_terms", some).withColumn("en_terms", F.col("_terms.e")).withColumn("tr_terms", F.col("_terms.t")).drop("own", "every", "_of", "_terms")
 
 
 def aligned(rows: DataFrame, glossary: DataFrame) -> DataFrame:
     """``pkey, en_start, tr_start, score``: sentence pairs of every position of ``passages``.
 
-    Positions where either text is null or blank, or that only one list has, give no row; a null
-    language uses the terms of all languages. ``pkey`` is ``row_id * 100 + position``.
+    Positions where either text is null or blank, or that only one list has, give no row; a null or unknown
+    language uses the terms and short forms of all languages. ``pkey`` is ``row_id * 100 + position``.
     """
     p = F.col("passages")
     both = (
@@ -499,4 +478,4 @@ def aligned(rows: DataFrame, glossary: DataFrame) -> DataFrame:
         .select((F.col("row_id") * 100 + F.col("pos")).alias("pkey"), "lang", F.col("z.e").alias("en"), F.col("z.t").alias("tr"))
         .where(not_blank(F.col("en")) & not_blank(F.col("tr")))
     )
-    return both.select("pkey", "lang", "en", "tr").mapInArrow(_aligner(glossary_terms(glossary)), PAIRS)
+    return with_terms(both, glossary).select("pkey", "lang", "en", "tr", "en_terms", "tr_terms").mapInArrow(_aligner, PAIRS)

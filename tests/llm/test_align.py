@@ -3,6 +3,8 @@
 import random
 from collections import defaultdict
 
+import pytest
+
 from granthika.llm import align as A
 from granthika.llm.align import align, aligned, chain, near
 
@@ -57,7 +59,28 @@ def test_frequent_features_count_far_from_their_place():
     assert dict(rows) == {k: v for k, v in score.items() if v >= A.LOWEST} and all(counts[k] == evidence[k] for k in rows)
 
 
-def test_wide_gap_has_the_optimum_of_the_dynamic_programming():
+def dense_gap(es, ts, score, close):
+    """Every cell of the table: pairs, two-to-one, one-to-two, or none."""
+    gain = {(i, j): close(i, j) if score.get((i, j), 0.0) >= 1.0 else -1.0 for i in es for j in ts}
+    best = {(0, 0): (0.0, None, [])}
+    for x in range(len(es) + 1):
+        for y in range(len(ts) + 1):
+            options = []
+            for dx, dy in ((1, 0), (0, 1), (1, 1), (2, 1), (1, 2)) if (x, y) != (0, 0) else ():
+                if x >= dx and y >= dy:
+                    links = [(es[x - 1 - a], ts[y - 1 - b]) for a in range(dx) for b in range(dy)]
+                    options.append((best[x - dx, y - dy][0] + sum(gain[k] - A.SKIP for k in links), (x - dx, y - dy), links))
+            if options:
+                best[x, y] = max(options, key=lambda o: o[0])
+    out, at = [], (len(es), len(ts))
+    while at is not None:
+        _, before, links = best[at]
+        out += links
+        at = before
+    return out
+
+
+def test_gap_has_the_optimum_of_the_whole_table():
     rng = random.Random(5)
     for _ in range(300):
         es, ts = sorted(rng.sample(range(30), rng.randint(1, 9))), sorted(rng.sample(range(30), rng.randint(1, 9)))
@@ -68,7 +91,7 @@ def test_wide_gap_has_the_optimum_of_the_dynamic_programming():
         for i, j in score:
             rows[i].append(j)
         value = lambda links: sum(close(i, j) - A.SKIP for i, j in links)  # noqa: B023, E731
-        wide, dense = A._wide_gap(es, ts, rows, score, close), A._gap(es, ts, score, close)
+        wide, dense = A._gap(es, ts, rows, score, close), dense_gap(es, ts, score, close)
         assert abs(value(wide) - value(dense)) < 1e-9 and all(i in es and j in ts for i, j in wide)
         assert max([0, *(sum(a == i for a, _ in wide) for i in es), *(sum(b == j for _, b in wide) for j in ts)]) <= 2
 
@@ -81,4 +104,8 @@ def test_operator(spark):
     got = aligned(spark.createDataFrame(rows[:3], schema), g).collect()
     assert {(r.pkey, r.en_start > 0) for r in got} == {(100, False), (100, True), (300, False)} and len(got) == 5
     assert aligned(spark.createDataFrame(rows[3:], schema), g.limit(0)).count() >= 1000
+    terms = {r.lang: (r.en_terms, r.tr_terms) for r in A.with_terms(spark.createDataFrame([("hi", "In JULY it rains"), (None, "july"), ("bn", "June")], "lang string, en string"), g).collect()}
+    assert terms == {"hi": (["july"], ["जुलाई"]), None: (["july"], ["जुलाई"]), "bn": ([], [])}
+    with pytest.raises(Exception, match="more than 0 terms"):
+        A.with_terms(spark.createDataFrame([("hi", "x")], "lang string, en string"), g, most=0).collect()
     assert aligned(spark.createDataFrame(rows, schema).limit(0), g).count() == 0
