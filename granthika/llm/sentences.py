@@ -297,7 +297,7 @@ def _spans(text: str, lang: str | None) -> list[tuple[int, int]]:
     spaced, forms = is_spaced(text), forms_of(lang)
     run_of, more, end_mark = (x[FAR.search(text) is not None] for x in (RUN, MORE, END_MARK))
     cuts, begin, n = [], 0, len(text)
-    pos = 0
+    pos, quotes = 0, QUOTE.search(text) is not None
     while (m := run_of.search(text, pos)) is not None:
         i, j = m.span()
         pos, run = j, m[0]
@@ -318,7 +318,7 @@ def _spans(text: str, lang: str | None) -> list[tuple[int, int]]:
                 continue
         elif "|" in run and LATIN_LETTER.match(text[:i].rstrip()[-1:] or " "):
             continue
-        if text[j : j + 1] == " " and "॥" not in run and "।।" not in run and not QUOTE.search(text, begin, j):
+        if text[j : j + 1] == " " and "॥" not in run and "।।" not in run and not (quotes and QUOTE.search(text, begin, j)):
             c = text[j + 1 : j + 2]
             if c.isalpha() and not c.islower():  # the usual case: a space and a letter, no quotation
                 cuts.append(j)
@@ -329,7 +329,7 @@ def _spans(text: str, lang: str | None) -> list[tuple[int, int]]:
         if ("॥" in run or "।।" in run) and (k := VERSE.match(text, j)):
             j = k.end()
         # closing marks, each only where it closes something
-        open_, at = _quotes(text, begin, i)
+        open_, at = _quotes(text, begin, i) if quotes else (False, -1)
         quoted = False
         while j < n and CLOSE.match(text, j):
             c = text[j]
