@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from granthika.llm.lines import DROPPED
+from granthika.llm.lines import words_of
 from granthika.operators.skew import skew_join
 from granthika.session import cut
 
@@ -28,11 +28,6 @@ from granthika.session import cut
 CROWD = 100
 
 
-def words_of(text: Column) -> Column:
-    """The words of a text between white space and punctuation, letter case ignored."""
-    return F.filter(F.split(F.lower(text), DROPPED + "+"), lambda w: w != "")
-
-
 def word_runs(text: Column, width: int) -> Column:
     """Distinct 64-bit hashes of the runs of ``width`` consecutive words.
 
@@ -157,15 +152,15 @@ def band_keys(values: np.ndarray, offsets: np.ndarray, scopes: np.ndarray, bands
 def signed(texts: DataFrame, width: int, similarity: float) -> DataFrame:
     """``tbl, scope, key, bare, cls, n, bands, s1, s2`` of every text with a word, in one pass.
 
-    ``cls`` is a 64-bit hash of the scope and the set of runs, the same for equal sets, ``n`` their
-    number. Words are hashed inside the JVM, runs and signatures made from whole Arrow batches of them.
+    ``bare`` is a 64-bit hash of the bare text, ``cls`` one of the scope and the set of runs, the same for equal sets, ``n``
+    their number. Texts are cut into words and hashed inside the JVM, once, runs and signatures made from whole Arrow batches of them.
     """
     shapes = {wide: shape_for(similarity, wide) for wide in (True, False)}
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for wide, (bands, rows) in shapes.items():
-                b = batch.filter(pc.equal(pc.equal(batch.column("scope"), WIDE), wide))
+                b = batch.filter(pc.and_(pc.equal(pc.equal(batch.column("scope"), WIDE), wide), pc.greater(pc.list_value_length(batch.column("words")), 0)))
                 if not b.num_rows:
                     continue
                 words = b.column("words")
@@ -180,8 +175,8 @@ def signed(texts: DataFrame, width: int, similarity: float) -> DataFrame:
                 columns += [pa.nulls(len(n), pa.int64()) if sketch is None else pa.array(sketch[:, k].copy().view(np.int64)) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays(columns, names=SIGNED.fieldNames())
 
-    hashed = F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w))
-    return texts.select("tbl", "scope", "key", "bare", hashed.alias("words")).where(F.size("words") > 0).mapInArrow(sign, SIGNED)
+    hashed = F.transform(F.array(words_of(F.col("text"))), lambda w: F.struct(F.xxhash64(F.array_join(w, "")).alias("bare"), F.transform(w, lambda x: F.xxhash64(x)).alias("words")))[0]
+    return texts.select("tbl", "scope", "key", hashed.alias("h")).select("tbl", "scope", "key", "h.bare", "h.words").mapInArrow(sign, SIGNED)
 
 
 def _runs_of_classes(asked: DataFrame, members: DataFrame, texts: DataFrame, width: int) -> DataFrame:
@@ -248,8 +243,8 @@ def similar_classes(members: DataFrame, texts: DataFrame, width: int, similarity
 def near_pairs(texts: DataFrame, width: int = 5, similarity: float = 0.8, crowd: int = CROWD) -> DataFrame:
     """Every pair of near-duplicate texts that are not equal when bare: ``tbl, key_a, key_b``.
 
-    ``texts`` has ``tbl, scope, key, text, bare`` (``scope`` -1: compared with the whole table, else only
-    with texts of the same scope; ``bare``: a 64-bit hash of the bare text). Links are found between
+    ``texts`` has ``tbl, scope, key, text`` (``scope`` -1: compared with the whole table, else only
+    with texts of the same scope). Links are found between
     classes and then written out for their members; different texts of one class are linked too.
     Texts without a word, null ones among them, have no partner; of a row repeated as a whole the
     copies are equal when bare and so no pair.

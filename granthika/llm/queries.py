@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from granthika.llm.align import aligned
 from granthika.llm.copies import collapse, copies, payload_records, text_key
 from granthika.llm.encoding import restore
-from granthika.llm.lines import bare
 from granthika.llm.lookalike import consistent, look_alikes
 from granthika.llm.mixing import mixture, shares
 from granthika.llm.neardup import near_groups, near_pairs
@@ -32,7 +31,7 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 def _near_texts(spark: SparkSession, sf: str) -> DataFrame:
     own = passages(table(spark, sf, "source_rows")).select(F.lit("source_rows").alias("tbl"), F.lit(-1).cast("bigint").alias("scope"), F.col("pkey").alias("key"), "text")
     inside = response_passages(table(spark, sf, "responses")).select(F.lit("responses").alias("tbl"), F.col("query_id").alias("scope"), F.col("okey").alias("key"), "text")
-    return own.unionByName(inside).withColumn("bare", F.xxhash64(bare(F.col("text"))))
+    return own.unionByName(inside)
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
