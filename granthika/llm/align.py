@@ -433,37 +433,38 @@ def _gap(es: list[int], ts: list[int], rows: dict[int, list[int]], score: dict[t
     return out
 
 
-def _aligner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of ``pkey, lang, en, tr, terms`` to batches of pairs, column by column."""
-    for batch in batches:
-        keys, found, counts = batch.column("pkey"), [], []
-        for lang, en, tr, e, t in zip(*(batch.column(c).to_pylist() for c in ("lang", "en", "tr", "en_terms", "tr_terms"))):
-            terms: dict[str, list[str]] = defaultdict(list)
-            for k, v in zip(e, t):
-                terms[k].append(v if unicodedata.is_normalized("NFC", v) else unicodedata.normalize("NFC", v))
-            pairs = align(en, tr, terms, lang)
-            found += pairs
-            counts.append(len(pairs))
-        if found:
-            en_start, tr_start, score = zip(*found)
-            rows = pa.array(np.repeat(np.arange(len(counts)), counts))
-            yield pa.RecordBatch.from_arrays([keys.take(rows), pa.array(en_start, pa.int32()), pa.array(tr_start, pa.int32()), pa.array(score, pa.float64())], names=["pkey", "en_start", "tr_start", "score"])
-
-
-def with_terms(pairs: DataFrame, glossary: DataFrame, most: int = MOST_TERMS) -> DataFrame:
-    """``pairs`` (``lang, en``, ...) with ``en_terms, tr_terms``: the terms of its language whose English side the text has.
-
-    The terms go to the texts as one row per language, which is broadcast; a glossary of more than ``most`` terms is
-    an error. A null or unknown language has the terms of all.
-    """
-    g = glossary.where("en_term is not null and tr_term is not null and lang is not null").select("lang", F.struct(F.lower("en_term").alias("e"), F.col("tr_term").alias("t")).alias("x"))
-    checked = lambda n: F.when(n > most, F.raise_error(F.lit(f"the glossary has more than {most} terms")))
-    listed = F.array_sort(F.collect_list("x"))
-    own = g.groupBy("lang").agg(F.coalesce(checked(F.count(F.lit(1))), listed).alias("own"))
-    every = g.agg(F.coalesce(checked(F.count(F.lit(1))), listed).alias("every")).withColumn("_of", F.lit("every"))
-    matched = pairs.join(F.broadcast(own), "lang", "left").withColumn("_of", F.when(F.col("own").isNull(), "every")).join(F.broadcast(every), "_of", "left")
-    some = F.transform(F.array(F.lower("en")), lambda en: F.filter(F.coalesce("own", "every"), lambda x: F.contains(en, x["e"])))[0]
-    return matched.withColumn("_terms", some).withColumn("en_terms", F.col("_terms.e")).withColumn("tr_terms", F.col("_terms.t")).drop("own", "every", "_of", "_terms")
+def _aligner(by_lang: dict[str, dict[str, list[str]]]):
+    """Batches of ``pkey, lang, en, tr`` to batches of pairs, column by column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merged: dict[str, list[str]] = defaultdict(list)
+        for d in by_lang.values():
+            for k, v in d.items():
+                merged[k] += v
+        for batch in batches:
+            keys, found, counts = batch.column("pkey"), [], []
+            for lang, en, tr in zip(*(batch.column(c).to_pylist() for c in ("lang", "en", "tr"))):
+                pairs = align(en, tr, by_lang.get(lang) or merged, lang)
+                found += pairs
+                counts.append(len(pairs))
+            if found:
+                en_start, tr_start, score = zip(*found)
+                rows = pa.array(np.repeat(np.arange(len(counts)), counts))
+                yield pa.RecordBatch.from_arrays([keys.take(rows), pa.array(en_start, pa.int32()), pa.array(tr_start, pa.int32()), pa.array(score, pa.float64())], names=["pkey", "en_start", "tr_start", "score"])
+
+    return run
+
+
+def glossary_terms(glossary: DataFrame, most: int = MOST_TERMS) -> dict[str, dict[str, list[str]]]:
+    """The glossary by language, in the order of its terms. It goes to every task, so its size is checked: beyond ``most``
+    rows (some 5 MB) this is an error."""
+    rows = glossary.where("en_term is not null and tr_term is not null and lang is not null").select("lang", "en_term", "tr_term").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"the glossary has more than {most} terms")
+    out: dict[str, dict[str, list[str]]] = defaultdict(lambda: defaultdict(list))
+    for lang, en, tr in sorted(rows):
+        out[lang][en.lower()].append(unicodedata.normalize("NFC", tr))
+    return {k: dict(v) for k, v in out.items()}
 
 
 def aligned(rows: DataFrame, glossary: DataFrame) -> DataFrame:
@@ -478,4 +479,4 @@ def aligned(rows: DataFrame, glossary: DataFrame) -> DataFrame:
         .select((F.col("row_id") * 100 + F.col("pos")).alias("pkey"), "lang", F.col("z.e").alias("en"), F.col("z.t").alias("tr"))
         .where(not_blank(F.col("en")) & not_blank(F.col("tr")))
     )
-    return with_terms(both, glossary).select("pkey", "lang", "en", "tr", "en_terms", "tr_terms").mapInArrow(_aligner, PAIRS)
+    return both.select("pkey", "lang", "en", "tr").mapInArrow(_aligner(glossary_terms(glossary)), PAIRS)

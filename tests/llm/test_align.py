@@ -104,8 +104,7 @@ def test_operator(spark):
     got = aligned(spark.createDataFrame(rows[:3], schema), g).collect()
     assert {(r.pkey, r.en_start > 0) for r in got} == {(100, False), (100, True), (300, False)} and len(got) == 5
     assert aligned(spark.createDataFrame(rows[3:], schema), g.limit(0)).count() >= 1000
-    terms = {r.lang: (r.en_terms, r.tr_terms) for r in A.with_terms(spark.createDataFrame([("hi", "In JULY it rains"), (None, "july"), ("bn", "June")], "lang string, en string"), g).collect()}
-    assert terms == {"hi": (["july"], ["जुलाई"]), None: (["july"], ["जुलाई"]), "bn": ([], [])}
-    with pytest.raises(Exception, match="more than 0 terms"):
-        A.with_terms(spark.createDataFrame([("hi", "x")], "lang string, en string"), g, most=0).collect()
+    assert A.glossary_terms(g) == {"hi": {"july": ["जुलाई"]}}
+    with pytest.raises(ValueError, match="more than 0 terms"):
+        A.glossary_terms(g, most=0)
     assert aligned(spark.createDataFrame(rows, schema).limit(0), g).count() == 0
