@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
@@ -43,14 +44,27 @@ def hamming(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
 
 
+@lru_cache(maxsize=1 << 17)
+def _slot(token: str, size: int) -> tuple[int, float]:
+    """Place and sign of a token, from its MD5: any engine can repeat them."""
+    d = hashlib.md5(token.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()
+    return int.from_bytes(d[1:5], "big") % size, 1.0 if d[0] >= 0x80 else -1.0
+
+
+def token_counts(tokens: list[str], size: int = 256) -> np.ndarray:
+    """Tokens counted at their places, with their signs: whole numbers."""
+    v = np.zeros(size)
+    for t in tokens:
+        at, sign = _slot(t, size)
+        v[at] += sign
+    return v
+
+
 def encode(tokens: list[str], size: int = 256) -> np.ndarray:
     """A vector of hashed token counts, scaled to length 1: deterministic, trained on nothing."""
-    v = np.zeros(size, np.float32)
-    for t in tokens:
-        h = xxhash.xxh64_intdigest(t)
-        v[h % size] += 1.0 if h >> 63 else -1.0
-    n = float(np.sqrt((v * v).sum()))
-    return v / n if n else v
+    v = token_counts(tokens, size)
+    n = np.sqrt((v * v).sum())
+    return (v / n if n else v).astype(np.float32)
 
 
 def hashed_encoder(size: int = 256):

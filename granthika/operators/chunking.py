@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from granthika.functions.text import content_tags, encoder_tokens, split_sentences, words
-from granthika.functions.vectors import encode
+from granthika.functions.vectors import token_counts
 
 SIZE, STEP_BACK = 80, 20
 STRATEGIES = ("passage", "sentence_window", "sliding_window", "semantic", "metadata_aware")
@@ -77,9 +77,12 @@ def semantic(df: DataFrame, percentile: float = 80.0, least_sentences: int = 3,
 def _groups(token_lists, word_counts, percentile: float, most_words: int) -> list[int]:
     """For each sentence the number of its group. A group ends where the distance to the next sentence
     is at or above the percentile of all distances, or once it holds ``most_words`` words."""
-    vectors = np.stack([encode(list(t)) for t in token_lists])
-    distance = 1.0 - (vectors[:-1] * vectors[1:]).sum(axis=1)
-    limit = np.percentile(distance, percentile)
+    v = np.stack([token_counts(list(t)) for t in token_lists])
+    length = np.sqrt((v * v).sum(axis=1))
+    both = length[:-1] * length[1:]
+    # a sentence without a token is like no other; distances count to nine decimals
+    distance = np.round(1.0 - np.divide((v[:-1] * v[1:]).sum(axis=1), both, out=np.zeros(len(both)), where=both > 0), 9)
+    limit = np.round(np.percentile(distance, percentile), 9)
     out, group, held = [], 0, 0
     for i, n in enumerate(word_counts):
         out.append(group)

@@ -188,6 +188,34 @@ sliding as (
   select owner, cast(j as int) as pos, cast(n as int) as n_parts, case when n = 1 then text else array_to_string(w[j * 60 + 1:j * 60 + 80], ' ') end as text
   from (select *, unnest(range(0, n)) as j from counted))
 """
+# neighbours by hashed token counts; a group ends at a distance from the 80th percentile on, or with 200 words
+SEMANTIC = rf"""
+stoks as (select owner, g, lower(t) as t from (select owner, g, unnest(regexp_extract_all(s, '[\p{{L}}\p{{M}}\p{{N}}]+')) as t from sentences)),
+scnt as (select owner, g, substr(md5(t), 9, 2) as b, sum(case when substr(md5(t), 1, 1) >= '8' then 1 else -1 end)::double as c from stoks group by all),
+slen as (select owner, g, sqrt(sum(c * c)) as n from scnt group by all),
+sdot as (select a.owner, a.g, sum(a.c * z.c) as d from scnt a join scnt z on z.owner = a.owner and z.g = a.g + 1 and z.b = a.b group by all),
+snum as (select *, count(*) over (partition by owner) as n_sents from sentences),
+dist as (
+  select s.owner, s.g, round(1 - coalesce(case when x.n * y.n > 0 then d / (x.n * y.n) end, 0), 9) as dist
+  from snum s left join sdot using (owner, g) left join slen x on x.owner = s.owner and x.g = s.g left join slen y on y.owner = s.owner and y.g = s.g + 1
+  where s.g < s.n_sents and s.n_sents >= 3),
+lims as (select owner, round(quantile_cont(dist, 0.8), 9) as l from dist group by 1),
+swords as (
+  select s.owner, s.g, s.s, len({WORDS.replace('@', 's.s')}) as n, coalesce(dist >= l, false) as far
+  from snum s join lims using (owner) left join dist using (owner, g)),
+walk as (
+  select owner, g, 0 as grp, n as held from swords where g = 1
+  union all
+  select w.owner, w.g, case when p.held >= 200 or q.far then p.grp + 1 else p.grp end, case when p.held >= 200 or q.far then w.n else p.held + w.n end
+  from walk p join swords q on q.owner = p.owner and q.g = p.g join swords w on w.owner = p.owner and w.g = p.g + 1),
+semantic as (
+  select owner, grp as pos, cast(count(*) over (partition by owner) as int) as n_parts, text
+  from (select owner, cast(grp as int) as grp, string_agg(s, ' ' order by g) as text from walk join swords using (owner, g) group by all)
+  union all
+  select t.owner, 0, 1, t.text from texts t left join lims using (owner) where l is null)
+"""
+EVERY = "select owner, 'passage' as strategy, text from texts union all select owner, 'sentence_window', text from windows union all select owner, 'sliding_window', text from sliding union all select owner, strategy, text from aware"
+COUNTED = "select strategy, count(*) as n_chunks, count(distinct owner) as passages, round(count(*) / count(distinct owner), 2) as chunks_per_passage, round(count(*) * 384 * 4 / 1e6, 1) as index_mb, max(length(text)) as longest from every group by 1"
 SQL = {
     "extracted_passages": EXTRACTED + "select row_id, pos, text, is_selected from extracted",
     "extracted_english": "with " + _extracted_sql("English_passages") + "select row_id, pos, text, is_selected from extracted",
@@ -211,10 +239,10 @@ SQL = {
     "chunk_passage": "select doc_id as owner, 'passage' as strategy, 0 as pos, 1 as n_parts, t as text from passage_store",
     "chunk_sentence_window": f"with {TEXTS}, {SENTENCES} select owner, 'sentence_window' as strategy, pos, n_parts, text, window_text from windows",
     "chunk_sliding_window": f"with {TEXTS}, {SLIDING} select owner, 'sliding_window' as strategy, pos, n_parts, text from sliding",
+    "chunk_semantic": f"with recursive {TEXTS}, {SENTENCES}, {SEMANTIC} select owner, 'semantic' as strategy, pos, n_parts, text from semantic",
     "chunk_metadata_aware": f"with {TEXTS}, {SENTENCES}, {TAGGED} select owner, strategy, pos, n_parts, text, tags from aware",
-    "chunk_stats": f"""with {TEXTS}, {SENTENCES}, {TAGGED}, {SLIDING},
-      every as (select owner, 'passage' as strategy, text from texts union all select owner, 'sentence_window', text from windows union all select owner, 'sliding_window', text from sliding union all select owner, strategy, text from aware)
-      select strategy, count(*) as n_chunks, count(distinct owner) as passages, round(count(*) / count(distinct owner), 2) as chunks_per_passage, round(count(*) * 384 * 4 / 1e6, 1) as index_mb, max(length(text)) as longest from every group by 1""",
+    "chunk_stats": f"with {TEXTS}, {SENTENCES}, {TAGGED}, {SLIDING}, every as ({EVERY}) {COUNTED}",
+    "chunk_stats_all": f"with recursive {TEXTS}, {SENTENCES}, {TAGGED}, {SLIDING}, {SEMANTIC}, every as ({EVERY} union all select owner, 'semantic', text from semantic) {COUNTED}",
 }
 QUERIES = {
     f: globals()[f]

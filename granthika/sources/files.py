@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granthika.functions.vectors import norm
+
 QRELS = "q string, rel array<string>"
 #: vectors per file, so that a file stays readable on one machine
 SHARD_ROWS = 200_000
@@ -27,6 +29,14 @@ def first_over_shards(vectors: DataFrame, most: int | None = None) -> DataFrame:
     return first if most is None else first.orderBy("vec_id").limit(most)
 
 
+def unit_shards(vectors: DataFrame, low: float = 0.99, high: float = 1.01) -> DataFrame:
+    """``shard, n, mean_norm`` of each shard; a shard whose mean length is not within ``low`` and ``high`` is an error when
+    it is read, so that no index is made of it. Null vectors are left out."""
+    per = vectors.where("embedding is not null").groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.avg(norm(F.col("embedding"))).alias("mean_norm"))
+    wrong = F.raise_error(F.concat(F.lit("vectors not of length 1 in "), F.col("shard")))
+    return per.withColumn("mean_norm", F.when(F.col("mean_norm").between(low, high), F.col("mean_norm")).otherwise(wrong.cast("double")))
+
+
 def append_jsonl(qrels: DataFrame, folder: str) -> None:
     """Answer-key rows as JSON lines, added to what is there."""
     qrels.select("q", "rel").write.mode("append").json(folder)
