@@ -116,6 +116,13 @@ def consistency(hits: DataFrame, store: DataFrame) -> DataFrame:
     return named.join(have, "doc_id", "left").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("refs"), F.count(F.lit(1)).alias("ids"), F.count_if(F.col("have").isNull()).alias("ids_without_text"))
 
 
+def assert_consistent(hits: DataFrame, store: DataFrame) -> DataFrame:
+    """``consistency``, which ends in an error when it is read if an id has no text."""
+    c = consistency(hits, store)
+    wrong = F.raise_error(F.concat(F.col("ids_without_text").cast("string"), F.lit(" ids have no text"))).cast("bigint")
+    return c.withColumn("ids_without_text", F.when(F.col("ids_without_text") == 0, F.col("ids_without_text")).otherwise(wrong))
+
+
 def with_default(df: DataFrame, dimension: DataFrame, key: str, value: str, default: str) -> DataFrame:
     """``df`` with ``value`` looked up in ``dimension`` (``key, value``; one row per key), else ``default``.
 

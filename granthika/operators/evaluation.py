@@ -153,6 +153,16 @@ def percentiles(df: DataFrame, keys: list[str], value: str, percents: tuple[int,
 BLOCK = 20_000
 
 
+def numbered(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """``df`` with ``_at``, the number of each row (from 0) among its ``key``'s in ``order``, and ``_all``, how many they are.
+
+    Rows are numbered within ranges of ``key, order`` and the ranges' sizes added, so a hot key is no single task's."""
+    rows = ranged(df, key, *order)
+    local = rows.withColumn("_local", F.row_number().over(Window.partitionBy("_range", key).orderBy(*order)) - 1)
+    placed = _with_bases(local, [key], before_ranges(rows, [key], F.count(F.lit(1))))
+    return placed.select(*df.columns, (F.col("_before") + F.col("_local")).alias("_at"), "_all")
+
+
 def rolling(hits: DataFrame, key: str, order: list[str], value: str, frame: int = 100, block: int = BLOCK) -> DataFrame:
     """Floor-rank percentiles of the last ``frame`` values per ``key``: ``key, order..., n, p50, p70, p100``.
 
@@ -160,13 +170,10 @@ def rolling(hits: DataFrame, key: str, order: list[str], value: str, frame: int
     each block are carried over into the next, so a hot key is spread over as many tasks as it has blocks.
     """
     block = max(block, frame)
-    rows = ranged(hits.where(F.col(value).isNotNull()).select(key, *order, value), key, *order)
-    local = rows.withColumn("_local", F.row_number().over(Window.partitionBy("_range", key).orderBy(*order)) - 1)
-    numbered = _with_bases(local, [key], before_ranges(rows, [key], F.count(F.lit(1))))
-    at = F.col("_before") + F.col("_local")
+    at = F.col("_at")
     own = F.floor(at / block)
     carried = F.when((F.pmod(at, F.lit(block)) > block - frame) & ((own + 1) * block < F.col("_all")), F.array(own, own + 1)).otherwise(F.array(own))
-    blocks = numbered.select(key, *order, value, at.alias("_at"), own.alias("_own"), F.explode(carried).alias("_block"))
+    blocks = numbered(hits.where(F.col(value).isNotNull()).select(key, *order, value), key, order).select(key, *order, value, "_at", own.alias("_own"), F.explode(carried).alias("_block"))
     w = Window.partitionBy(key, "_block").orderBy("_at").rowsBetween(-(frame - 1), 0)
     v = blocks.withColumn("_v", F.array_sort(F.collect_list(value).over(w))).where(F.col("_block") == F.col("_own"))
     return v.select(key, *order, F.size("_v").alias("n"), *[floor_rank(F.col("_v"), p).alias(f"p{p}") for p in (50, 70, 100)])

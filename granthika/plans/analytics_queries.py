@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granthika.functions.text import HARM, INJECTION, LABELS, STOPWORDS, grounding, normalize_answer, numbered_context, screen, tokens, violations
+from granthika.functions import wire
 from granthika.operators import evaluation
 from granthika.plans.corpus_queries import STRIP, S
+from granthika.sources.files import QRELS
 from granthika.sources.tables import strip, table
 from granthika.streaming import events
 
 FLOOR, GROUNDED = 0.80, 0.8
+EVENT_TYPES = ("view", "click", "signup", "purchase", "error")
 
 
 def safety_screen(spark: SparkSession, sf: str) -> DataFrame:
@@ -101,16 +104,70 @@ def hit_recall(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def event_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return events.of_responses(table(spark, sf, "responses")).select("query_id", "seq", "type", "stage", "ms")
+    """The logged events of every user, numbered in their order."""
+    e = table(spark, sf, "events").select("user_id", "ts", "event_id", "event_type")
+    return evaluation.numbered(e, "user_id", ["ts", "event_id"]).select("user_id", "event_id", F.col("_at").alias("seq"), "event_type")
 
 
 def event_contract(spark: SparkSession, sf: str) -> DataFrame:
-    return events.contract(events.of_responses(table(spark, sf, "responses")))
+    """The logged events of each user and day: how many, whether all types are known, the first and the last one, whether
+    something went wrong behind the last purchase, and how the day ended."""
+    e = table(spark, sf, "events").where("user_id is not null and ts is not null")
+    at = F.struct("ts", "event_id")
+    last = lambda kind: F.max(F.when(F.col("event_type") == kind, at))
+    per = e.groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(
+        F.count(F.lit(1)).alias("n_events"),
+        F.coalesce(F.bool_and(F.col("event_type").isin(*EVENT_TYPES)), F.lit(True)).alias("known"),
+        F.min_by("event_type", at).alias("first_type"),
+        F.max_by("event_type", at).alias("last_type"),
+        last("purchase").alias("_p"),
+        last("error").alias("_e"),
+    )
+    failed = F.col("_e").isNotNull() & (F.col("_p").isNull() | (F.col("_e") > F.col("_p")))
+    state = F.when(failed, "failed").when(F.col("_p").isNotNull(), "bought").otherwise("open")
+    return per.select("user_id", "day", "n_events", "known", "first_type", "last_type", state.alias("state"))
 
 
 def hold_back(spark: SparkSession, sf: str) -> DataFrame:
-    """Tokens of each answer as they are released, with the sentinel's prefixes held back."""
-    return events.released(events.token_stream(table(spark, sf, "responses")))
+    """The stored pieces of each text as they would be shown one by one, with the sentinel's prefixes held back."""
+    c = table(spark, sf, "chunks").where("text is not null").select(F.concat_ws("|", "doc_id", "strategy").alias("query_id"), F.struct("pos", "chunk_id").alias("seq"), F.col("text").alias("piece"))
+    return events.released(c).select("query_id", F.col("seq.chunk_id").alias("chunk_id"), F.md5("text").alias("text_md5"))
+
+
+def timings_total(spark: SparkSession, sf: str) -> DataFrame:
+    """The total of each request as the sum of its timings, and whether the logged total agrees."""
+    r = table(spark, sf, "responses").where("timings_ms is not null")
+    total = F.round(F.aggregate(F.map_values("timings_ms"), F.lit(0.0), lambda s, v: s + F.coalesce(v, F.lit(0.0))), 2)
+    return r.select("query_id", total.alias("sum_ms"), (F.abs(total - F.col("total_ms")) < 0.011).alias("agrees"))
+
+
+def qrels_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The answer key through JSON lines and back under a fixed schema."""
+    line = F.to_json(F.struct("q", "rel"))
+    back = table(spark, sf, "qrels").select("qrel_id", F.from_json(line, QRELS).alias("r"))
+    return back.select("qrel_id", "r.q", F.array_join(F.transform("r.rel", lambda x: F.coalesce(x, F.lit("-"))), ",").alias("rel"))
+
+
+def wire_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions as they travel: prefixed for a search model, as base64 and back, as a line of an event stream and back."""
+    q = table(spark, sf, "qrels").where("q is not null")
+    line = F.concat(F.lit("data: "), F.to_json(F.struct(F.array(F.struct(F.struct(F.col("q").alias("content")).alias("delta"))).alias("choices"))))
+    media = F.concat(F.lit("audio/"), F.coalesce("lang", F.lit("unk")), F.lit(";codecs=opus"))
+    return q.select(
+        "qrel_id",
+        F.md5(wire.query_text(F.col("q"))).alias("query_md5"),
+        F.md5(wire.passage_text(F.col("q"))).alias("passage_md5"),
+        F.octet_length(wire.audio_bytes(F.base64(F.encode("q", "UTF-8")))).alias("n_bytes"),
+        F.md5(wire.stream_delta(line)).alias("delta_md5"),
+        wire.extension(media).alias("ext"),
+    )
+
+
+def retry_waits(spark: SparkSession, sf: str) -> DataFrame:
+    """How often each request was logged, and how long a client that backs off would have waited in all."""
+    n = table(spark, sf, "requests").where("query_id is not null").groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    waits = F.aggregate(F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("n")), lambda i: F.when(i < F.col("n") - 1, wire.backoff(i)).otherwise(0.0)), F.lit(0.0), lambda s, v: s + v)
+    return n.select("query_id", "n", waits.alias("waited_s"))
 
 
 # ---- SQL ---------------------------------------------------------------------------------------
@@ -158,33 +215,25 @@ SQL = {
       select count(*) as n_queries, {', '.join(f'round(avg(case when first <= {k} then 1.0 else 0.0 end), 6) as recall_at_{k}' for k in evaluation.CUTS)}, round(avg(coalesce(1.0 / first, 0.0)), 6) as mrr
       from (select distinct query_id from asked) left join f using (query_id)""",
 }
-EVENTS = f"""
-parts as (
-  select query_id, coalesce(list_position({STAGE_LIST}, e.key) - 1, 50) * 2 as place, 'stage' as type, e.key as stage, e.value as ms from (select query_id, unnest(map_entries(timings_ms)) as e from responses)
-  union all select query_id, 9, 'passages', null, null from responses where passages is not null
-  union all select query_id, 13, 'token', null, null from responses where answer is not null
-  union all select query_id, 101, 'refusal', null, null from responses where refused
-  union all select query_id, 102, 'done', null, total_ms from responses),
-event_list as (select query_id, cast(row_number() over (partition by query_id order by place, type, stage) - 1 as int) as seq, type, stage, ms from parts)
-"""
 HELD = f"""
-pieces as (
-  select query_id, pos - 1 as seq, piece from (
-    select query_id, unnest(p) as piece, generate_subscripts(p, 1) as pos
-    from (select query_id, regexp_extract_all(coalesce(answer, case when refused then '{events.SENTINEL}' end), '\\s*\\S{{1,6}}') as p from responses))),
+pieces as (select concat_ws('|', doc_id, strategy) as query_id, chunk_id, text as piece, row_number() over (partition by doc_id, strategy order by pos, chunk_id) as seq from chunks where text is not null),
 grown as (select *, string_agg(piece, '' order by seq) over (partition by query_id order by seq) as so_far from pieces),
 flagged as (select *, starts_with('{events.SENTINEL}', trim(so_far)) as held from grown),
 shown as (select *, coalesce(bool_and(held) over (partition by query_id order by seq rows between unbounded preceding and 1 preceding), true) as before from flagged)
 """
 SQL |= {
-    "event_rows": f"with {EVENTS} select * from event_list",
-    "event_contract": f"""select query_id, coalesce(len(map_keys(timings_ms)), 0) + (passages is not null)::int + (answer is not null)::int + coalesce(refused, false)::int + 1 as n_events,
-      coalesce(len(list_filter(map_keys(timings_ms), lambda x: not list_contains({STAGE_LIST}, x))) = 0, true) as known, true as done_last,
-      case when refused then 'refused' when answer is not null then 'answered' when passages is not null then 'passages' else 'broken' end as ending,
-      case when refused and answer is not null then 'unverified' when refused then 'refused' else 'done' end as state from responses""",
-    "hold_back": f"with {HELD} select query_id, seq, case when before then so_far else piece end as text from shown where not held",
+    "event_rows": "select user_id, event_id, row_number() over (partition by user_id order by ts, event_id) - 1 as seq, event_type from events",
+    "event_contract": """with e as (select user_id, strftime(ts, '%Y-%m-%d') as day, event_type as t, {'a': ts, 'b': event_id} as w from events where user_id is not null and ts is not null),
+      g as (select user_id, day, count(*) as n_events, coalesce(bool_and(t in ('view', 'click', 'signup', 'purchase', 'error')), true) as known, arg_min(t, w) as first_type, arg_max(t, w) as last_type,
+        max(w) filter (t = 'purchase') as p, max(w) filter (t = 'error') as f from e group by 1, 2)
+      select user_id, day, n_events, known, first_type, last_type, case when f is not null and (p is null or f > p) then 'failed' when p is not null then 'bought' else 'open' end as state from g""",
+    "hold_back": f"with {HELD} select query_id, chunk_id, md5(case when before then so_far else piece end) as text_md5 from shown where not held",
+    "timings_total": "select query_id, round(list_sum(list_transform(map_values(timings_ms), lambda x: coalesce(x, 0))), 2) as sum_ms, abs(round(list_sum(list_transform(map_values(timings_ms), lambda x: coalesce(x, 0))), 2) - total_ms) < 0.011 as agrees from responses where timings_ms is not null",
+    "qrels_lines": "select qrel_id, q, array_to_string(list_transform(rel, lambda x: coalesce(x, '-')), ',') as rel from qrels",
+    "wire_texts": "select qrel_id, md5('query: ' || q) as query_md5, md5('passage: ' || q) as passage_md5, strlen(q) as n_bytes, md5(q) as delta_md5, coalesce(lang, 'unk') as ext from qrels where q is not null",
+    "retry_waits": "select query_id, count(*) as n, coalesce(list_sum(list_transform(range(0, count(*) - 1), lambda i: least(4.0, 0.25 * pow(2, i)))), 0)::double as waited_s from requests where query_id is not null group by 1",
 }
 QUERIES = {
     f: globals()[f]
-    for f in "safety_screen screen_counts answer_grounding grounding_detail answers_normalized prompt_context relevance_floor refusal_counts latency_report latency_floor_rank stage_waterfall budget_flags rolling_history event_percentiles score_separation hit_recall event_rows event_contract hold_back".split()
+    for f in "safety_screen screen_counts answer_grounding grounding_detail answers_normalized prompt_context relevance_floor refusal_counts latency_report latency_floor_rank stage_waterfall budget_flags rolling_history event_percentiles score_separation hit_recall event_rows event_contract hold_back timings_total qrels_lines wire_texts retry_waits".split()
 }

@@ -9,11 +9,22 @@ from pyspark.sql import functions as F
 SPACE = r"[\s\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
+# ---- fixed values: languages of the source rows, by code
+LANGUAGES = ("as", "bn", "gu", "hi", "kn", "ml", "mr", "ne", "or", "pa", "sa", "ta", "ur")
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One Parquet table of a data folder; columns and filters are pushed into the scan by Catalyst."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def of_language(rows: DataFrame, lang: str, column: str = "lang") -> DataFrame:
+    """The rows of one language; a code that is none is an error that lists the known ones."""
+    if lang not in LANGUAGES:
+        raise ValueError(f"unknown language {lang!r}; known: {', '.join(LANGUAGES)}")
+    return rows.where(F.col(column) == lang)
+
+
 #: the same characters one by one
 SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 

@@ -1,4 +1,4 @@
-"""Event rows of requests: building them, checking their contract, holding back a sentinel."""
+"""Event rows: checking their contract, holding back a sentinel."""
 
 from __future__ import annotations
 
@@ -15,27 +15,6 @@ SENTINEL = "NOT_IN_CONTEXT"
 TYPES = ("transcript", "stage", "passages", "token", "refusal", "done", "error")
 
 
-def of_responses(responses: DataFrame) -> DataFrame:
-    """``query_id, seq, type, stage, ms, text``: the events of each response, in order.
-
-    A stage event per timed stage, the passages, the answer as a token, a refusal if there was one,
-    and ``done`` last with the total. Null maps and answers give no such events.
-    """
-    order = F.create_map(*[x for i, s in enumerate(STAGES) for x in (F.lit(s), F.lit(i))])
-    nothing = F.lit(None)
-    event = lambda at, kind, stage=nothing, ms=nothing, text=nothing: F.struct(at.cast("int").alias("at"), F.lit(kind).alias("type"), stage.cast("string").alias("stage"), ms.cast("double").alias("ms"), text.cast("string").alias("text"))
-    stages = F.transform(F.map_entries(F.coalesce("timings_ms", F.create_map().cast("map<string,double>"))), lambda e: event(F.coalesce(order[e["key"]], F.lit(50)) * 2, "stage", e["key"], e["value"]))
-    one = lambda when, e: F.when(when, F.array(e)).otherwise(F.array().cast("array<struct<at:int,type:string,stage:string,ms:double,text:string>>"))
-    every = F.concat(
-        stages,
-        one(F.col("passages").isNotNull(), event(F.lit(9), "passages")),
-        one(F.col("answer").isNotNull(), event(F.lit(13), "token", text=F.col("answer"))),
-        one(F.coalesce("refused", F.lit(False)), event(F.lit(101), "refusal", text=F.col("refusal_reason"))),
-        F.array(event(F.lit(102), "done", ms=F.col("total_ms"))),
-    )
-    return responses.select("query_id", F.posexplode(F.array_sort(every)).alias("seq", "e")).select("query_id", "seq", "e.type", "e.stage", "e.ms", "e.text")
-
-
 def contract(events: DataFrame) -> DataFrame:
     """``query_id, n_events, known, done_last, ending, state`` for each request.
 
@@ -56,29 +35,22 @@ def contract(events: DataFrame) -> DataFrame:
     return per.select("query_id", "n_events", "known", ((F.col("last") == "done") & (F.col("dones") == 1)).alias("done_last"), ending.alias("ending"), state.alias("state"))
 
 
-def token_stream(responses: DataFrame) -> DataFrame:
-    """``query_id, seq, piece``: answers as pieces, a word and the white space before it each.
-
-    Refused answers without a text stream the sentinel, as a model would.
-    """
-    answer = F.coalesce("answer", F.when(F.col("refused"), F.lit(SENTINEL)))
-    return responses.select("query_id", F.posexplode(F.regexp_extract_all(answer, F.lit(r"\s*\S{1,6}"), F.lit(0))).alias("seq", "piece"))
-
-
 def released(stream: DataFrame) -> DataFrame:
     """``query_id, seq, text``: what is shown at each piece, once no sentinel can come any more.
 
-    Pieces are held back while all of them together, stripped, are a prefix of the sentinel; the
-    first piece that breaks it releases what was held. An answer that is the sentinel shows nothing.
+    ``stream`` has ``query_id, seq, piece``. Pieces are held back while all of them together, stripped, are a prefix of the
+    sentinel; the first piece that breaks it releases what was held. An answer that is the sentinel shows nothing.
+    Only the pieces before the sentinel's length is reached are put together, by a running sum.
     """
-    so_far = Window.partitionBy("query_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    head = F.trim(F.array_join(F.slice(F.collect_list("piece").over(so_far), 1, len(SENTINEL) + 1), ""))
-    held = F.lit(SENTINEL).startswith(head)
-    flagged = stream.withColumn("held", held)
     before = Window.partitionBy("query_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    first = ~F.col("held") & F.coalesce(F.bool_and("held").over(before), F.lit(True))
-    kept = F.array_join(F.collect_list("piece").over(so_far), "")
-    return flagged.select("query_id", "seq", "held", F.when(first, kept).otherwise(F.col("piece")).alias("text")).where("not held").select("query_id", "seq", "text")
+    seen = F.coalesce(F.sum(F.length(F.regexp_replace("piece", r"\s+", ""))).over(before), F.lit(0))
+    placed = stream.select("query_id", "seq", "piece", seen.alias("_seen"))
+    heads = placed.where(F.col("_seen") <= len(SENTINEL)).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("seq", "piece"))).alias("h"))
+    upto = lambda i: F.array_join(F.slice("h", F.lit(1), i)["piece"], "")
+    held = F.size(F.filter(F.sequence(F.lit(1), F.size("h")), lambda i: F.lit(SENTINEL).startswith(F.trim(upto(i)))))
+    first = heads.withColumn("_n", held).select("query_id", F.get("h", F.col("_n"))["seq"].alias("_first"), upto(F.col("_n") + 1).alias("_text"))
+    shown = placed.join(first, "query_id").where(F.col("seq") >= F.col("_first"))
+    return shown.select("query_id", "seq", F.when(F.col("seq") == F.col("_first"), F.col("_text")).otherwise(F.col("piece")).alias("text"))
 
 
 def release_stream(stream: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from granthika.functions import vectors as V
 from granthika.operators import chunking, corpus, dense, evaluation, lexical, orphans
-from granthika.operators.skew import hot_keys
+from granthika.operators.skew import hot_keys, skew_join
 
 ROWS = "row_id bigint, lang string, query string, passages struct<English_passages:array<string>,Translated_passages:array<string>,is_selected:array<bigint>>, batch string"
 
@@ -114,6 +114,21 @@ def test_dense_against_numpy(spark, form):
         assert got[i] == sorted((j for j in range(len(x)) if j != i), key=lambda j: (-s[i, j], j))[:5]
 
 
+def test_dense_in_place_and_in_blocks_agree(spark):
+    _, df = vectors(spark, n=90)
+    many = df.unionByName(df.select((F.col("vec_id") + 1000).alias("vec_id"), "embedding")).unionByName(df.limit(1).select(F.lit(5000).cast("bigint").alias("vec_id"), F.lit(None).cast("array<float>").alias("embedding")))
+    q = many.where("vec_id % 20 = 0")
+    a = dense.ranked(dense.candidates(q, many.repartition(5), 4), 4).collect()
+    b = dense.ranked(dense.candidates(q, many, 4, query_block=3, corpus_block=40), 4).collect()
+    assert sorted(map(tuple, a)) == sorted(map(tuple, b)) and len(a) == 4 * q.where("embedding is not null").count()
+
+
+def test_dense_keeps_no_more_than_k_of_equal_rows(spark):
+    same = spark.range(3000).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.lit(0.0)).cast("array<float>").alias("embedding"))
+    c = dense.candidates(same.where("vec_id < 2"), same.repartition(4), 3)
+    assert c.count() <= 2 * 3 * 4 and {(r.query_id, r.hit_id) for r in dense.ranked(c, 3).collect()} == {(0, 1), (0, 2), (0, 3), (1, 0), (1, 2), (1, 3)}
+
+
 def test_packed_signs_and_norms(spark):
     x, df = vectors(spark, d=70)
     a = df.withColumn("b", V.sign_bits(F.col("embedding"))).withColumn("n", V.norm(V.normalized(F.col("embedding"))))
@@ -291,6 +306,54 @@ def test_dictionary_is_dense_and_stable(spark):
     assert {r.code for r in orphans.decode(bits).collect()} == set(a.values())
 
 
+def test_compressed_ranges(spark):
+    rng = random.Random(4)
+    a, b = ({rng.randrange(100_000) for _ in range(3000)} for _ in "ab")
+    frame = lambda x: spark.createDataFrame([("t", c) for c in x], "tbl string, code bigint")
+    left, right = orphans.bitmap(frame(a), "tbl"), orphans.bitmap(frame(b), "tbl")
+    assert left.count() <= 100_000 // (64 * orphans.WORDS) + 1
+    assert {r.code for r in orphans.decode(orphans.and_not(left, right, "tbl"), "tbl").collect()} == a - b
+
+
+def test_orphans_of_a_hot_key_that_does_not_fail(spark):
+    refs = spark.range(3000).select(F.lit("t").alias("tbl"), F.col("id").alias("rec_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 7)).alias("doc_id"), F.lit("2025-03-02").cast("timestamp_ntz").alias("at"))
+    own = spark.createDataFrame([("Hot.",), ("k1",)], "doc_id string").select("doc_id", F.lit("2025-01-01").cast("timestamp_ntz").alias("stored_at"), F.lit(None).cast("timestamp_ntz").alias("deleted_at"))
+    found = orphans.orphans(refs, own).collect()
+    assert len(found) == refs.where("doc_id not in ('hot', 'k1')").count() and {r.reason for r in found} == {"missing"}
+
+
+def test_skew_join(spark):
+    big = spark.range(2000).select(F.when(F.col("id") % 2 == 0, "hot").when(F.col("id") % 5 == 0, None).otherwise(F.concat(F.lit("k"), F.col("id") % 300)).alias("k"), "id", F.lit(1).alias("_x"))
+    small = spark.createDataFrame([("hot", 1), ("hot", 2), ("k1", 3), (None, 4)], "k string, v int")
+    want = sorted(map(tuple, big.join(small, "k").select("k", "id", "v").collect()))
+    for most, least in ((10, 64), (1000, 10**6)):
+        assert sorted(map(tuple, skew_join(big, small, ["k"], F.col("id"), most=most, least=least).select("k", "id", "v").collect())) == want
+    semi = skew_join(big, small.select("k"), ["k"], F.col("id"), how="left_semi")
+    assert semi.count() == big.where("k in ('hot', 'k1')").count() and skew_join(big.limit(0), small, ["k"], F.col("id")).count() == 0
+
+
+def test_percentiles_against_numpy(spark):
+    rng = random.Random(6)
+    rows_ = [(rng.choice(["a", "b", None]), round(rng.choice([rng.random(), 0.5]), 3)) for _ in range(900)] + [("one", 7.0), ("none", None)]
+    got = {r.k: r for r in evaluation.percentiles(spark.createDataFrame(rows_, "k string, v double"), ["k"], "v").collect()}
+    assert set(got) == {"a", "b", None, "one"}
+    for k, r in got.items():
+        v = [x for y, x in rows_ if y == k and x is not None]
+        assert r.n == len(v) and np.allclose([r.p50, r.p70, r.p100], np.percentile(v, [50, 70, 100]))
+
+
+def test_bm25_of_many_terms_goes_by_shuffle(spark):
+    rng = random.Random(8)
+    word = lambda: f"w{min(rng.randrange(40), rng.randrange(40))}"
+    docs = spark.createDataFrame([(f"d{i}", " ".join(word() for _ in range(rng.randint(0, 30)))) for i in range(200)] + [("null", None)], "doc_id string, text string")
+    q = spark.createDataFrame([(i, " ".join(word() for _ in range(3))) for i in range(8)] + [(99, "")], "query_id bigint, text string")
+    a, b = (sorted(map(tuple, lexical.bm25(q, docs, 5, most_weights=m).collect())) for m in (200_000, 0))
+    assert a == b and len(a) == 40 and lexical.bm25(q, docs.limit(0), 5).count() == 0 == lexical.bm25(q.limit(0), docs, 5).count()
+    post = {(r.term, r.doc_id): (r.tf, r.dl) for r in lexical.postings(docs).collect()}
+    texts = {r.doc_id: (r.text or "").split() for r in docs.collect()}
+    assert post == {(t, d): (w.count(t), len(w)) for d, w in texts.items() for t in w}
+
+
 def test_hot_keys(spark):
     counts = spark.createDataFrame([("a", 500), ("b", 5)], "key string, n bigint")
     assert [r.key for r in hot_keys(counts, most=10, least=100).collect()] == ["a"]

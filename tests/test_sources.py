@@ -64,3 +64,37 @@ def test_lookups(spark):
     assert {(r.k, r.v) for r in latest(df, "k", ["at"], "v").collect()} == {("a", "y"), ("b", None)}
     assert {(r.k, r.name) for r in with_default(df.select("k"), spark.createDataFrame([("a", "A")], "k string, name string"), "k", "name", "-").collect()} == {("a", "A"), (None, "-"), ("b", "-")}
     assert sample_by_hash(df, "v", 2).count() == 2
+
+
+def test_unit_shards(spark):
+    v = spark.createDataFrame([("a", [1.0, 0.0]), ("a", [0.6, 0.8]), ("b", [3.0, 0.0]), ("b", None)], "shard string, embedding array<float>")
+    assert [(r.shard, r.n) for r in files.unit_shards(v.where("shard = 'a'")).collect()] == [("a", 2)]
+    with pytest.raises(Exception, match="not of length 1 in b"):
+        files.unit_shards(v).collect()
+
+
+def test_unknown_language(spark):
+    from granthika.sources.tables import of_language
+
+    rows = spark.createDataFrame([("hi",), ("bn",), (None,)], "lang string")
+    assert of_language(rows, "hi").count() == 1
+    with pytest.raises(ValueError, match="known: as, bn, gu"):
+        of_language(rows, "te")
+
+
+def test_inconsistent_store_ends_in_an_error(spark):
+    from granthika.operators.corpus import assert_consistent
+
+    hits = spark.createDataFrame([("a",), ("b",), (None,)], "doc_id string")
+    assert assert_consistent(hits.where("doc_id = 'a'"), spark.createDataFrame([("a",)], "doc_id string")).first().refs == 1
+    with pytest.raises(Exception, match="1 ids have no text"):
+        assert_consistent(hits, spark.createDataFrame([("a",)], "doc_id string")).collect()
+
+
+def test_checkpoint_folder():
+    from granthika.session import checkpoint_folder
+
+    assert checkpoint_folder("s3://x", "spark://h") == "s3://x" and checkpoint_folder(None, "local[4]")
+    for master in ("spark://h:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            checkpoint_folder(None, master)
