@@ -152,16 +152,27 @@ class Side:
         self.names: dict[str, set[int]] = defaultdict(set)
         self.lines: list[str] = []
         self.total = [0.0] * len(self.spans)
+        self.by_length: dict[int, list[str]] | None = None
 
     def words(self) -> dict[str, set[int]]:
-        """The words of ``lines`` and their sentences."""
+        """The words of ``lines``, of three and more consonants, and their sentences."""
         if not self.names:
             for i, line in enumerate(self.lines):
                 for k in line.split():
-                    if len(k) > 3:
+                    if len(k) > 2:
                         self.names[k].add(i)
         return self.names
 
+    def near(self, k: str) -> set[int]:
+        """The sentences with a word at most one edit from ``k``, which cannot change both its ends."""
+        if self.by_length is None:
+            self.by_length = defaultdict(list)
+            for w in self.words():
+                if len(w) > 3:
+                    self.by_length[len(w)].append(w)
+        first, last, n = k[0], k[-1], len(k)
+        return {j for size in (n - 1, n, n + 1) for w in self.by_length.get(size, ()) if (w[0] == first or w[-1] == last) and near(k, w) for j in self.names[w]}
+
 
 def _english(text: str, terms: dict[str, list[str]], weak: bool) -> Side:
     s = Side(text, "en")
@@ -264,11 +275,7 @@ def align(english: str | None, translated: str | None, terms: dict[str, list[str
         if not spaced:
             ts = {j for j, line in enumerate(t.lines) if k in line} if len(k) >= 4 else set()
         else:
-            whole = f" {k} "
-            ts = {j for j, line in enumerate(t.lines) if whole in line}
-            if not ts and len(k) > 3:  # at most one edit, which cannot change both ends
-                first, last, n = k[0], k[-1], len(k)
-                ts = {j for s, js in t.words().items() if (s[0] == first or s[-1] == last) and -2 < len(s) - n < 2 and near(k, s) for j in js}
+            ts = t.words().get(k) or (t.near(k) if len(k) > 3 else set())
         if ts:
             part = w / min(len(ts), FREQUENT)
             for j in ts:

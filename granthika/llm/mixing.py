@@ -12,10 +12,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granthika.llm.tokens import TOKENIZER, token_count
+from granthika.operators.skew import skew_join
 from granthika.session import cut
 
 MOST_SOURCES = 10_000
-SPREAD = 64
+#: documents of one source and size that one task numbers, about
+PER_BUCKET = 20_000
+#: pairs of a source and a size class up to which their counts are broadcast
+FEW_CLASSES = 100_000
 
 
 def rates(sized: DataFrame, targets: DataFrame, total_tokens: float | None = None) -> DataFrame:
@@ -50,22 +54,24 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: float | None
     return draw(sized, cut(rates(sized, targets, total_tokens)), seed).select("doc_id", "source", "copy_no", "n_tokens")
 
 
-def draw(sized: DataFrame, rate: DataFrame, seed: int = 42) -> DataFrame:
+def draw(sized: DataFrame, rate: DataFrame, seed: int = 42, per_bucket: int = PER_BUCKET) -> DataFrame:
     """Copies of ``sized`` (``doc_id, source, n_tokens``) by ``rate`` (``source, rate``).
 
     The running sum is taken in two levels: within buckets of a source (a size class and a hash), and
-    over the buckets' totals, of which there are at most a few thousand per source; so a source that
-    holds most of the documents is spread over many tasks.
+    over the buckets' totals. A size class has as many buckets as it takes for about ``per_bucket`` documents
+    each, so a source that holds most of the documents is spread over many tasks, and a task never has more.
     """
     if rate.count() > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
     size_class = F.floor(F.log2(F.col("n_tokens").cast("double")) * 8).cast("int")
-    with_rate = (
-        sized.join(F.broadcast(rate.where("rate > 0").select("source", "rate")), "source")
-        .withColumn("_class", size_class)
-        .withColumn("_bucket", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(SPREAD)).cast("int"))
-        .withColumn("_order", F.xxhash64(F.lit(seed), "doc_id"))
-    )
+    drawn = sized.join(F.broadcast(rate.where("rate > 0").select("source", "rate")), "source").withColumn("_class", size_class)
+    classes = cut(drawn.groupBy("source", "_class").agg(F.count(F.lit(1)).alias("n")))
+    buckets = classes.select("source", "_class", F.ceil(F.col("n") / per_bucket).alias("_buckets"))
+    if classes.limit(FEW_CLASSES + 1).count() <= FEW_CLASSES:
+        placed = drawn.join(F.broadcast(buckets), ["source", "_class"])
+    else:
+        placed = skew_join(drawn, buckets, ["source", "_class"], F.col("doc_id"), classes)
+    with_rate = placed.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("_buckets"))).withColumn("_order", F.xxhash64(F.lit(seed), "doc_id")).drop("_buckets")
     # counted in whole documents, so that the buckets' edges meet exactly
     totals = with_rate.groupBy("source", "_class", "_bucket").agg(F.count(F.lit(1)).alias("_count"))
     over = Window.partitionBy("source").orderBy("_class", "_bucket").rowsBetween(Window.unboundedPreceding, -1)
