@@ -55,9 +55,9 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, k1: float = K1, b: fl
     wanted = q.select("term").distinct().unionByName(q.sparkSession.createDataFrame([("",)], "term string"))
     whole = F.array(F.struct(F.lit("").alias("term"), F.col("dl").cast("bigint").alias("tf")))
     each = counted(docs).select("doc_id", "dl", F.explode(F.concat("terms", whole)).alias("_p")).select("_p.term", "doc_id", "_p.tf", "dl")
-    # a document's postings stay together, so that its scores need no shuffle
-    used = cut(each.join(F.broadcast(wanted) if few else wanted, "term", "left_semi").repartition("doc_id"))
+    used = cut(each.join(F.broadcast(wanted) if few else wanted, "term", "left_semi"))
     stats = used.where("term = ''").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("tf").alias("avgdl")).select(F.struct("n_docs", "avgdl").alias("whole")).scalar()
+    # a document's postings come together, so that neither its scores nor their sums need another shuffle
     post = used.where("term <> ''").repartition("doc_id")
     idf = F.log(1 + (stats["n_docs"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = q.join(term_stats(used.where("term <> ''")), "term").select("query_id", "term", (F.col("qf") * idf).alias("w"))
