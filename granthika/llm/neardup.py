@@ -195,7 +195,7 @@ def by_rarest_runs(sets: DataFrame, similarity: float) -> DataFrame:
     sets = cut(sets.select("cls", F.transform("runs", lambda x: F.xxhash64(x, F.col("scope"))).alias("runs")))
     each = sets.select("cls", F.size("runs").alias("n"), F.explode("runs").alias("run"))
     often = cut(each.groupBy("run").agg(F.count(F.lit(1)).alias("n")))
-    ranked = skew_join(each, often.select("run", F.col("n").alias("df")), ["run"], F.col("cls"), often).groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct("df", "run"))).alias("r"))
+    ranked = skew_join(each, often.select("run", F.col("n").alias("df")), ["run"], F.col("cls"), often).groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("df", "run"))).alias("r"))
     length = F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9).cast("int") + 1
     prefix = cut(ranked.select("cls", "n", F.posexplode(F.slice("r", F.lit(1), length)).alias("at", "x")).where("x.df > 1").select("cls", "n", "at", "x.run"))
     side = lambda s: prefix.select("run", *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "at")])

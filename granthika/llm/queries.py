@@ -75,7 +75,7 @@ def p4_checks(spark: SparkSession, sf: str) -> DataFrame:
     per = p.groupBy("tbl", "rec_id").agg(
         F.count_if(F.col("end_char") - F.col("start_char") > 800).alias("too_long"),
         F.count_if(F.col("core_char") - F.col("start_char") > 100).alias("repeats"),
-        F.array_join(F.array_sort(F.collect_list(part))["t"], "").alias("again"),
+        F.array_join(F.sort_array(F.collect_list(part))["t"], "").alias("again"),
     )
     bare_of = lambda c: F.regexp_replace(c, SPACE + "+", "")
     both = _long_texts(spark, sf).join(per, ["tbl", "rec_id"], "left")
