@@ -133,7 +133,7 @@ def violations(answer: Column, context: Column) -> Column:
     """Numbers and long content words of the answer that the context does not have, sorted."""
     new = F.array_except(tokens(answer), context)
     stop = stopwords()
-    return F.array_sort(F.filter(new, lambda t: t.rlike("^[0-9]+$") | (~F.array_contains(stop, t) & (F.length(t) >= RARE))))
+    return F.sort_array(F.filter(new, lambda t: t.rlike("^[0-9]+$") | (~F.array_contains(stop, t) & (F.length(t) >= RARE))))
 
 
 def numbered_context(texts: Column, question: Column) -> Column:

@@ -52,7 +52,7 @@ def answer_key(passages: DataFrame) -> DataFrame:
     return (
         passages.where((F.col("is_selected") != 0) & not_blank(F.col("query")))
         .groupBy("row_id", q.alias("q"))
-        .agg(F.array_sort(F.collect_list(F.struct("pos", content_id(F.col("text")).alias("id")))).alias("_r"))
+        .agg(F.sort_array(F.collect_list(F.struct("pos", content_id(F.col("text")).alias("id")))).alias("_r"))
         .select("row_id", "q", F.col("_r.id").alias("rel"))
     )
 

@@ -175,5 +175,5 @@ def rolling(hits: DataFrame, key: str, order: list[str], value: str, frame: int
     carried = F.when((F.pmod(at, F.lit(block)) > block - frame) & ((own + 1) * block < F.col("_all")), F.array(own, own + 1)).otherwise(F.array(own))
     blocks = numbered(hits.where(F.col(value).isNotNull()).select(key, *order, value), key, order).select(key, *order, value, "_at", own.alias("_own"), F.explode(carried).alias("_block"))
     w = Window.partitionBy(key, "_block").orderBy("_at").rowsBetween(-(frame - 1), 0)
-    v = blocks.withColumn("_v", F.array_sort(F.collect_list(value).over(w))).where(F.col("_block") == F.col("_own"))
+    v = blocks.withColumn("_v", F.sort_array(F.collect_list(value).over(w))).where(F.col("_block") == F.col("_own"))
     return v.select(key, *order, F.size("_v").alias("n"), *[floor_rank(F.col("_v"), p).alias(f"p{p}") for p in (50, 70, 100)])

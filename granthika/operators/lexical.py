@@ -22,7 +22,7 @@ def counted(docs: DataFrame) -> DataFrame:
         one = lambda s: F.transform(s, lambda x, k: F.struct(F.element_at(t, x).alias("term"), (F.coalesce(F.get(s, k + 1), F.size(t) + 1) - x).cast("bigint").alias("tf")))
         return F.transform(F.array(starts), one)[0]
 
-    sorted_ = F.array_sort(tokens(F.col("text")))
+    sorted_ = F.sort_array(tokens(F.col("text")))
     none = F.array().cast("array<struct<term:string,tf:bigint>>")
     terms = F.transform(F.array(sorted_), lambda t: F.struct(F.size(t).alias("dl"), F.when(F.size(t) > 0, runs(t)).otherwise(none).alias("terms")))[0]
     return docs.select("doc_id", terms.alias("_d")).select("doc_id", "_d.dl", "_d.terms")

@@ -45,7 +45,7 @@ def released(stream: DataFrame) -> DataFrame:
     before = Window.partitionBy("query_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     seen = F.coalesce(F.sum(F.length(F.regexp_replace("piece", r"\s+", ""))).over(before), F.lit(0))
     placed = stream.select("query_id", "seq", "piece", seen.alias("_seen"))
-    heads = placed.where(F.col("_seen") <= len(SENTINEL)).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("seq", "piece"))).alias("h"))
+    heads = placed.where(F.col("_seen") <= len(SENTINEL)).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("seq", "piece"))).alias("h"))
     upto = lambda i: F.array_join(F.slice("h", F.lit(1), i)["piece"], "")
     held = F.size(F.filter(F.sequence(F.lit(1), F.size("h")), lambda i: F.lit(SENTINEL).startswith(F.trim(upto(i)))))
     first = heads.withColumn("_n", held).select("query_id", F.get("h", F.col("_n"))["seq"].alias("_first"), upto(F.col("_n") + 1).alias("_text"))
