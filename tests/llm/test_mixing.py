@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from granthika.llm import mixing
 from granthika.llm.mixing import draw, mixture, rates, shares
 
 
@@ -16,7 +17,7 @@ def sized(spark, seed=0):
 TARGETS = "source string, target_share double, max_repeats int"
 
 
-def test_shares_and_caps(spark):
+def test_shares_and_caps(spark, monkeypatch):
     s = sized(spark)
     t = spark.createDataFrame([("big", 0.5, 1), ("mid", 0.3, 2), ("small", 0.1, 4), ("none", 0.1, 2)], TARGETS)
     r = rates(s, t)
@@ -28,6 +29,12 @@ def test_shares_and_caps(spark):
     assert {x.source for x in r.collect()} == {"big", "mid", "small", "none"} and "none" not in per
     assert draw(s.repartition(7), r).exceptAll(d).isEmpty()
     assert not draw(s, r, seed=7).exceptAll(d).isEmpty()
+    # a source that holds most documents is numbered in many buckets, of each source as many copies come out
+    few = draw(s, r, per_bucket=50)
+    n = lambda df: {x.source: x["count"] for x in df.groupBy("source").count().collect()}
+    assert all(abs(n(few)[k] - v) <= 1 for k, v in n(d).items())
+    monkeypatch.setattr(mixing, "FEW_CLASSES", 0)
+    assert draw(s, r).exceptAll(d).isEmpty() and draw(s, r).count() == d.count()
     # every document of a source is drawn once or twice as often as the rate says
     rate = {x.source: x.rate for x in r.collect()}
     counts = d.groupBy("source", "doc_id").count().groupBy("source").agg(F.max("count").alias("m")).collect()
